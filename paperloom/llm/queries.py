@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import leak, neardup, rankfuse, spans, split, tokens
+from paperloom.llm import leak, neardup, ocr, rankfuse, spans, split, tokens
 from paperloom.runtime import table
 
 SCORES = ["judge_mean_overall_quality", "custom_mean_mrr", "ragas_mean_faithfulness"]
@@ -26,6 +26,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.where("piece_index > 0").select("kind", "item_key", "position").distinct()
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The kinds of scan noise of each section."""
+    return ocr.scan_noise(table(spark, sf, "extracted_documents"))
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every section's text and its repair."""
+    return ocr.repair_sections(table(spark, sf, "extracted_documents"))
+
+
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     return rankfuse.fuse_scores(table(spark, sf, "evaluation_summary"), "run_id", "strategy", SCORES)
 
@@ -92,7 +102,7 @@ def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_ranking, p5_found, p5_groups, p8_ids, p9_found, p9_leaks, p10_found, p10_spans)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_repaired, p4_found, p4_ranking, p5_found, p5_groups, p8_ids, p9_found, p9_leaks, p10_found, p10_spans)}
 
 
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
