@@ -31,18 +31,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """Run ``fn`` on each Arrow batch as columns of Python lists; it returns columns of ``schema``.
+def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 1000) -> DataFrame:
+    """Run ``fn`` on slices of Arrow batches as columns of Python lists; it returns columns of ``schema``.
 
-    Batches stream, so a task's memory is bounded by one batch. An empty result is allowed.
+    Slices of at most ``rows`` rows stream, so a task's memory is bounded by one slice and its
+    output. An empty result is allowed.
     """
     struct = StructType.fromDDL(schema)
     target = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            arrays = [pa.array(cols[f.name], type=f.type) for f in target]
-            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                cols = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                arrays = [pa.array(cols[f.name], type=f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, struct)
