@@ -14,7 +14,7 @@ from paperloom.llm.words import mix, signed
 from paperloom.runtime import durable, map_rows
 
 #: Characters of a phrase; phrases of one automaton; texts a shard streams before it is salted.
-PHRASE, SHARD_PHRASES, SHARD_TEXTS = 48, 4000, 4000
+PHRASE, SHARD_PHRASES, SHARD_TEXTS = 160, 2000, 4000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -150,7 +150,7 @@ def _windows(texts: DataFrame, places: DataFrame, span: int) -> DataFrame:
             out["at"].extend(at.tolist())
         return out
 
-    return map_rows(texts.join(places, "rep").select("rep", "t", "places"), f"rep {dict(texts.dtypes)['rep']}, window bigint, before bigint, at int", run)
+    return map_rows(texts.join(places, "rep").select("rep", "t", "places"), f"rep {dict(texts.dtypes)['rep']}, window bigint, before bigint, at int", run, rows=250)
 
 
 def shared_spans(df: DataFrame, key: str, text: str, span: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
