@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import leak, neardup, ocr, rankfuse, spans, split, tokens
+from paperloom.llm import entity, leak, neardup, ocr, rankfuse, spans, split, tokens
 from paperloom.runtime import table
 
 SCORES = ["judge_mean_overall_quality", "custom_mean_mrr", "ragas_mean_faithfulness"]
@@ -26,6 +26,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.where("piece_index > 0").select("kind", "item_key", "position").distinct()
 
 
+def p2_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate pairs of sources and papers with their marginal match probability."""
+    sources = table(spark, sf, "sources").select(F.col("source_id").alias("id"), "title", "authors", "doi", "journal", F.col("publication_date").alias("date"))
+    papers = table(spark, sf, "extracted_documents").select(F.col("document_id").alias("id"), *[F.col(f"metadata.{c}").alias(c) for c in ("title", "authors", "doi", "journal")], F.col("metadata.publication_date").alias("date"))
+    pairs = entity.match_records(sources, papers)
+    return pairs.select(F.col("r").alias("document_id"), F.col("l").alias("source_id"), F.round("confidence", 6).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs more likely one paper than not."""
+    return p2_matches(spark, sf).where("confidence >= 0.5").select("document_id", "source_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The kinds of scan noise of each section."""
     return ocr.scan_noise(table(spark, sf, "extracted_documents"))
@@ -102,7 +115,7 @@ def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_repaired, p4_found, p4_ranking, p5_found, p5_groups, p8_ids, p9_found, p9_leaks, p10_found, p10_spans)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_matches, p3_found, p3_repaired, p4_found, p4_ranking, p5_found, p5_groups, p8_ids, p9_found, p9_leaks, p10_found, p10_spans)}
 
 
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
