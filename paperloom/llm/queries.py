@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import entity, leak, neardup, ocr, rankfuse, spans, split, tokens
+from paperloom.llm import entity, leak, neardup, ocr, pairs, rankfuse, spans, split, tokens
 from paperloom.runtime import table
 
 SCORES = ["judge_mean_overall_quality", "custom_mean_mrr", "ragas_mean_faithfulness"]
@@ -30,8 +30,8 @@ def p2_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate pairs of sources and papers with their marginal match probability."""
     sources = table(spark, sf, "sources").select(F.col("source_id").alias("id"), "title", "authors", "doi", "journal", F.col("publication_date").alias("date"))
     papers = table(spark, sf, "extracted_documents").select(F.col("document_id").alias("id"), *[F.col(f"metadata.{c}").alias(c) for c in ("title", "authors", "doi", "journal")], F.col("metadata.publication_date").alias("date"))
-    pairs = entity.match_records(sources, papers)
-    return pairs.select(F.col("r").alias("document_id"), F.col("l").alias("source_id"), F.round("confidence", 6).alias("confidence"))
+    matches = entity.match_records(sources, papers)
+    return matches.select(F.col("r").alias("document_id"), F.col("l").alias("source_id"), F.round("confidence", 6).alias("confidence"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,8 +70,8 @@ P5 = {"shingle": 3, "threshold": 0.6}
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of near-duplicate chunks."""
     members, links = neardup.near_duplicates(table(spark, sf, "chunks"), "chunk_id", "text", **P5)
-    pairs = neardup.expand_pairs(members, links)
-    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+    found = neardup.expand_pairs(members, links)
+    return found.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,6 +80,17 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(members, links).withColumnRenamed("id", "chunk_id").withColumnRenamed("component", "group_id")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Results with a defective answer."""
+    return pairs.defects(table(spark, sf, "strategy_results"), "result_id", "question", "answer").drop("margin")
+
+
+def p7_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Defective answers with how far above its threshold each is."""
+    out = pairs.defects(table(spark, sf, "strategy_results"), "result_id", "question", "answer")
+    return out.withColumn("margin", F.round("margin", 4))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_column(table(spark, sf, "documents"), "doc_id", "text")
@@ -102,8 +113,8 @@ def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that share a verbatim span."""
-    members, _, pairs = spans.shared_spans(table(spark, sf, "documents"), "doc_id", "text")
-    out = spans.expand_pairs(members, pairs)
+    members, _, met = spans.shared_spans(table(spark, sf, "documents"), "doc_id", "text")
+    out = spans.expand_pairs(members, met)
     return out.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
@@ -115,7 +126,7 @@ def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_matches, p3_found, p3_repaired, p4_found, p4_ranking, p5_found, p5_groups, p8_ids, p9_found, p9_leaks, p10_found, p10_spans)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_matches, p3_found, p3_repaired, p4_found, p4_ranking, p5_found, p5_groups, p7_found, p7_flags, p8_ids, p9_found, p9_leaks, p10_found, p10_spans)}
 
 
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
