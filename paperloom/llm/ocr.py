@@ -41,7 +41,7 @@ _BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][^\S\n]*\n\s*(?=\w)")
 
 def plain_words(text: str) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
 def whole_words(text: str) -> set[str]:
@@ -147,21 +147,25 @@ class Paper:
 
 _NUMBER = re.compile(r"^[\s\-–—.\[\](){}|·]*(?:p\.?|pp\.?|pg\.?|page|seite|s)?[\s.]*[a-z]?\d{1,5}(?:\s*(?:of|/|von|de|sur)\s*\d{1,5})?[\s\-–—.\[\](){}|·]*$", re.I)
 _SIDE = re.compile(r"^\s*[A-Za-z]?\d{1,5}(?:\s{2,}|\t)\S|\S(?:\s{2,}|\t)[A-Za-z]?\d{1,5}\s*$")
+_DIGIT = re.compile(r"\d")
+_ETAL = re.compile(r"\bet al\.?", re.I)
+_VOLUME = re.compile(r"\b\d{1,4}\s*\(\d{4}\)")
+_OF = re.compile(r"\d\s+of\s+\d")
 _BULLET = re.compile(r"^\s*(?:[-*•‣–]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 
 
-def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | frozenset[str]) -> list[str]:
-    """Page-position, shape and content features of a line among the lines of its section."""
+def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | frozenset[str], width: int) -> list[str]:
+    """Page-position, shape and content features of a line among the lines of its section, the
+    longest of which has ``width`` characters."""
     s = lines[i]
     core = s.strip()
     before = next((lines[k] for k in range(i - 1, -1, -1) if lines[k].strip()), "")
     after = next((lines[k] for k in range(i + 1, len(lines)) if lines[k].strip()), "")
     ws = plain_words(core)
     alpha = [w for w in ws if not w.isdigit()]
-    letters = [c for c in core if c.isalpha()]
-    upper = sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
-    width = max(map(len, lines))
-    share = lambda bag: int(4 * sum(w in bag for w in alpha) / len(alpha)) if alpha else -1
+    letters = sum(map(str.isalpha, core))
+    upper = sum(map(str.isupper, core)) / letters if letters else 0.0
+    share = lambda bag: int(4 * sum(map(bag.__contains__, alpha)) / len(alpha)) if alpha else -1
     first, last = core[:1], before.rstrip()[-1:]
     ends = "hyphen" if last in HYPHENS and last else "stop" if last in ".!?:" and last else "open"
     start = "low" if after.lstrip()[:1].islower() else "up" if after.lstrip()[:1].isupper() else "other"
@@ -171,8 +175,8 @@ def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | fro
         f"edge{int(not before)}{int(not after)}", f"title{share(paper.title)}", f"journal{share(paper.journal)}", f"author{share(paper.authors)}", f"common{share(common)}",
     ]
     for name, test in (
-        ("number", _NUMBER.match(core)), ("side", _SIDE.search(s)), ("bullet", _BULLET.match(s)), ("tab", "\t" in s), ("bar", "|" in s), ("slash", " / " in s), ("etal", re.search(r"\bet al\.?", core, re.I)),
-        ("volume", re.search(r"\b\d{1,4}\s*\(\d{4}\)", core)), ("of", re.search(r"\d\s+of\s+\d", core)), ("stop", core[-1:] in ".!?;:,"), ("dash", " - " in core), ("digit", any(c.isdigit() for c in core)), ("paren", ("(" in core) != (")" in core)),
+        ("number", _NUMBER.match(core)), ("side", _SIDE.search(s)), ("bullet", _BULLET.match(s)), ("tab", "\t" in s), ("bar", "|" in s), ("slash", " / " in s), ("etal", _ETAL.search(core)),
+        ("volume", _VOLUME.search(core)), ("of", _OF.search(core)), ("stop", core[-1:] in ".!?;:,"), ("dash", " - " in core), ("digit", _DIGIT.search(core)), ("paren", ("(" in core) != (")" in core)),
     ):
         f.append(f"{name}{int(bool(test))}")
     f += [f"w{w}" for w in (alpha[:1] + alpha[-1:])]
@@ -191,13 +195,14 @@ def is_head(kind: str) -> bool:
 def classify_lines(model: Perceptron, lines: list[str], paper: Paper, common: set[str] | frozenset[str]) -> list[str]:
     """The kind of each line. A line that begins in lower case continues a sentence (unless it is
     a number like ``p. 7``) and isn't scored; furniture stands between lines of prose."""
-    kinds = []
+    kinds: list[str] = []
+    width = max(map(len, lines))
     for i, s in enumerate(lines):
         core = s.lstrip()
         if not core or core[0].islower() and not _NUMBER.match(core):
             kinds.append("prose")
         else:
-            kinds.append(model.predict(line_features(lines, i, paper, common), "prose"))
+            kinds.append(model.predict(line_features(lines, i, paper, common, width), "prose"))
     prose = [k for k, x in enumerate(kinds) if x == "prose" and lines[k].strip()]
     for i, k in enumerate(kinds):
         if k != "prose" and not (prose and prose[0] < i < prose[-1]):
@@ -316,7 +321,7 @@ def train_models(papers: list[tuple[dict | None, list[str]]], words: list[tuple[
                 ends.append(None)
             if rng.random() < 0.4:
                 lines = [_blur(x, rng) for x in lines]
-            line_examples += [(line_features(lines, i, paper, common), k) for i, k in enumerate(kinds) if k != "blank" and not (k == "prose" and lines[i][:1].islower())]
+            line_examples += [(line_features(lines, i, paper, common, max(map(len, lines))), k) for i, k in enumerate(kinds) if k != "blank" and not (k == "prose" and lines[i][:1].islower())]
             prose = [(lines[i], ends[i]) for i, k in enumerate(kinds) if k == "prose"]
             break_examples += [(break_features(a, b, common, hyphenated), end) for (a, end), (b, _) in zip(prose, prose[1:]) if end]
     return Models(train_editor(words[:EDITOR_WORDS]), Perceptron.train(line_examples, "prose", 6), Perceptron.train(break_examples, "space", 6), common, frozenset(hyphenated))
@@ -359,11 +364,12 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 
 def fit(df: DataFrame, counts: DataFrame) -> Models:
-    """Models from a bounded sample: SAMPLE_DOCUMENTS documents least by hash among those with
-    sections without single line breaks, and the COMMON_WORDS most frequent words."""
+    """Models from a bounded sample: the clean sections of the SAMPLE_DOCUMENTS documents least by hash, and the COMMON_WORDS most frequent words."""
     clean = F.expr("transform(filter(sections, s -> s.text is not null and length(s.text) > 200 and not s.text rlike '[^\\\\n]\\\\n[^\\\\n]'), s -> s.text)")
     sample = df.select(F.struct("metadata.title", "metadata.journal", "metadata.authors").alias("metadata"), F.slice(clean, 1, 3).alias("texts"), F.xxhash64("document_id").alias("h")).where("size(texts) > 0")
-    rows = sample.orderBy("h").limit(SAMPLE_DOCUMENTS).collect()
+    # the least hashes first, so that no task sends texts to the driver beyond the sample
+    least = df.where("size(sections) > 1").select(F.xxhash64("document_id").alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
+    rows = sample.join(F.broadcast(least), "h").dropDuplicates(["h"]).orderBy("h").collect()
     papers = [(r["metadata"].asDict() if r["metadata"] else None, list(r["texts"])) for r in rows]
     words = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()]
     # misread forms are rare beside their words; what is rare is neither trained on nor taken for common
@@ -390,7 +396,8 @@ def corrections(counts: DataFrame, models: Models) -> DataFrame:
                 out["repaired"].append(fixed)
         return out
 
-    changed = map_rows(rare, "word string, n bigint, repaired string", run)
+    spread = rare.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    changed = map_rows(spread, "word string, n bigint, repaired string", run)
     known = counts.select(F.col("word").alias("repaired"), F.col("n").alias("m"))
     judged = changed.join(known, "repaired", "left")
     freed = F.col("word").rlike("[a-zà-ÿ][0-9]+[a-zà-ÿ]|^[0-9][a-zà-ÿ]{3,}") & ~F.col("repaired").rlike("[0-9]")
