@@ -157,7 +157,8 @@ def _thresholds(w: np.ndarray, x: list[np.ndarray], y: np.ndarray) -> np.ndarray
 
 
 def synthesise(rows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, str | None, int]]:
-    """(question, answer, label index or -1): every row as it is, and made defective."""
+    """(question, answer, label index or -1): every row as it is, and made defective; few rows
+    several times, differently."""
     rng = random.Random(seed)
     by_language: dict[str, list[tuple[str, str]]] = {}
     for q, a in rows:
@@ -175,7 +176,7 @@ def synthesise(rows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, s
     def case(t: str) -> str:
         return rng.choice([t, t, t.upper(), t.lower(), t.rstrip("?") + rng.choice(["", ".", "?!", "..."]), t.title()])
 
-    for q, a in rows:
+    for q, a in rows * max(1, SAMPLE_ROWS // max(1, 2 * len(rows))):
         lang = language(q)[0] or "en"
         out.append((q, a, -1))
         soft = rng.choice(SOFT[lang] + OPENINGS[lang])
