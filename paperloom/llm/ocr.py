@@ -32,6 +32,8 @@ CONFUSIONS = (
 HYPHENS = "-­¬‐‑"
 #: Bounds of the training sample: documents read, words of the editor, words sent to all tasks.
 SAMPLE_DOCUMENTS, EDITOR_WORDS, COMMON_WORDS = 400, 6000, 20000
+#: Characters of the widest line that a page may have.
+PAGE_LINE = 250
 #: A correction is believed if its word is at least so many times as frequent as what was read.
 RATIO = 4
 
@@ -194,12 +196,13 @@ def is_head(kind: str) -> bool:
 
 def classify_lines(model: Perceptron, lines: list[str], paper: Paper, common: set[str] | frozenset[str]) -> list[str]:
     """The kind of each line. A line that begins in lower case continues a sentence (unless it is
-    a number like ``p. 7``) and isn't scored; furniture stands between lines of prose."""
+    a number like ``p. 7``), one longer than a page is wide is a paragraph: neither is scored;
+    furniture stands between lines of prose."""
     kinds: list[str] = []
     width = max(map(len, lines))
     for i, s in enumerate(lines):
         core = s.lstrip()
-        if not core or core[0].islower() and not _NUMBER.match(core):
+        if not core or len(core) > PAGE_LINE or core[0].islower() and not _NUMBER.match(core):
             kinds.append("prose")
         else:
             kinds.append(model.predict(line_features(lines, i, paper, common, width), "prose"))
