@@ -161,8 +161,16 @@ def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | fro
     longest of which has ``width`` characters."""
     s = lines[i]
     core = s.strip()
-    before = next((lines[k] for k in range(i - 1, -1, -1) if lines[k].strip()), "")
-    after = next((lines[k] for k in range(i + 1, len(lines)) if lines[k].strip()), "")
+    k = i - 1
+    while k >= 0 and not lines[k].strip():
+        k -= 1
+    before = lines[k] if k >= 0 else ""
+    k = i + 1
+    while k < len(lines) and not lines[k].strip():
+        k += 1
+    after = lines[k] if k < len(lines) else ""
+    number = len(core) < 40 and _NUMBER.match(core)
+    side = ("  " in s or "\t" in s) and _SIDE.search(s)
     ws = plain_words(core)
     alpha = [w for w in ws if not w.isdigit()]
     letters = sum(map(str.isalpha, core))
@@ -177,12 +185,12 @@ def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | fro
         f"edge{int(not before)}{int(not after)}", f"title{share(paper.title)}", f"journal{share(paper.journal)}", f"author{share(paper.authors)}", f"common{share(common)}",
     ]
     for name, test in (
-        ("number", _NUMBER.match(core)), ("side", _SIDE.search(s)), ("bullet", _BULLET.match(s)), ("tab", "\t" in s), ("bar", "|" in s), ("slash", " / " in s), ("etal", _ETAL.search(core)),
-        ("volume", _VOLUME.search(core)), ("of", _OF.search(core)), ("stop", core[-1:] in ".!?;:,"), ("dash", " - " in core), ("digit", _DIGIT.search(core)), ("paren", ("(" in core) != (")" in core)),
+        ("number", number), ("side", side), ("bullet", _BULLET.match(s)), ("tab", "\t" in s), ("bar", "|" in s), ("slash", " / " in s), ("etal", "al" in core.lower() and _ETAL.search(core)),
+        ("volume", "(" in core and _VOLUME.search(core)), ("of", " of " in core and _OF.search(core)), ("stop", core[-1:] in ".!?;:,"), ("dash", " - " in core), ("digit", _DIGIT.search(core)), ("paren", ("(" in core) != (")" in core)),
     ):
         f.append(f"{name}{int(bool(test))}")
     f += [f"w{w}" for w in (alpha[:1] + alpha[-1:])]
-    f += [f"x{f[4]}{f[7]}up{int(upper * 4)}", f"y{f[7]}{f[-3]}", f"z{ends}{start}{int(bool(_NUMBER.match(core)))}{int(bool(_SIDE.search(s)))}"]
+    f += [f"x{f[4]}{f[7]}up{int(upper * 4)}", f"y{f[7]}{f[-3]}", f"z{ends}{start}{int(bool(number))}{int(bool(side))}"]
     return f
 
 
