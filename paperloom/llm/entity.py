@@ -20,6 +20,8 @@ COMMON_SHARE = 0.08
 KEY_WORDS, KEY_SIZE = 7, 4
 #: Candidates below this log-odds can't reach a marginal of 0.5 nor weigh on others.
 FLOOR = -6.0
+#: The most that titles speak for a match.
+TITLE_MOST = 13.0
 #: English function words, which styles and typing leave out.
 FUNCTION_WORDS = frozenset("a an the of on in at by to for from with and or as is are does do how during after".split())
 FIELDS = "title string, authors array<string>, doi string, journal string, date string"
@@ -175,6 +177,7 @@ class Titles:
         return [w for w in dict.fromkeys(words) if self.df.get(w, 1) <= max(2, COMMON_SHARE * self.total)]
 
     def rarity(self, w: str) -> float:
+        """Log of the inverse share of titles that have the word."""
         return math.log(self.total / min(self.total, self.df.get(w, 1)))
 
     def compare(self, a: list[str], b: list[str]) -> float:
@@ -213,49 +216,64 @@ class Titles:
             left.pop()
             tail += 1
         inner = sum(0.4 if b[i] in FUNCTION_WORDS else 2.5 for i in left) * (0.5 if other else 1.0)
-        return min(13.0, 0.55 * seen) - 3.5 * known - 1.0 * other - inner - 2.0 * moved - (0.4 + 0.12 * tail if tail else 0.0)
+        return min(TITLE_MOST, 0.55 * seen) - 3.5 * known - 1.0 * other - inner - 2.0 * moved - (0.4 + 0.12 * tail if tail else 0.0)
 
 
-def score(a: tuple, b: tuple, titles: Titles) -> float:
-    """Log-odds that records (title, authors, doi, journal, date) describe one work; ``a`` is the
-    noisier one. The prior is one in all works."""
-    total = -math.log(titles.total + 1) - 1.0
-    total += compare_doi(clean_doi(a[2]), clean_doi(b[2]))
-    total += max(-14.0, titles.compare(titles.words(a[0]), titles.words(b[0])))
-    x, y = name_tokens(a[1]), name_tokens(b[1])
+class Record:
+    """What comparisons need of one record, worked out once."""
+
+    __slots__ = ("doi", "words", "surnames", "tokens", "years", "journal")
+
+    def __init__(self, title: str | None, authors: list[str] | None, doi: str | None, journal: str | None, date: str | None, titles: Titles):
+        self.doi, self.words, self.years = clean_doi(doi), titles.words(title), years(date)
+        names = name_tokens(authors)
+        self.surnames, self.tokens = [one[-1] for one in names], [frozenset(one) for one in names]
+        self.journal = journal
+
+
+def score(a: Record, b: Record, titles: Titles) -> float:
+    """Log-odds that two records describe one work; ``a`` is the noisier one. The prior is one in
+    all works. Titles, which cost most, aren't compared where even equal ones would change nothing."""
+    total = -math.log(titles.total + 1) - 1.0 + compare_doi(a.doi, b.doi)
+    x, y = a.tokens, b.surnames
     if x and y:
-        hits = sum(any(near(t, one[-1]) for one in y for t in author) for author in x)
+        ys = set(y)
+        hits = sum(bool(one & ys) or any(near(t, n) for t in one for n in y) for one in x)
         total += min(6.0, 4.0 + 1.0 * (hits - 1)) - 1.0 * (len(x) - hits) if hits else -5.0
-        if hits and abs(len(x) - len(y)) > 0 and len(x) == hits:
+        if hits and len(x) != len(y) and len(x) == hits:
             total -= 0.2
-    u, v = years(a[4]), years(b[4])
-    if u and v:
-        gap = abs(u[-1] - v[-1])
+    if a.years and b.years:
+        gap = abs(a.years[-1] - b.years[-1])
         total += 2.2 if gap == 0 else -0.7 if gap == 1 else -3.5
-    j = journal_agrees(a[3], b[3])
+    j = journal_agrees(a.journal, b.journal)
     if j is not None:
         total += 1.5 if j else -2.0
-    return total
+    if total + TITLE_MOST <= FLOOR:
+        return total
+    return total + max(-14.0, titles.compare(a.words, b.words))
 
 
 def _keys(record: tuple, titles: Titles, noisy: bool) -> list[str]:
+    """Blocking keys, the first letter telling their sort: d DOI, a author and year, p the whole of
+    a short title, t four of the first words of a longer one."""
     out = [f"d{k}" for k in doi_keys(clean_doi(record[2]))]
     ys = years(record[4])[-1:]
     names = {t for one in name_tokens(record[1]) for t in (one if noisy else one[-1:]) if len(t) > 2}
     out += [f"a{n}{y + d}" for n in names for y in ys for d in ((-1, 0, 1) if noisy else (0,))]
     content = titles.content(titles.words(record[0]))
     first = content[:KEY_WORDS]
-    size = min(KEY_SIZE, len(first))
-    if size:
-        out += ["t" + " ".join(sorted(c)) for c in combinations(first, size)]
-    if size < KEY_SIZE or not ys or not names:
-        out += ["t" + " ".join(sorted(content[:k])) for k in (2, 3) if len(content) >= k]
+    if len(first) > KEY_SIZE:
+        out += ["t" + " ".join(sorted(c)) for c in combinations(first, KEY_SIZE)]
+    sizes = (len(content),) if noisy and len(content) <= KEY_SIZE else () if noisy else range(2, KEY_SIZE + 1)
+    out += ["p" + " ".join(sorted(content[:k])) for k in sizes if 1 < k <= len(content)]
     return list(dict.fromkeys(out))
 
 
 def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
     """(l, r, theta): pairs that share a key, scored; ``left`` is the noisier side. Both have
-    ``id`` and the columns of FIELDS. Only key hashes and ids are shuffled; records travel to the
+    ``id`` and the columns of FIELDS. Pairs share a DOI (one character of its number may be
+    misread), an author and year, a short title's words, or five of their titles' first seven rarer
+    words (more than one set of four). Only key hashes and ids are shuffled; records travel to the
     distinct pairs afterwards."""
     spark = left.sparkSession
     shared = spark.sparkContext.broadcast((titles.df, titles.total))
@@ -272,18 +290,28 @@ def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
         return out.select(F.col("id").alias(name), F.explode("keys").alias("key")).select(name, F.xxhash64("key").alias("key"), F.substring("key", 1, 1).alias("sort"))
 
     met = keyed(left, True, "l").join(keyed(right, False, "r").drop("sort"), "key")
-    pairs = met.groupBy("l", "r").agg(F.count("*").alias("n")).select("l", "r")
+    other = F.count(F.when(F.col("sort") != "t", 1))
+    pairs = met.groupBy("l", "r").agg(F.count("*").alias("n"), other.alias("other")).where("other > 0 or n > 1").select("l", "r")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
         t = _titles(shared.value)
-        theta = [score(a, b, t) for a, b in zip(zip(*(cols["a" + n] for n in names)), zip(*(cols["b" + n] for n in names)))]
+        known: dict = {}
+
+        def record(side: str, i: int) -> Record:
+            k = side, cols[side][i]
+            if k not in known:
+                c = "a" if side == "l" else "b"
+                known[k] = Record(*(cols[c + n][i] for n in names), t)
+            return known[k]
+
+        theta = [score(record("l", i), record("r", i), t) for i in range(len(cols["l"]))]
         keep = [i for i, x in enumerate(theta) if x > FLOOR]
         return {"l": [cols["l"][i] for i in keep], "r": [cols["r"][i] for i in keep], "theta": [max(-30.0, min(30.0, theta[i])) for i in keep], "claim": [claim(clean_doi(cols["adoi"][i]), clean_doi(cols["bdoi"][i])) for i in keep]}
 
     x = left.select(F.col("id").alias("l"), *[F.col(n).alias("a" + n) for n in names])
     y = right.select(F.col("id").alias("r"), *[F.col(n).alias("b" + n) for n in names])
     types = dict(pairs.dtypes)
-    return map_rows(pairs.join(x, "l").join(y, "r"), f"l {types['l']}, r {types['r']}, theta double, claim string", judge)
+    return map_rows(pairs.join(x, "l").join(y, "r"), f"l {types['l']}, r {types['r']}, theta double, claim string", judge, rows=10_000)
 
 
 _BUILT: list = [None, None]
