@@ -16,8 +16,9 @@ from paperloom.runtime import durable, map_rows
 #: (symbols exchanged); each side walks half of that way, so it drops RADIUS // 2 symbols.
 FINGERPRINTS, SYMBOLS, RADIUS = 11, 5, 2
 #: Colliding texts are compared by 64 bits of their symbols before their words are: at a similarity
-#: of 0.6 fewer than one pair in 2000 differs in more bits than this, of stock phrases only 5 in 100 don't.
-MAX_BITS = 22
+#: of 0.6 about 3 pairs in 1000 differ in more bits than this, of 0.65 fewer than one, while of pairs
+#: that met by stock phrases only 2 in 100 don't.
+MAX_BITS = 20
 #: Up to so many ids are broadcast to fetch texts; more are met by a shuffled join.
 BROADCAST_IDS = 100_000
 
