@@ -149,7 +149,7 @@ def parse_authors(c: Column) -> Column:
 
 def truncate_text(c: Column, limit: int) -> Column:
     """Cut at the limit, back to the last space, with a mark."""
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, limit), r" [^ ]*$", ""), F.lit(" [truncated]")))
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, limit), r" [^ ]*\z", ""), F.lit(" [truncated]")))
 
 
 def clean_page_text(c: Column) -> Column:

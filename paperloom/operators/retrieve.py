@@ -138,7 +138,7 @@ def judge_context(blocks: Column, limit: int) -> Column:
     """Numbered passages (array of source, heading, text) cut at the limit, back to a line end."""
     parts = F.transform(blocks, lambda e, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit(": "), e.source, F.lit("; "), e.heading, F.lit("]\n"), e.text))
     whole = F.array_join(parts, "\n\n")
-    return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.regexp_replace(F.substring(whole, 1, limit), r"\n[^\n]*$", ""), F.lit("\n[Context truncated for judging]")))
+    return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.regexp_replace(F.substring(whole, 1, limit), r"\n[^\n]*\z", ""), F.lit("\n[Context truncated for judging]")))
 
 
 def history_text(turns: DataFrame, conversation: str, order: list[str], last: int = 6) -> DataFrame:
@@ -150,7 +150,7 @@ def history_text(turns: DataFrame, conversation: str, order: list[str], last: in
     w = Window.partitionBy(conversation).orderBy(*[F.desc(c) for c in order])
     recent = turns.withColumn("n", F.row_number().over(w)).where(F.col("n") <= last)
     t = T.squeeze(F.coalesce("content", F.lit("")))
-    cut = F.when(F.length(t) > 1200, F.concat(F.regexp_replace(F.substring(t, 1, 1200), r" [^ ]*$", ""), F.lit(" ..."))).otherwise(t)
+    cut = F.when(F.length(t) > 1200, F.concat(F.regexp_replace(F.substring(t, 1, 1200), r" [^ ]*\z", ""), F.lit(" ..."))).otherwise(t)
     line = F.concat(F.when(F.col("role") == "user", F.lit("User: ")).otherwise(F.lit("Assistant: ")), cut)
     rows = recent.select(conversation, (-F.col("n")).alias("o"), "role", t.alias("t"), line.alias("line"))
     g = rows.groupBy(conversation).agg(F.sort_array(F.collect_list(F.struct("o", "role", "t", "line"))).alias("x"))

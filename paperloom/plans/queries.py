@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.plans import flat
+from paperloom.plans import corpus_queries, evaluation_queries, flat, retrieval_queries, text_queries
 
-_PARTS = [flat]
+_PARTS = [flat, text_queries, retrieval_queries, evaluation_queries, corpus_queries]
 
 
 def queries() -> dict:
