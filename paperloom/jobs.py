@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.config import ChunkConfig
 from paperloom.functions import embed
 from paperloom.operators import chunk, corpus, extract
+from paperloom.runtime import durable
 from paperloom.sources import readers, sinks
 
 
@@ -18,10 +19,10 @@ def run_extract(spark: SparkSession, xml: DataFrame, kind: str, manifest_path: s
     manifest is swapped as a whole. Returns one status row per file."""
     files = corpus.fingerprint(xml)
     manifest = readers.load_manifest(spark, manifest_path)
-    plan = corpus.incremental_plan(files, manifest)
+    plan = durable(corpus.incremental_plan(files, manifest))  # the manifest is replaced below
     todo = files.join(plan.where("status <> 'unchanged_pdf'").select("path"), "path", "left_semi")
     parsed = extract.parse_xml(todo.select("path", F.col("content").cast("string").alias("content")), "path", "content", kind)
-    parsed = parsed.cache()
+    parsed = durable(parsed)
     good = parsed.where("error is null")
     good.drop("error").write.mode("append").json(output)
     fields = [f.strip().split(" ") for f in readers.MANIFEST.split(",")]
