@@ -114,11 +114,12 @@ def train_editor(words: list[tuple[str, int]], seed: int = 11) -> Perceptron:
     """The editor, from (word, count) of clean text: each word as it is and misread."""
     rng, examples = random.Random(seed), []
     known = {w for w, _ in words}
+    more = min(20, max(1, EDITOR_WORDS // (2 * max(1, len(words)))))  # few words are misread in more ways
     for w, n in words:
         if w.isdigit():
             continue
-        for k in range(6 if n > 20 else 2):
-            noisy = misread(w, rng) if k else None
+        for k in range((6 if n > 20 else 2) * more):
+            noisy = misread(w, rng) if k % 6 else None
             if noisy and noisy[0] in known:
                 continue
             form, ops = noisy or (w, ["K"] * (len(w) + 1))
@@ -356,22 +357,33 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.where("document_id is not null and size(sections) > 0").select("document_id", F.struct("metadata.title", "metadata.journal", "metadata.authors").alias("metadata"), F.expr("transform(sections, s -> struct(s.order as o, s.text as t))").alias("sections"))
 
 
+_WRAPPED = re.compile(r"[^\n]\n[^\n]")
+
+
 def word_counts(df: DataFrame) -> DataFrame:
-    """(word, n): in how many section texts each word stands; counts are summed per task first."""
+    """(word, n, clean): in how many section texts each word stands, and in how many of those
+    without single line breaks, which no scanner left; counts are summed per task first."""
+
+    def batch_of(every: Counter, clean: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(every), type=pa.string()), "n": pa.array(every.values(), type=pa.int64()), "clean": pa.array([clean[w] for w in every], type=pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        every: Counter[str] = Counter()
+        clean: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    seen.update(whole_words(t))
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_pydict({"word": list(seen.keys()), "n": pa.array(seen.values(), type=pa.int64())})
-                seen = Counter()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), type=pa.string()), "n": pa.array(seen.values(), type=pa.int64())})
+                    ws = whole_words(t)
+                    every.update(ws)
+                    if "\n" not in t or not _WRAPPED.search(t):
+                        clean.update(ws)
+            if len(every) > 300_000:
+                yield batch_of(every, clean)
+                every, clean = Counter(), Counter()
+        yield batch_of(every, clean)
 
     texts = df.select(F.explode("sections").alias("s")).select("s.text").where("text is not null")
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
 def fit(df: DataFrame, counts: DataFrame) -> Models:
@@ -382,37 +394,40 @@ def fit(df: DataFrame, counts: DataFrame) -> Models:
     least = df.where("size(sections) > 1").select(F.xxhash64("document_id").alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
     rows = sample.join(F.broadcast(least), "h").dropDuplicates(["h"]).orderBy("h").collect()
     papers = [(r["metadata"].asDict() if r["metadata"] else None, list(r["texts"])) for r in rows]
-    words = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()]
-    # misread forms are rare beside their words; what is rare is neither trained on nor taken for common
-    floor = max(2, sum(n for _, n in words) // 200_000)
+    # words of clean sections; where all were scanned, of all, but for the rare ones (misread forms are)
+    some = counts.where("clean > 1").limit(1).count() > 0
+    by = "clean" if some else "n"
+    words = [(r["word"], r[by]) for r in counts.orderBy(F.desc(by), "word").limit(COMMON_WORDS).collect()]
+    floor = 2 if some else max(2, sum(n for _, n in words) // 200_000)
     words = [(w, n) for w, n in words if n >= floor]
     hyphenated = {m.lower() for _, texts in papers for t in texts for m in re.findall(r"\b[^\W\d_]+-[^\W\d_]+\b", t)}
     return train_models(papers, words, hyphenated)
 
 
 def corrections(counts: DataFrame, models: Models) -> DataFrame:
-    """(word, repaired): words that the editor changes into a much more frequent word, or whose
-    letters it frees from digits. Words with a digit at either end only (``s42``) are no words."""
+    """(word, repaired): words that the editor changes into a much more frequent word, in clean
+    sections too, or whose letters it frees from digits. Words with a digit at either end only
+    (``s42``) are no words."""
     shared = counts.sparkSession.sparkContext.broadcast(models.editor.weights)
     rare = counts.where("length(word) > 2 and not word rlike '^[0-9]+$'")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         editor = Perceptron(shared.value)
-        out: dict[str, list] = {"word": [], "n": [], "repaired": []}
-        for w, n in zip(cols["word"], cols["n"]):
+        out: dict[str, list] = {"word": [], "n": [], "clean": [], "repaired": []}
+        for w, n, c in zip(cols["word"], cols["n"], cols["clean"]):
             fixed = edit(editor, w)
             if fixed != w and fixed:
-                out["word"].append(w)
-                out["n"].append(n)
-                out["repaired"].append(fixed)
+                for k, v in (("word", w), ("n", n), ("clean", c), ("repaired", fixed)):
+                    out[k].append(v)
         return out
 
     spread = rare.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    changed = map_rows(spread, "word string, n bigint, repaired string", run)
-    known = counts.select(F.col("word").alias("repaired"), F.col("n").alias("m"))
+    changed = map_rows(spread, "word string, n bigint, clean bigint, repaired string", run)
+    known = counts.select(F.col("word").alias("repaired"), F.col("n").alias("m"), F.col("clean").alias("mc"))
     judged = changed.join(known, "repaired", "left")
     freed = F.col("word").rlike("[a-zà-ÿ][0-9]+[a-zà-ÿ]|^[0-9][a-zà-ÿ]{3,}") & ~F.col("repaired").rlike("[0-9]")
-    return judged.where((F.col("m") >= RATIO * F.col("n")) | (F.col("m").isNull() & freed & (F.length("word") > 3))).select("word", "repaired")
+    more = (F.col("m") >= RATIO * F.col("n")) & (F.col("mc") >= RATIO * F.col("clean"))
+    return judged.where(more | (F.col("m").isNull() & freed & (F.length("word") > 3))).select("word", "repaired")
 
 
 def _signs(lines: list[str], kinds: list[str], models: Models) -> bool:

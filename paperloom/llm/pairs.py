@@ -34,7 +34,7 @@ STOPWORDS = {
 PLACEHOLDERS = ["", " ", "\t", "\n", "​", "N/A", "n/a", "n.a.", "NA", "-", "--", "---", "—", "–", "...", "…", ".", "?", "null", "NULL", "none", "None", "nil", "nan", "NaN", "[]", "{}", "()", "\"\"", "''", "<no answer>", "<empty>", "<none>", "[no answer]", "[empty]", "(empty)", "(no answer)", "no answer", "No answer.", "Answer:", "A:", "Antwort:", "Réponse :", "Respuesta:", "TBD", "TODO", "tbd", "to do", "undefined", "blank", "empty", "unknown", "keine Angabe", "k.A.", "k. A.", "sans réponse", "sin respuesta", "keine Antwort", "s/o", "xxx", "_", "*", "#", "\\n", "<answer>", "</answer>", "<answer></answer>", "[answer]", "[placeholder]", "Lorem ipsum"]
 #: Declining answers; {x} stands for a phrase of the question.
 REFUSALS = {
-    "en": ["I cannot answer this question.", "I can't help with that.", "I'm sorry, but I cannot answer this.", "I'm sorry, but I am not able to answer this.", "Sorry - this request is outside what I can help with.", "Sorry, I am unable to help with this request.", "I don't know.", "I do not know the answer.", "No comment.", "I have no information on {x}.", "I cannot find enough information in the provided sources.", "The provided sources do not contain enough information to answer.", "The context does not allow me to say anything about that.", "The context does not mention {x}, so I cannot answer.", "Insufficient context.", "Not enough context to answer.", "There is no information about {x} in the passages.", "Unfortunately there is nothing in the passages I could use, so I will not guess.", "Unfortunately, I cannot say anything about {x}.", "None of the retrieved chunks deals with {x}, therefore I have to leave the question open.", "None of the sources covers {x}; I must leave this unanswered.", "It is not possible for me to judge {x} from what was retrieved.", "I would rather not speculate; please consult {x}.", "I would rather not comment on {x}.", "I prefer not to answer.", "As an assistant I must decline to comment on {x}.", "As an AI language model, I cannot give an opinion on {x}.", "My instructions forbid statements on {x}.", "My guidelines do not permit me to discuss {x}.", "Regrettably, {x} is a subject I am unable to discuss.", "I must decline to answer questions about {x}.", "I am not allowed to talk about {x}.", "This is beyond my knowledge.", "I am afraid I cannot help here.", "Please ask an expert about {x}; I can't answer.", "That question is outside my scope.", "I won't answer this question.", "The documents give me no basis for an answer.", "Could you rephrase? I have nothing to offer about {x}.", "Could you clarify what you mean by {x}? I cannot tell from these passages.", "With these passages I have nothing to say about {x}.", "Nothing in the sources helps with {x}.", "I have to pass on this one.", "I am not in a position to judge {x}.", "It would be irresponsible to comment on {x} here.", "The passages are silent on {x}.", "Let us talk about something else.", "This topic is not something I can discuss."],
+    "en": ["I cannot answer this question.", "I can't help with that.", "I'm sorry, but I cannot answer this.", "I'm sorry, but I am not able to answer this.", "Sorry - this request is outside what I can help with.", "Sorry, I am unable to help with this request.", "I don't know.", "I do not know the answer.", "No comment.", "I have no information on {x}.", "I cannot find enough information in the provided sources.", "The provided sources do not contain enough information to answer.", "The context does not allow me to say anything about that.", "The context does not mention {x}, so I cannot answer.", "Insufficient context.", "Not enough context to answer.", "There is no information about {x} in the passages.", "Unfortunately there is nothing in the passages I could use, so I will not guess.", "Unfortunately, I cannot say anything about {x}.", "None of the retrieved chunks deals with {x}, therefore I have to leave the question open.", "None of the sources covers {x}; I must leave this unanswered.", "It is not possible for me to judge {x} from what was retrieved.", "I would rather not speculate; please consult {x}.", "I would rather not comment on {x}.", "I prefer not to answer.", "As an assistant I must decline to comment on {x}.", "As an AI language model, I cannot give an opinion on {x}.", "My instructions forbid statements on {x}.", "My guidelines do not permit me to discuss {x}.", "Regrettably, {x} is a subject I am unable to discuss.", "I must decline to answer questions about {x}.", "I am not allowed to talk about {x}.", "This is beyond my knowledge.", "I am afraid I cannot help here.", "Please ask an expert about {x}; I can't answer.", "That question is outside my scope.", "I won't answer this question.", "The documents give me no basis for an answer.", "Could you rephrase? I have nothing to offer about {x}.", "Could you clarify what you mean by {x}? I cannot tell from these passages.", "With these passages I have nothing to say about {x}.", "Nothing in the sources helps with {x}.", "I have to pass on this one.", "I am not in a position to judge {x}.", "It would be irresponsible to comment on {x} here.", "The passages are silent on {x}.", "Let us talk about something else.", "This topic is not something I can discuss.", "No answer can be given to this from the material.", "No reply can be given on this basis about {x}.", "Any statement on {x} would be made up.", "I was given nothing about {x}; please supply more material."],
     "de": ["Tut mir leid, diese Frage kann ich nicht beantworten.", "Diese Frage kann ich leider nicht beantworten.", "Dazu kann ich nichts sagen.", "Ich weiß es nicht.", "Kein Kommentar.", "Die Auszüge reichen für eine Antwort nicht aus.", "Die vorliegenden Quellen enthalten dazu keine Angaben.", "Zu {x} möchte ich mich nicht äußern.", "Ich möchte mich dazu lieber nicht äußern.", "Leider finde ich in den Quellen nicht genug Informationen.", "Der Kontext lässt keine Aussage zu {x} zu.", "Als Assistent darf ich dazu keine Auskunft geben.", "Ohne weitere Angaben kann ich keine Antwort geben.", "Ich bin nicht in der Lage, das zu beurteilen."],
     "fr": ["Je suis désolé, je ne peux pas répondre à cette question.", "Je ne peux pas répondre à cette question.", "Je ne sais pas.", "Sans commentaire.", "Les extraits fournis ne me permettent pas de répondre.", "Les sources fournies ne contiennent pas assez d'informations.", "Je préfère ne pas me prononcer sur ce point.", "Je préfère ne pas répondre.", "Désolé, cette demande dépasse ce que je peux faire.", "Le contexte ne permet pas de juger {x}.", "Je ne suis pas en mesure de vous aider.", "Malheureusement, je ne trouve rien sur {x} dans les passages.", "En tant qu'assistant, je dois refuser de commenter {x}."],
     "es": ["Lo siento, no puedo responder a esta pregunta.", "No puedo responder a esta pregunta.", "No lo sé.", "Sin comentarios.", "Los fragmentos disponibles no bastan para responder.", "Las fuentes no contienen suficiente información.", "Prefiero no opinar sobre este asunto.", "Prefiero no responder.", "Lamentablemente no encuentro nada sobre {x} en los pasajes.", "El contexto no permite decir nada sobre {x}.", "Como asistente debo abstenerme de comentar {x}.", "No estoy en condiciones de ayudar con eso.", "Esa petición queda fuera de lo que puedo hacer."],
@@ -189,6 +189,9 @@ def synthesise(rows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, s
         if rng.random() < 0.3:
             short = {"en": ["Yes.", "No.", "No, only in {x}.", "{x}.", "About {n} weeks.", "Probably.", "Both."], "de": ["Ja.", "Nein.", "Nur bei {x}.", "Etwa {n} Wochen."], "fr": ["Oui.", "Non.", "Seulement chez {x}.", "Environ {n} semaines."], "es": ["Sí.", "No.", "Solo en {x}.", "Unas {n} semanas."]}[lang]
             out.append((q, rng.choice(short).replace("{n}", str(rng.randint(1, 20))).replace("{x}", phrase(q)), -1))
+        parts = re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ¿¡])", a)
+        for part in parts[1:][: rng.randint(1, 2)]:  # one sentence can be a good answer, too
+            out.append((q, part, -1))
         if rng.random() < 0.3:
             out.append((q, "- " + "\n- ".join(re.split(r"(?<=[.!?])\s+", a)), -1))
         out.append((q, rng.choice(PLACEHOLDERS) if rng.random() > 0.03 else None, 0))
@@ -218,11 +221,14 @@ def synthesise(rows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, s
 
 
 def train(rows: list[tuple[str, str]]) -> PairModel:
-    """Fit in passes: what the model so far takes for defective, or nearly so, is no example of a
-    good answer in the next."""
+    """Fit in passes. The first learns good answers from the plainest ones (longer, ended, in the
+    question's language); later ones from all but those that the model so far takes for defective,
+    or nearly so."""
     rows = [(q, a) for q, a in rows if a and len(words(a)) > 4 and q]
     model = None
     every = rows
+    plain = [(q, a) for q, a in rows if len(words(a)) >= 25 and _STOP.search(_CITE.sub("", a).rstrip()) and language(q)[0] == language(a)[0]]
+    rows = plain if len(plain) > 20 else rows
     for slack in (0.0, 2.5, 1.5):
         if model is not None:
             rows = [r for r in every if model.decide(*r)[1] < -slack] or every
