@@ -31,6 +31,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, if they keep fewer than half of them busy.
+
+    For work in Python over plans without a shuffle (scans) and over checkpointed rows. Larger
+    inputs have partitions enough and stay as they are; a small file is one partition.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 2 * df._jdf.rdd().getNumPartitions() <= n else df
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 1000) -> DataFrame:
     """Run ``fn`` on slices of Arrow batches as columns of Python lists; it returns columns of ``schema``.
 
