@@ -311,7 +311,8 @@ def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
     x = left.select(F.col("id").alias("l"), *[F.col(n).alias("a" + n) for n in names])
     y = right.select(F.col("id").alias("r"), *[F.col(n).alias("b" + n) for n in names])
     types = dict(pairs.dtypes)
-    return map_rows(pairs.join(x, "l").join(y, "r"), f"l {types['l']}, r {types['r']}, theta double, claim string", judge, rows=10_000)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number isn't coalesced: scoring is Python's
+    return map_rows(pairs.join(x, "l").repartition(width, "r").join(y, "r"), f"l {types['l']}, r {types['r']}, theta double, claim string", judge, rows=10_000)
 
 
 _BUILT: list = [None, None]

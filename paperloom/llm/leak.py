@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import hash_words, shingle_hashes, signed, words
-from paperloom.runtime import durable, map_rows
+from paperloom.runtime import durable, map_rows, spread
 
 SEED_WORDS, WINDOW_WORDS = 5, 10
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -86,7 +86,7 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             out["seed"].extend(h.tolist())
         return out
 
-    met = map_rows(docs, f"doc {dict(docs.dtypes)['doc']}, seed bigint", run)
+    met = map_rows(spread(docs), f"doc {dict(docs.dtypes)['doc']}, seed bigint", run)
     return met if known is not None else met.join(distinct, "seed", "left_semi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import hash_words, mix, shingle_hashes, signed, words
-from paperloom.runtime import durable, map_rows
+from paperloom.runtime import durable, map_rows, spread
 
 #: Fingerprints per text, symbols of a fingerprint, and the edit radius of the ball around one
 #: (symbols exchanged); each side walks half of that way, so it drops RADIUS // 2 symbols.
@@ -61,7 +61,7 @@ def fingerprint_texts(df: DataFrame, key: str, text: str, shingle: int, fingerpr
             bits |= ((values[:, k % count] >> np.uint64(20 + k // count)) & np.uint64(1)) << np.uint64(k)
         return {"id": ids, "class": signed(np.array(classes, dtype=np.uint64)), "bits": signed(bits), "symbols": [row.tobytes() for row in short]}
 
-    return map_rows(src, f"id {dict(src.dtypes)['id']}, class bigint, bits bigint, symbols binary", run)
+    return map_rows(spread(src), f"id {dict(src.dtypes)['id']}, class bigint, bits bigint, symbols binary", run)
 
 
 def variant_keys(fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS) -> Column:

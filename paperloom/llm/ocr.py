@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.perceptron import Perceptron
-from paperloom.runtime import durable, map_rows
+from paperloom.runtime import durable, map_rows, spread
 
 WORD = re.compile(r"[^\W_]+")
 #: Usual confusions of scanners, as printed -> as read.
@@ -383,16 +383,17 @@ def word_counts(df: DataFrame) -> DataFrame:
         yield batch_of(every, clean)
 
     texts = df.select(F.explode("sections").alias("s")).select("s.text").where("text is not null")
-    return texts.mapInArrow(run, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+    return spread(texts).mapInArrow(run, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
 def fit(df: DataFrame, counts: DataFrame) -> Models:
     """Models from a bounded sample: the clean sections of the SAMPLE_DOCUMENTS documents least by hash, and the COMMON_WORDS most frequent words."""
     clean = F.expr("transform(filter(sections, s -> s.text is not null and length(s.text) > 200 and not s.text rlike '[^\\\\n]\\\\n[^\\\\n]'), s -> s.text)")
-    sample = df.select(F.struct("metadata.title", "metadata.journal", "metadata.authors").alias("metadata"), F.slice(clean, 1, 3).alias("texts"), F.xxhash64("document_id").alias("h")).where("size(texts) > 0")
-    # the least hashes first, so that no task sends texts to the driver beyond the sample
+    # the least hashes first, so that texts are read, and sent to the driver, of the sample only
     least = df.where("size(sections) > 1").select(F.xxhash64("document_id").alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
-    rows = sample.join(F.broadcast(least), "h").dropDuplicates(["h"]).orderBy("h").collect()
+    chosen = df.select(F.xxhash64("document_id").alias("h"), "metadata", "sections").join(F.broadcast(least), "h").dropDuplicates(["h"])
+    sample = chosen.select("h", F.struct("metadata.title", "metadata.journal", "metadata.authors").alias("metadata"), F.slice(clean, 1, 3).alias("texts")).where("size(texts) > 0")
+    rows = sample.orderBy("h").collect()
     papers = [(r["metadata"].asDict() if r["metadata"] else None, list(r["texts"])) for r in rows]
     # words of clean sections; where all were scanned, of all, but for the rare ones (misread forms are)
     some = counts.where("clean > 1").limit(1).count() > 0
@@ -486,7 +487,7 @@ def scan_noise(df: DataFrame) -> DataFrame:
                     add(d, o, "hyphen", None)
         return out
 
-    seen = durable(map_rows(_rows(df), "document_id string, o int, noise string, word string", run))
+    seen = durable(map_rows(spread(_rows(df)), "document_id string, o int, noise string, word string", run))
     bad = seen.where("word is not null").join(fixes.select("word"), "word", "left_semi").select("document_id", "o", F.lit("misread").alias("noise"))
     return seen.where("noise is not null").select("document_id", "o", "noise").union(bad).distinct().select("document_id", F.col("o").alias("section_order"), "noise")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import mix, signed
-from paperloom.runtime import durable, map_rows
+from paperloom.runtime import durable, map_rows, spread
 
 #: Characters of a phrase; phrases of one automaton; texts a shard streams before it is salted.
 PHRASE, SHARD_PHRASES, SHARD_TEXTS = 160, 2000, 4000
@@ -72,7 +72,7 @@ def _phrases(texts: DataFrame, span: int) -> DataFrame:
                 out["phrase"].extend(mine.tolist())
         return out
 
-    return map_rows(texts, f"rep {dict(texts.dtypes)['rep']}, phrase bigint", run)
+    return map_rows(spread(texts), f"rep {dict(texts.dtypes)['rep']}, phrase bigint", run)
 
 
 def _occurrences(texts: DataFrame, recurring: DataFrame, span: int) -> DataFrame:

@@ -8,7 +8,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import map_rows
+from paperloom.runtime import map_rows, spread
 
 TOKEN = re.compile(r"\b\w+(?:[-']\w+)?\b|[^\w\s]")
 HEADING = re.compile(r"^(?:#{1,6}\s+\S.*|\d+(?:\.\d+)*\.?\s+[A-Z][^.!?\n]{1,90}|[A-Z][A-Z0-9 ,:&/-]{2,99})$", re.M)
@@ -164,7 +164,7 @@ def split_oversized(df: DataFrame, text: str, keys: list[str], max_tokens: int =
         return out
 
     schema = ", ".join([*(f"{n} {types[n]}" for n in names), "tokens int, piece_index int, start int, stop int, token_count int, piece string"])
-    return map_rows(src, schema, run).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "tokens", "piece_index", "start", "stop", "token_count", "piece")
+    return map_rows(spread(src), schema, run).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "tokens", "piece_index", "start", "stop", "token_count", "piece")
 
 
 def texts_to_split(chunks: DataFrame, documents: DataFrame) -> DataFrame:

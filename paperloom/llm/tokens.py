@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import map_rows
+from paperloom.runtime import map_rows, spread
 
 #: Fixed value: the published pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,4 +135,4 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
         codec = encoder(path)
         return {"k": cols["k"], "ids": [codec.encode(t) for t in cols["t"]]}
 
-    return map_rows(src, f"k {dict(src.dtypes)['k']}, ids array<int>", run).select(F.col("k").alias(key), "ids")
+    return map_rows(spread(src), f"k {dict(src.dtypes)['k']}, ids array<int>", run).select(F.col("k").alias(key), "ids")
