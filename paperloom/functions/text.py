@@ -51,16 +51,27 @@ def split_paragraphs(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
+def _caption(s: Column) -> Column:
+    return s.rlike(CAPTION)
+
+
+def _notice(s: Column) -> Column:
+    low = F.lower(s)
+    return (s == "") | s.rlike(NOTICE) | low.startswith(NOTICE_PREFIXES[0]) | low.startswith(NOTICE_PREFIXES[1]) | low.startswith(NOTICE_PREFIXES[2])
+
+
+def _standalone_caption(s: Column) -> Column:
+    return _caption(s) & ~s.rlike(PROSE_VERBS)
+
+
 def is_caption(c: Column) -> Column:
     """Starts like a figure or table label."""
-    return normalize_whitespace(c).rlike(CAPTION)
+    return _caption(normalize_whitespace(c))
 
 
 def is_notice(c: Column) -> Column:
     """blank, or starts like a notice of supplementary material."""
-    s = normalize_whitespace(c)
-    low = F.lower(s)
-    return (s == "") | s.rlike(NOTICE) | low.startswith(NOTICE_PREFIXES[0]) | low.startswith(NOTICE_PREFIXES[1]) | low.startswith(NOTICE_PREFIXES[2])
+    return _notice(normalize_whitespace(c))
 
 
 def is_caption_or_notice(c: Column) -> Column:
@@ -70,7 +81,7 @@ def is_caption_or_notice(c: Column) -> Column:
 
 def is_standalone_caption(c: Column) -> Column:
     """a caption without a verb of prose."""
-    return is_caption(c) & ~normalize_whitespace(c).rlike(PROSE_VERBS)
+    return _standalone_caption(normalize_whitespace(c))
 
 
 def heading_excluded(c: Column) -> Column:
@@ -83,25 +94,35 @@ def heading_excluded(c: Column) -> Column:
 
 
 def protect_abbreviations(c: Column) -> Column:
-    """T4: the stops of abbreviations (anywhere, in any case) and initials, replaced by a placeholder."""
+    """T4: the stops of abbreviations (anywhere, in any case) and initials, replaced by a placeholder.
+
+    Abbreviations of several stops go first; a stop after any of the others is found in one pass.
+    """
     for a in ABBREVIATIONS:
         parts = a.split(".")[:-1]
-        pattern = "(?iu)" + "".join(f"({p})\\." for p in parts)
-        c = F.regexp_replace(c, pattern, "".join(f"${i + 1}{PLACEHOLDER}" for i in range(len(parts))))
+        if len(parts) > 1:
+            pattern = "(?iu)" + "".join(f"({p})\\." for p in parts)
+            c = F.regexp_replace(c, pattern, "".join(f"${i + 1}{PLACEHOLDER}" for i in range(len(parts))))
+    single = "|".join(a[:-1] for a in ABBREVIATIONS if a.count(".") == 1)
+    c = F.regexp_replace(c, rf"(?iu)(?<={single})\.", PLACEHOLDER)
     return F.regexp_replace(c, r"(?U)\b([A-Z])\.(?=\s+[A-Z]\.)", "$1" + PLACEHOLDER)
 
 
+def _sentences(normalized: Column) -> Column:
+    raw = F.split(protect_abbreviations(normalized), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9(\"'\[])")
+    clean = F.transform(raw, lambda s: strip(F.replace(s, F.lit(PLACEHOLDER), F.lit("."))))
+    return F.filter(clean, lambda s: ~_notice(s) & ~_standalone_caption(s))  # blank ones are notices
+
+
 def split_sentences(c: Column) -> Column:
     """T5: sentences without notices and labels, abbreviations respected; an array, empty for blank texts."""
-    raw = F.split(protect_abbreviations(normalize_whitespace(c)), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9(\"'\[])")
-    clean = F.transform(raw, lambda s: strip(F.replace(s, F.lit(PLACEHOLDER), F.lit("."))))
-    return F.filter(clean, lambda s: (s != "") & ~is_notice(s) & ~is_standalone_caption(s))
+    return _sentences(normalize_whitespace(c))
 
 
 def section_sentences(c: Column) -> Column:
     """Sentences of a section's paragraphs that are no captions or notices."""
-    kept = F.filter(split_paragraphs(F.coalesce(c, F.lit(""))), lambda p: ~is_caption_or_notice(p))
-    return F.flatten(F.transform(kept, split_sentences))
+    kept = F.filter(split_paragraphs(F.coalesce(c, F.lit(""))), lambda p: ~(_caption(p) | _notice(p)))
+    return F.flatten(F.transform(kept, _sentences))
 
 
 def safe_filename(c: Column) -> Column:

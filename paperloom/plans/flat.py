@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import flatten
-from paperloom.runtime import table
+from paperloom.runtime import durable, table
 
 
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _members(spark: SparkSession, sf: str, pattern: str, fields: dict[str, str]) -> DataFrame:
     """One row per object or string at a path like ``pattern``, with some members of it as columns."""
-    rows = flatten.flatten_records(table(spark, sf, "raw_records"), "record_id", "payload")
+    rows = durable(flatten.flatten_records(table(spark, sf, "raw_records"), "record_id", "payload"))  # read twice below
     leaves = rows.where("NOT in_array AND value IS NOT NULL").select("record_id", F.expr("regexp_extract(path, '^(.*)[.][^.]*$', 1)").alias("path"), "name", F.col("value").alias("v"))
     wide = leaves.groupBy("record_id", "path").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(c) for n, c in fields.items()])
     items = rows.where(F.col("in_array") & (F.col("kind") != "null") & F.col("path").rlike(pattern))

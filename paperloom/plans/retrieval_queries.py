@@ -10,14 +10,14 @@ from paperloom.functions import embed
 from paperloom.functions import text as T
 from paperloom.operators import retrieve
 from paperloom.operators.relational import keep_first
-from paperloom.runtime import durable, table
+from paperloom.runtime import durable, spread, table
 
 PROFILE = RetrievalProfile(allow_overrides=True)
 
 
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """E3 over documents, vectors rounded."""
-    v = embed.hash_embedding(table(spark, sf, "documents"), "doc_id", "text")
+    v = embed.hash_embedding(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return v.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
@@ -129,7 +129,7 @@ def formatted_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def text_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: chunks and questions embedded, the 20 nearest chunks of every stated question
     (items divisible by 20), reranked lexically, the first eight formatted as a context."""
-    chunks = durable(_chunks(spark, sf).where("coalesce(text, '') <> ''"))
+    chunks = spread(durable(_chunks(spark, sf).where("coalesce(text, '') <> ''")))
     asked = table(spark, sf, "benchmark_questions").where("item_id % 20 = 0 and coalesce(question, '') <> ''").select("item_id", "question")
     vectors = durable(embed.hash_embedding(chunks, "chunk_id", "text"))
     hits = retrieve.knn(embed.hash_embedding(asked, "item_id", "question"), vectors, "item_id", "chunk_id", "embedding", PROFILE.top_k)
@@ -144,7 +144,7 @@ def strategies(spark: SparkSession, sf: str) -> DataFrame:
     hypothetical passage, its sentences for the rephrased queries; each third verdict is no."""
     from paperloom.operators.strategies import Strategies
 
-    chunks = durable(_chunks(spark, sf).where("coalesce(text, '') <> ''").select("chunk_id", "text"))
+    chunks = spread(durable(_chunks(spark, sf).where("coalesce(text, '') <> ''").select("chunk_id", "text")))
     vectors = durable(embed.hash_embedding(chunks, "chunk_id", "text"))
     verdict = F.when(F.pmod("item_id", F.lit(3)) == 0, F.lit('{"sufficient": false, "improved_query": "dogs and owners"}')).otherwise(F.lit('Verdict: {"sufficient": true}'))
     asked = table(spark, sf, "benchmark_questions").where("item_id % 20 = 0 and coalesce(question, '') <> ''")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import chunk, corpus, extract
-from paperloom.runtime import table
+from paperloom.runtime import spread, table
 
 
 def _once(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,7 +15,9 @@ def _once(spark: SparkSession, sf: str) -> DataFrame:
     from paperloom.operators.relational import keep_first
 
     df = table(spark, sf, "extracted_documents").select("document_id", "extraction_method", "source_type", "source_identifier", "metadata", "sections", "extracted_at")
-    return keep_first(df, ["document_id"], ["extracted_at"])
+    # by a fixed number of partitions, which the grouping by the same key uses as they are
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keep_first(df.repartition(width, "document_id"), ["document_id"], ["extracted_at"])
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +53,7 @@ _PREFIXES = ("", "Fig. 3 ", "Table 2: ", "Figure 12-", "Additional file 1 ", "Su
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """T4 and T5 over documents."""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_sentences(F.coalesce("text", F.lit("")))).alias("sentence_index", "sentence"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.split_sentences(F.coalesce("text", F.lit("")))).alias("sentence_index", "sentence"))
 
 
 def section_filter(spark: SparkSession, sf: str) -> DataFrame:
