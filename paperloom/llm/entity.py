@@ -20,6 +20,9 @@ COMMON_SHARE = 0.08
 KEY_WORDS, KEY_SIZE = 7, 4
 #: Candidates below this log-odds can't reach a marginal of 0.5 nor weigh on others.
 FLOOR = -6.0
+#: Words of two titles are held against each other for typing errors if there are so few pairs of
+#: unmatched ones; titles with more have nothing in common.
+MOST_PAIRS = 10_000
 #: The most that titles speak for a match.
 TITLE_MOST = 13.0
 #: English function words, which styles and typing leave out.
@@ -202,7 +205,7 @@ class Titles:
         left = [i for i in range(len(b)) if not taken[i]]
         if "".join(odd) == "".join(b[i] for i in left):  # split or joined words only
             odd, left = [], []
-        for w in list(odd):
+        for w in list(odd) if len(odd) * len(left) <= MOST_PAIRS else ():
             i = next((i for i in left if near(w, b[i])), None)
             if i is not None:
                 odd.remove(w)

@@ -156,18 +156,19 @@ def _thresholds(w: np.ndarray, x: list[np.ndarray], y: np.ndarray) -> np.ndarray
     return out
 
 
-def synthesise(rows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, str | None, int]]:
+def synthesise(rows: list[tuple[str, str]], pool: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, str | None, int]]:
     """(question, answer, label index or -1): every row as it is, and made defective; few rows
-    several times, differently."""
+    several times, differently. What is made of a row depends on it and on the pool (from which
+    phrases and other languages' answers are taken) alone."""
     rng = random.Random(seed)
     by_language: dict[str, list[tuple[str, str]]] = {}
-    for q, a in rows:
+    for q, a in pool:
         by_language.setdefault(language(q)[0] or "en", []).append((q, a))
     out: list[tuple[str, str | None, int]] = []
     tongues = [k for k, v in by_language.items() if len(v) >= 3]
 
     def phrase(q: str) -> str:
-        q = q if rng.random() < 0.5 else rng.choice(rows)[0]
+        q = q if rng.random() < 0.5 else rng.choice(pool)[0]
         ws = q.strip("?¿ .").split()
         n = rng.randint(1, 5)
         k = rng.randrange(max(1, len(ws) - n))
@@ -176,7 +177,9 @@ def synthesise(rows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, s
     def case(t: str) -> str:
         return rng.choice([t, t, t.upper(), t.lower(), t.rstrip("?") + rng.choice(["", ".", "?!", "..."]), t.title()])
 
-    for q, a in rows * max(1, SAMPLE_ROWS // max(1, 2 * len(rows))):
+    repeats = max(1, SAMPLE_ROWS // max(1, 2 * len(pool)))
+    for n, (q, a) in ((n, r) for r in rows for n in range(repeats)):
+        rng = random.Random(f"{seed} {n} {q} {a}")
         lang = language(q)[0] or "en"
         out.append((q, a, -1))
         soft = rng.choice(SOFT[lang] + OPENINGS[lang])
@@ -228,18 +231,27 @@ def train(rows: list[tuple[str, str]]) -> PairModel:
     model = None
     every = rows
     plain = [(q, a) for q, a in rows if len(words(a)) >= 25 and _STOP.search(_CITE.sub("", a).rstrip()) and language(q)[0] == language(a)[0]]
-    rows = plain if len(plain) > 20 else rows
-    for slack in (0.0, 2.5, 1.5):
+    rows = pool = plain if len(plain) > 20 else rows
+    known: dict[tuple[str, str | None], np.ndarray] = {}
+
+    def vector(q: str, a: str | None) -> np.ndarray:
+        x = known.get((q, a))
+        if x is None:
+            x = known[q, a] = hashed(features(q, a))
+        return x
+
+    for slack, epochs in ((0.0, 4), (2.5, 4), (1.5, 8)):
         if model is not None:
-            rows = [r for r in every if model.decide(*r)[1] < -slack] or every
-        examples = synthesise(rows)
-        x = [hashed(features(q, a)) for q, a, _ in examples]
+            margins = (model.logits([vector(q, a) for q, a in every]) - model.thresholds).max(axis=1)
+            rows = [r for r, m in zip(every, margins) if m < -slack] or every
+        examples = synthesise(rows, pool)
+        x = [vector(q, a) for q, a, _ in examples]
         y = np.zeros((len(x), len(LABELS)))
         for k, (_, _, label) in enumerate(examples):
             if label >= 0:
                 y[k, label] = 1
         held = np.arange(len(x)) % 5 == 0
-        w = _fit([x[i] for i in np.flatnonzero(~held)], y[~held])
+        w = _fit([x[i] for i in np.flatnonzero(~held)], y[~held], epochs)
         model = PairModel(w, _thresholds(w, [x[i] for i in np.flatnonzero(held)], y[held]))
     return model
 

@@ -147,3 +147,18 @@ def test_leaks(spark, monkeypatch, broadcast):
     it = spark.createDataFrame(items, "item bigint, question string, answer string").selectExpr("*", "3 as doc")
     got = leak.leaks(df, "doc", "text", it, "item", ["question", "answer"])
     assert {(r["doc"], r["item"]) for r in got.where("longest_run >= 10").collect()} == expected
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    voc = vocabulary(rng, 3000)
+    long = " ".join(rng.choice(voc) for _ in range(60_000))
+    other = long[:200_000] + " something else " + long[200_000:]
+    df = spark.createDataFrame([(1, long), (2, other), (3, "short text of a few words only here now then and when")], "id bigint, text string")
+    members, links = neardup.near_duplicates(df, "id", "text")
+    assert {tuple(r) for r in neardup.expand_pairs(members, links).collect()} == {(1, 2)}
+    m, _, p = spans.shared_spans(df, "id", "text")
+    assert {tuple(r) for r in spans.expand_pairs(m, p).collect()} == {(1, 2)}
+    item = spark.createDataFrame([(7, " ".join(long.split()[30_000:30_020]), None)], "item bigint, question string, answer string")
+    got = leak.leaks(df, "id", "text", item, "item", ["question", "answer"]).collect()
+    assert {(r["doc"], r["longest_run"]) for r in got} == {(1, 20), (2, 20)}
