@@ -23,14 +23,9 @@ def question_groups(rows: DataFrame, order: str = "item_id") -> DataFrame:
     filled = forward_fill_group(rows, order, (nr != "") | (q != "")).where("head is not null")
     answer, source = T.strip(F.coalesce("answer", F.lit(""))), T.strip(F.coalesce("source", F.lit("")))
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), answer.alias("a"), source.alias("s"), nr.alias("nr"), q.alias("q"), T.strip(F.coalesce("question_type", F.lit(""))).alias("t"))))
-    g = filled.groupBy("head").agg(parts.alias("x"))
-    first = g.select("head", F.col("x")[0].alias("f"), F.array_compact(F.transform("x", lambda e: F.when(e.a != "", e.a))).alias("reference_answers"), F.array_distinct(F.array_compact(F.transform("x", lambda e: F.when(e.s != "", e.s)))).alias("expected_sources"))
-    # ordinals only where a number is blank: those groups are counted against all heads
-    blank = first.where("f.nr = ''").select("head")
-    heads = first.select(F.col("head").alias("h"))
-    ordinal = blank.join(heads, F.col("h") <= F.col("head")).groupBy("head").agg(F.count("*").alias("n"))
-    out = first.join(F.broadcast(ordinal), "head", "left")
-    return out.select("head", T.clean_question_id(F.col("f.nr"), F.coalesce("n", F.lit(0))).alias("question_id"), F.col("f.q").alias("question"), F.col("f.t").alias("question_type"), "reference_answers", "expected_sources")
+    g = filled.groupBy("head").agg(parts.alias("x"), F.max("ordinal").alias("n"))
+    out = g.select("head", "n", F.col("x")[0].alias("f"), F.array_compact(F.transform("x", lambda e: F.when(e.a != "", e.a))).alias("reference_answers"), F.array_distinct(F.array_compact(F.transform("x", lambda e: F.when(e.s != "", e.s)))).alias("expected_sources"))
+    return out.select("head", T.clean_question_id(F.col("f.nr"), F.col("n")).alias("question_id"), F.col("f.q").alias("question"), F.col("f.t").alias("question_type"), "reference_answers", "expected_sources")
 
 
 def retrieval_metrics(chunks: Column, expected: Column) -> dict[str, Column]:

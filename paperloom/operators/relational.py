@@ -33,19 +33,39 @@ def _maps() -> tuple:
 
 def forward_fill_group(df: DataFrame, order: str, is_head: Column, partitions: int | None = None) -> DataFrame:
     """Each row with ``head``: the order value of the last head row at or before it (NULL before
-    the first). Rows are range-partitioned by the order; each range's last head is carried over by
-    a table of one row per range, so no task sees more than its range. Ties in the order share
-    their head; rows with a NULL order come first.
+    the first), and ``ordinal``: the number of heads up to there. Rows are range-partitioned by the
+    order; each range's last head and count are carried over by a table of one row per range, so no
+    task sees more than its range. Ties in the order share their head; rows with a NULL order come
+    first.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = df.withColumn("_head", F.when(is_head, F.col(order)))
     ranged = durable(marked.repartitionByRange(n, F.col(order).asc_nulls_first()).withColumn("_pid", F.spark_partition_id()))
-    last = ranged.groupBy("_pid").agg(F.max("_head").alias("_last"))
+    last = ranged.groupBy("_pid").agg(F.max("_head").alias("_last"), F.count("_head").alias("_heads"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    carry = last.withColumn("_carry", F.max("_last").over(before)).select("_pid", "_carry")
+    carry = last.select("_pid", F.max("_last").over(before).alias("_carry"), F.coalesce(F.sum("_heads").over(before), F.lit(0)).alias("_count"))
     inside = Window.partitionBy("_pid").orderBy(F.col(order).asc_nulls_first())
-    out = ranged.withColumn("_own", F.max("_head").over(inside)).join(F.broadcast(carry), "_pid", "left")
-    return out.withColumn("head", F.coalesce("_own", "_carry")).drop("_head", "_pid", "_own", "_carry")
+    out = ranged.withColumn("_own", F.max("_head").over(inside)).withColumn("_n", F.count("_head").over(inside)).join(F.broadcast(carry), "_pid", "left")
+    out = out.withColumn("head", F.coalesce("_own", "_carry")).withColumn("ordinal", F.col("_n") + F.col("_count"))
+    return out.drop("_head", "_pid", "_own", "_carry", "_n", "_count")
+
+
+def rank_in_groups(df: DataFrame, groups: list[str], score: str, ties: list[Column], name: str, cuts: int = 15, competition: bool = False) -> DataFrame:
+    """Rows with their rank in their group by a descending numeric score (no NULL or NaN).
+
+    A group is never ranked in one task: approximate quantiles (mergeable sketches) cut its scores
+    into ranges, counts of the ranges give offsets, and only within a range rows are sorted. Equal
+    scores lie in one range. ``ties`` order equal scores; with ``competition`` they share the better
+    rank instead. The result is exact whatever the quantiles are.
+    """
+    shape = df.groupBy(*groups).agg(F.percentile_approx(score, [x / (cuts + 1) for x in range(1, cuts + 1)], 1000).alias("_cuts"))
+    placed = df.join(shape, groups).withColumn("_range", F.expr(f"size(filter(_cuts, c -> c < `{score}`))")).drop("_cuts")
+    sizes = placed.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(*groups).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*groups, "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy(*groups, "_range").orderBy(F.desc(score), *([] if competition else ties))
+    number = F.rank() if competition else F.row_number()
+    return placed.join(offsets, [*groups, "_range"]).withColumn(name, F.col("_above") + number.over(inside)).drop("_range", "_above")
 
 
 def split_existing(new: DataFrame, existing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

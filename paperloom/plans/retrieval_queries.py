@@ -9,7 +9,7 @@ from paperloom.config import RetrievalProfile
 from paperloom.functions import embed
 from paperloom.functions import text as T
 from paperloom.operators import retrieve
-from paperloom.operators.relational import keep_first
+from paperloom.operators.relational import keep_first, rank_in_groups
 from paperloom.runtime import durable, spread, table
 
 PROFILE = RetrievalProfile(allow_overrides=True)
@@ -51,11 +51,9 @@ def knn_label_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranked_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Per journal two ranked lists of retrieved rows: by distance and by rerank score."""
-    from pyspark.sql import Window
-
     s = keep_first(table(spark, sf, "sources").select("source_id", "journal", "distance", "rerank_score"), ["source_id"], ["distance"]).where("coalesce(journal, '') <> ''")
-    near = s.where("distance is not null").withColumn("rank", F.row_number().over(Window.partitionBy("journal").orderBy("distance", "source_id"))).select("journal", "source_id", F.lit(0).alias("list"), "rank")
-    best = s.where("rerank_score is not null").withColumn("rank", F.row_number().over(Window.partitionBy("journal").orderBy(F.desc("rerank_score"), "source_id"))).select("journal", "source_id", F.lit(1).alias("list"), "rank")
+    near = rank_in_groups(s.where("distance is not null").withColumn("near", -F.col("distance")), ["journal"], "near", [F.asc("source_id")], "rank").select("journal", "source_id", F.lit(0).alias("list"), "rank")
+    best = rank_in_groups(s.where("rerank_score is not null"), ["journal"], "rerank_score", [F.asc("source_id")], "rank").select("journal", "source_id", F.lit(1).alias("list"), "rank")
     return near.union(best)
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import evaluate
-from paperloom.operators.relational import as_number, collect_outer, forward_fill_group, keep_first, last_write_wins, upsert
+from paperloom.operators.relational import as_number, collect_outer, forward_fill_group, keep_first, last_write_wins, rank_in_groups, upsert
 
 CHUNKS = "chunks array<struct<document_id:string,title:string,source_identifier:string,doi:string>>, expected array<string>"
 
@@ -18,8 +18,21 @@ def test_question_groups(spark):
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_forward_fill_over_ranges(spark, parts):
     df = spark.createDataFrame([(i, i % 7 == 3) for i in range(50)], "i int, h boolean")
-    got = {r["i"]: r["head"] for r in forward_fill_group(df, "i", F.col("h"), parts).collect()}
-    assert got == {i: max((j for j in range(i + 1) if j % 7 == 3), default=None) for i in range(50)}
+    got = {r["i"]: (r["head"], r["ordinal"]) for r in forward_fill_group(df, "i", F.col("h"), parts).collect()}
+    assert got == {i: (max((j for j in range(i + 1) if j % 7 == 3), default=None), sum(j % 7 == 3 for j in range(i + 1))) for i in range(50)}
+
+
+@pytest.mark.parametrize("competition", [False, True])
+def test_rank_in_groups(spark, competition):
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.7 else f"g{i % 5}", i, float(rng.randint(0, 60))) for i in range(400)]
+    got = rank_in_groups(spark.createDataFrame(rows, "g string, i int, s double"), ["g"], "s", [F.asc("i")], "r", 7, competition).collect()
+    for r in got:
+        own = [(-s, i) for g, i, s in rows if g == r["g"]]
+        assert r["r"] == 1 + (sum(o[0] < -r["s"] for o in own) if competition else sorted(own).index((-r["s"], r["i"])))
+    assert len(got) == 400
 
 
 def test_metrics(spark):
