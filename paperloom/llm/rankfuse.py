@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cut points by which the scores of one group are spread over tasks before ranking.
-CUTS = 15
+from paperloom.operators.relational import rank_in_groups
 
 
 def fuse_scores(df: DataFrame, group: str, item: str, scores: list[str], constant: int = 60) -> DataFrame:
@@ -17,21 +16,16 @@ def fuse_scores(df: DataFrame, group: str, item: str, scores: list[str], constan
     group's range, then to the smaller item. Repeated rows count once (the highest of each score);
     rows without group or item, and empty tables, give nothing; other columns are not read.
 
-    A group is never ranked in one task: approximate quantiles (mergeable sketches) cut its scores
-    into ranges, counts of the ranges give offsets, and only within a range rows are sorted.
+    A group is never ranked in one task, see rank_in_groups.
     """
     src = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(s).cast("double").alias(f"s{k}") for k, s in enumerate(scores)])
     src = src.where("g is not null and i is not null")
     clean = [F.when(~F.isnan(f"s{k}"), F.col(f"s{k}")) for k in range(len(scores))]
     once = src.groupBy("g", "i").agg(*[F.max(c).alias(f"s{k}") for k, c in enumerate(clean)])
     long = once.select("g", "i", F.posexplode(F.array(*[f"s{k}" for k in range(len(scores))])).alias("m", "s")).where("s is not null")
-    shape = long.groupBy("g", "m").agg(F.percentile_approx("s", [x / (CUTS + 1) for x in range(1, CUTS + 1)], 1000).alias("cuts"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    placed = long.join(shape, ["g", "m"]).select("g", "i", "m", "s", F.expr("size(filter(cuts, c -> c < s))").alias("bucket"), F.expr("case when hi > lo then (s - lo) / (hi - lo) else 0.5D end").alias("scaled"))
-    sizes = placed.groupBy("g", "m", "bucket").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("g", "m").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("g", "m", "bucket", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("g", "m", "bucket").orderBy(F.desc("s"))
-    ranked = placed.join(offsets, ["g", "m", "bucket"]).select("g", "i", "m", "scaled", (F.col("offset") + F.rank().over(inside)).alias("rank"))
+    shape = long.groupBy("g", "m").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    placed = long.join(shape, ["g", "m"]).select("g", "i", "m", "s", F.expr("case when hi > lo then (s - lo) / (hi - lo) else 0.5D end").alias("scaled"))
+    ranked = rank_in_groups(placed, ["g", "m"], "s", [], "rank", competition=True)
     # summed in a fixed order, so that equal ranks give equal sums
     parts = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("rank"), F.col("scaled").alias("scaled"))))
     fused = ranked.groupBy("g", "i").agg(parts.alias("p"))
@@ -43,8 +37,8 @@ def fuse_scores(df: DataFrame, group: str, item: str, scores: list[str], constan
 
 def ranking(fused: DataFrame, group: str, item: str) -> DataFrame:
     """The fused items with ``fused_rank`` (1 first) within their group."""
-    w = Window.partitionBy(group).orderBy(F.desc("fused_score"), F.desc("scaled"), F.asc(item))
-    return fused.select(group, item, "fused_score", F.row_number().over(w).alias("fused_rank"))
+    out = rank_in_groups(fused, [group], "fused_score", [F.desc("scaled"), F.asc(item)], "fused_rank")
+    return out.select(group, item, "fused_score", F.col("fused_rank").cast("int").alias("fused_rank"))
 
 
 def winners(fused: DataFrame, group: str, item: str) -> DataFrame:
