@@ -154,7 +154,7 @@ m AS (SELECT result_id, strategy, second_retrieval_used, CASE WHEN len(want) > 0
 _RESULTS = "(SELECT * EXCLUDE (rn) FROM (SELECT result_id, strategy, question_id, chunks, second_retrieval_used, row_number() OVER (PARTITION BY result_id ORDER BY answered_at) AS rn FROM strategy_results) WHERE rn = 1)"
 _TITLES = f"r AS (SELECT *, [coalesce(chunks[1].title, ''), coalesce(chunks[3].document_id, 'none such') || '.pdf', 'unrelated work'] AS expected FROM {_RESULTS} WHERE chunks IS NOT NULL AND len(chunks) > 0)"
 _ONCE = "s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, strategy ORDER BY collected_at) AS rn FROM evaluation_summary) WHERE rn = 1)"
-_VALID = lambda c: f"count(CASE WHEN NOT isnan({c}) THEN 1 END) AS n_valid_{c}, round(avg(CASE WHEN NOT isnan({c}) THEN {c} END), 6) AS mean_{c}"
+_VALID = lambda c: f"count(CASE WHEN CAST({c} AS VARCHAR) <> 'nan' THEN 1 END) AS n_valid_{c}, round(avg(CASE WHEN CAST({c} AS VARCHAR) <> 'nan' THEN {c} END), 6) AS mean_{c}"
 
 
 def _collected() -> str:
@@ -163,14 +163,14 @@ def _collected() -> str:
         parts = []
         for f in fields:
             c = f"{name}_{f if f == 'second_retrieval_rate' else 'mean_' + f}"
-            v = f"CASE WHEN NOT isnan({c}) THEN round({c}, 4) END"
-            parts.append(f"max_by({v}, run_id) FILTER (WHERE {c} IS NOT NULL AND NOT isnan({c})) AS {c}")
+            v = f"CASE WHEN CAST({c} AS VARCHAR) <> 'nan' THEN round({c}, 4) END"
+            parts.append(f"max_by({v}, run_id) FILTER (WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> 'nan') AS {c}")
             cols.append(c)
         ctes.append(f"{name} AS (SELECT strategy, {', '.join(parts)} FROM s WHERE run_id % {part} <> 1 GROUP BY strategy)")
     return f"WITH {_ONCE}, {', '.join(ctes)} SELECT strategy, {', '.join(cols)} FROM custom FULL JOIN judge USING (strategy) FULL JOIN ragas USING (strategy)"
 
 
-_CLAMP = lambda f: f"CASE WHEN run_id % 4 < 3 THEN round(greatest(0, least(5, coalesce(CASE WHEN NOT isnan(judge_mean_{f}) THEN judge_mean_{f} END, 0))), 4) END AS {f}"
+_CLAMP = lambda f: f"CASE WHEN run_id % 4 < 3 THEN round(greatest(0, least(5, coalesce(CASE WHEN CAST(judge_mean_{f} AS VARCHAR) <> 'nan' THEN judge_mean_{f} END, 0))), 4) END AS {f}"
 
 ORACLES = {
     "question_groups": f"WITH {_GROUPS} SELECT question_id, question, question_type, array_to_string(answers, chr(10) || chr(10)) AS reference_answer, CAST(len(answers) AS INT) AS n_answers, array_to_string({_FIRST_SEEN.replace('{l}', 'srcs')}, '|') AS expected_sources FROM qg",
@@ -178,7 +178,7 @@ ORACLES = {
     "title_metrics": f"WITH {_TITLES}, {_METRICS} SELECT * FROM m",
     "strategy_summary": f"WITH {_TITLES}, {_METRICS} SELECT strategy, count(*) AS n_questions, round(avg(retrieval_recall), 6) AS mean_retrieval_recall, round(avg(retrieval_precision), 6) AS mean_retrieval_precision, round(avg(mrr), 6) AS mean_mrr, round(avg(matched_source_count), 6) AS mean_matched_source_count, round(avg(CAST(coalesce(second_retrieval_used, false) AS INT)), 6) AS second_retrieval_rate FROM m GROUP BY 1",
     "judge_summary": f"WITH {_ONCE} SELECT strategy, count(*) AS n_questions, {', '.join(_VALID('judge_mean_' + f) for f in JUDGE)} FROM s GROUP BY 1",
-    "valid_metrics": f"WITH {_ONCE} SELECT coalesce(bool_or(NOT isnan(ragas_mean_faithfulness) OR NOT isnan(ragas_mean_context_recall)), false) AS has_valid_metric FROM s",
+    "valid_metrics": f"WITH {_ONCE} SELECT coalesce(bool_or(CAST(ragas_mean_faithfulness AS VARCHAR) <> 'nan' OR CAST(ragas_mean_context_recall AS VARCHAR) <> 'nan'), false) AS has_valid_metric FROM s",
     "collected_summary": _collected(),
     "judge_scores": f"WITH {_ONCE} SELECT run_id, strategy, run_id % 4 < 3 AS parsed, {', '.join(_CLAMP(f) for f in JUDGE)}, CASE WHEN run_id % 4 < 3 THEN 'well grounded' END AS reason FROM s",
     "query_list": r"""WITH r AS (SELECT DISTINCT result_id, coalesce(question, '') AS o, CASE WHEN result_id % 3 = 2 THEN [] ELSE list_concat(list_concat(coalesce(retrieval_queries, []), coalesce(retrieval_queries, [])), [coalesce(replace(question, ' ', '  '), 'None'), '  a  further question ']) END AS l FROM strategy_results),
