@@ -132,8 +132,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
 
 _P4 = """
-WITH once AS (SELECT run_id, strategy, max(CASE WHEN NOT isnan(judge_mean_overall_quality) THEN judge_mean_overall_quality END) AS a,
-    max(CASE WHEN NOT isnan(custom_mean_mrr) THEN custom_mean_mrr END) AS b, max(CASE WHEN NOT isnan(ragas_mean_faithfulness) THEN ragas_mean_faithfulness END) AS c
+WITH once AS (SELECT run_id, strategy, max(CASE WHEN CAST(judge_mean_overall_quality AS VARCHAR) <> 'nan' THEN judge_mean_overall_quality END) AS a,
+    max(CASE WHEN CAST(custom_mean_mrr AS VARCHAR) <> 'nan' THEN custom_mean_mrr END) AS b, max(CASE WHEN CAST(ragas_mean_faithfulness AS VARCHAR) <> 'nan' THEN ragas_mean_faithfulness END) AS c
   FROM evaluation_summary WHERE run_id IS NOT NULL AND strategy IS NOT NULL GROUP BY 1, 2),
 long AS (SELECT run_id, strategy, 'a' AS m, a AS s FROM once WHERE a IS NOT NULL UNION ALL SELECT run_id, strategy, 'b', b FROM once WHERE b IS NOT NULL UNION ALL SELECT run_id, strategy, 'c', c FROM once WHERE c IS NOT NULL),
 ranked AS (SELECT *, rank() OVER (PARTITION BY run_id, m ORDER BY s DESC) AS r, min(s) OVER (PARTITION BY run_id, m) AS lo, max(s) OVER (PARTITION BY run_id, m) AS hi FROM long),
