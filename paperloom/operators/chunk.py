@@ -12,6 +12,7 @@ from paperloom.functions import text as T
 from paperloom.runtime import map_rows
 
 _TOKEN = re.compile(r"\b\w+(?:[-']\w+)?\b|[^\w\s]")
+#: Fixed value: the name that chunks carry of how they were made.
 CHUNKER = "section_aware_academic_v1"
 
 

@@ -13,6 +13,7 @@ from paperloom.functions import text as T
 
 #: Vectors of one block; a block of 64 doubles each takes 2 MB.
 BLOCK = 4096
+#: Fixed value: what stands for an empty context.
 NO_CONTEXT = "No relevant context found."
 
 

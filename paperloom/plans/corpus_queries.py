@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import corpus
 from paperloom.operators.relational import keep_first, split_existing, upsert
+from paperloom.operators.serve import request_error
 from paperloom.runtime import table
+from paperloom.sources.connectors import resolve_identifiers, with_fallback
 
 
 def _doi_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +108,28 @@ def upsert_store(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(old, new, "chunk_id").select("chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "chunk_index")
 
 
-QUERIES = {f.__name__: f for f in (doi_list, lookup_dois, incremental_plan, invalidated, doi_aliases, online_plan, document_records, corpus_manifest, extraction_route, upload_skip, upsert_store)}
+def resolved_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """DOIs of sources resolved by the ids of documents at hand."""
+    d = table(spark, sf, "extracted_documents").select("metadata.doi", "metadata.pmid", "metadata.pmcid")
+    return resolve_identifiers(table(spark, sf, "sources").select("doi"), d)
+
+
+def fallback_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose first extraction has too little text or failed, taken from a second one."""
+    d = keep_first(table(spark, sf, "extracted_documents").select("document_id", "sections", "extraction_method", "extracted_at"), ["document_id"], ["extracted_at"])
+    first = d.where("extraction_method is null or extraction_method <> 'pubmed_abstract'").select("document_id", "sections", F.when(F.col("extraction_method").isNull(), F.lit("service down")).alias("error"))
+    second = d.where("extraction_method is null or extraction_method <> 'pmc_jats'").select("document_id", "sections", F.lit(None).cast("string").alias("error"))
+    return with_fallback(first, second).select("document_id", F.greatest(F.size("sections"), F.lit(0)).alias("n_sections"), "fallback_used", "fallback_reason", "error")
+
+
+def request_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests made of results, with why they are refused."""
+    r = table(spark, sf, "strategy_results").select("result_id", "question", "run_id").distinct()
+    e = request_error(F.when(F.pmod("result_id", F.lit(13)) == 0, F.lit(" ")).otherwise(F.col("question")), (F.pmod("result_id", F.lit(120))).cast("int"), (F.pmod("run_id", F.lit(40))).cast("int"), F.pmod("result_id", F.lit(8)).cast("int"))
+    return r.select("result_id", e.alias("error"))
+
+
+QUERIES = {f.__name__: f for f in (doi_list, lookup_dois, incremental_plan, invalidated, doi_aliases, online_plan, document_records, corpus_manifest, extraction_route, upload_skip, upsert_store, resolved_ids, fallback_documents, request_checks)}
 
 _T = r"regexp_replace({x}, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 
@@ -129,6 +152,12 @@ _RECORDS = f"""d AS (SELECT document_id, source_type, source_identifier, extract
 _CHUNKS = "c AS (SELECT * EXCLUDE (rn) FROM (SELECT chunk_id, text, chunk_index, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at) AS rn FROM chunks) WHERE rn = 1), old AS (SELECT chunk_id, 'old ' || coalesce(text, '') AS text, chunk_index FROM c WHERE chunk_index % 3 = 0), new AS (SELECT * FROM c WHERE chunk_index % 2 = 0 AND coalesce(text, '') <> '')"
 
 ORACLES = {
+    "resolved_ids": f"""WITH k AS (SELECT {_doi("coalesce(metadata.doi, '')")} AS doi, min(nullif(trim(metadata.pmid), '')) AS pmid, min(nullif(trim(metadata.pmcid), '')) AS pmcid FROM extracted_documents GROUP BY 1), q AS (SELECT DISTINCT {_doi("coalesce(doi, '')")} AS doi FROM sources)
+SELECT q.doi, pmid, pmcid, CASE WHEN pmcid IS NOT NULL THEN 'full_text' WHEN pmid IS NOT NULL THEN 'abstract_only' ELSE 'not_found' END AS status FROM q LEFT JOIN k ON k.doi = q.doi AND k.doi <> '' WHERE q.doi <> ''""",
+    "fallback_documents": f"""WITH d AS (SELECT document_id, coalesce(sections, []) AS s, extraction_method AS m, coalesce(list_sum(list_transform(list_filter(coalesce(sections, []), lambda s: s.section_type IN ('body', 'conclusion')), lambda s: coalesce(length(s.text), 0))), 0) AS n FROM {_ONCE}),
+x AS (SELECT *, coalesce(m <> 'pubmed_abstract' AND n >= 200, false) AS good, coalesce(m <> 'pmc_jats', true) AS second, CASE WHEN m IS NULL THEN 'service down' WHEN m = 'pubmed_abstract' THEN 'not tried' ELSE 'too little structured text' END AS reason FROM d)
+SELECT document_id, CAST(CASE WHEN good OR second THEN len(s) ELSE 0 END AS INT) AS n_sections, NOT good AS fallback_used, CASE WHEN NOT good THEN reason END AS fallback_reason, CASE WHEN NOT good AND NOT second THEN reason || '; no fallback' END AS error FROM x""",
+    "request_checks": """SELECT DISTINCT result_id, CASE WHEN result_id % 13 = 0 OR trim(coalesce(question, '')) = '' THEN 'empty_query' WHEN result_id % 8 > 6 THEN 'too_many_turns' WHEN result_id % 120 NOT BETWEEN 1 AND 100 THEN 'top_k_out_of_range' WHEN run_id % 40 NOT BETWEEN 1 AND 30 THEN 'top_n_out_of_range' END AS error FROM strategy_results""",
     "doi_list": f"WITH {_GOOD} SELECT line_number, doi AS value, 'doi' AS status FROM good UNION ALL SELECT line_number, line, 'invalid_doi' FROM p WHERE NOT regexp_matches(doi, '(?i)^10\\.\\d{{4,9}}/\\S+$')",
     "lookup_dois": f"SELECT DISTINCT source_id, {_t('regexp_replace(coalesce(doi, ' + chr(39) * 2 + '), ' + chr(39) + '(?i)^(https?://(dx[.])?doi[.]org/|doi:[ ]*)' + chr(39) + ', ' + chr(39) * 2 + ')')} AS doi FROM sources",
     "incremental_plan": f"WITH {_FILES}, {_MANIFEST} SELECT path, CASE WHEN source_key IN (SELECT source_key FROM m) THEN 'unchanged_pdf' WHEN path IN (SELECT source FROM m) THEN 'changed_pdf' ELSE 'new_pdf' END AS status FROM f",
