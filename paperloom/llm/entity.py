@@ -241,7 +241,7 @@ def score(a: Record, b: Record, titles: Titles) -> float:
     x, y = a.tokens, b.surnames
     if x and y:
         ys = set(y)
-        hits = sum(bool(one & ys) or any(near(t, n) for t in one for n in y) for one in x)
+        hits = sum(bool(one & ys) or any(near(t, n) or len(n) > 4 and n in t for t in one for n in y) for one in x)
         total += min(6.0, 4.0 + 1.0 * (hits - 1)) - 1.0 * (len(x) - hits) if hits else -5.0
         if hits and len(x) != len(y) and len(x) == hits:
             total -= 0.2
