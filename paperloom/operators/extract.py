@@ -223,9 +223,9 @@ def sections_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
     heading = F.when(F.col("named"), T.strip(F.col("name"))).when(F.col("generic"), T.strip(F.col("line")))
     grouped = lines.withColumn("content", content).withColumn("heading", heading).groupBy("k", "s", "kind").agg(F.sort_array(F.collect_list(F.struct("i", "content"))).alias("x"), F.max("heading").alias("heading"))
     joined = F.array_join(F.transform("x", lambda e: e.content), "\n")
-    prose = grouped.where("kind <> 'references'").select("k", "s", F.lit(0).alias("r"), "kind", "heading", T.clean_page_text(joined).alias("t"))
-    refs = grouped.where("kind = 'references'").select("k", "s", F.posexplode(F.transform("x", lambda e: T.clean_page_text(e.content))).alias("r", "t"), F.lit("reference").alias("kind"), F.lit(None).cast("string").alias("heading")).select("k", "s", "r", "kind", "heading", "t")
-    both = prose.union(refs).where("t <> ''")
+    # references come line by line, sections as one text
+    texts = F.when(F.col("kind") == "references", F.transform("x", lambda e: T.clean_page_text(e.content))).otherwise(F.array(T.clean_page_text(joined)))
+    both = grouped.select("k", "s", F.when(F.col("kind") == "references", "reference").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") != "references", F.col("heading")).alias("heading"), F.posexplode(texts).alias("r", "t")).where("t <> ''")
     both = both.withColumn("kind", F.when(F.col("kind") == "front", "title").otherwise(F.col("kind"))).withColumn("o", F.row_number().over(Window.partitionBy("k", F.col("kind") == "reference").orderBy("s", "r")) - 1)
     return both.select(F.col("k").alias(key), F.col("o").alias("section_order"), F.col("kind").alias("section_type"), F.coalesce("heading", F.lit("")).alias("heading"), F.col("t").alias("text"))
 

@@ -10,11 +10,11 @@ from paperloom.operators import chunk, corpus, extract
 from paperloom.runtime import spread, table
 
 
-def _once(spark: SparkSession, sf: str) -> DataFrame:
-    """Extracted documents, rows of later extractions left out."""
+def _once(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of extracted documents, rows of later extractions left out."""
     from paperloom.operators.relational import keep_first
 
-    df = table(spark, sf, "extracted_documents").select("document_id", "extraction_method", "source_type", "source_identifier", "metadata", "sections", "extracted_at")
+    df = table(spark, sf, "extracted_documents").select("document_id", *columns, "extracted_at")
     # by a fixed number of partitions, which the grouping by the same key uses as they are
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return keep_first(df.repartition(width, "document_id"), ["document_id"], ["extracted_at"])
@@ -64,12 +64,12 @@ def section_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     """W1 over the sections of every document."""
-    return chunk.window_table(_once(spark, sf))
+    return chunk.window_table(_once(spark, sf, "sections"))
 
 
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     """W3 over every document."""
-    return chunk.chunk_documents(_once(spark, sf))
+    return chunk.chunk_documents(_once(spark, sf, "extraction_method", "source_type", "source_identifier", "metadata", "sections"))
 
 
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +102,7 @@ def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
 def _page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Plain texts of documents: title line, then each section's heading and text."""
     parts = F.transform(F.filter("sections", lambda s: s.text.isNotNull()), lambda s: F.concat(F.when(F.coalesce(s.heading, F.lit("")) != "", F.concat(s.heading, F.lit("\n"))).otherwise(F.lit("")), s.text))
-    return _once(spark, sf).select("document_id", F.array_join(parts, "\n").alias("text"))
+    return _once(spark, sf, "sections").select("document_id", F.array_join(parts, "\n").alias("text"))
 
 
 def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +125,7 @@ def jats_parse(spark: SparkSession, sf: str) -> DataFrame:
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     sec = F.transform(F.filter("sections", lambda s: s.section_type.isin("body", "conclusion")), lambda s: F.concat(F.lit("<sec><title>"), esc(s.heading), F.lit("</title><p>"), esc(s.text), F.lit("</p></sec>")))
     xml = F.concat(F.lit("<article><front><journal-meta><journal-title>"), esc(F.col("metadata.journal")), F.lit("</journal-title></journal-meta><article-meta><article-id pub-id-type='doi'>"), esc(F.col("metadata.doi")), F.lit("</article-id><article-title>"), esc(F.col("metadata.title")), F.lit("</article-title></article-meta></front><body>"), F.array_join(sec, ""), F.lit("</body></article>"))
-    src = _once(spark, sf).select("document_id", xml.alias("xml"))
+    src = _once(spark, sf, "metadata", "sections").select("document_id", xml.alias("xml"))
     out = extract.parse_xml(src, "document_id", "xml", "jats")
     return out.select(F.col("source").alias("document_id"), "title", "doi", "journal", F.size("sections").alias("n_sections"), F.coalesce(F.element_at("sections", -1)["heading"], F.lit("")).alias("last_heading"))
 
