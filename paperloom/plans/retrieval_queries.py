@@ -174,7 +174,31 @@ x AS (SELECT *, CASE WHEN length(c) > 1200 THEN regexp_replace(substr(c, 1, 1200
 h AS (SELECT run_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || cut, chr(10) ORDER BY n DESC) AS history,
   coalesce(string_agg('- ' || substr(c, 1, 500), chr(10) ORDER BY n DESC) FILTER (WHERE role = 'user' AND c <> '' AND u <= 3), '') AS user_questions FROM x GROUP BY run_id)
 """
+_SPLIT = "list_filter(string_split_regex(lower(coalesce({x}, '')), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+'), lambda w: w <> '')"
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: w <> ''))"
+
+
+def _vectors(name: str, table: str, key: str) -> str:
+    """Tables of non-zero unit values of the hash embedding of ``text``."""
+    return f"""{name}w AS (SELECT {key}, sha256(unnest({_SPLIT.format(x='text')})) AS h FROM {table}),
+{name}s AS (SELECT {key}, ('0x' || substr(h, 1, 8))::UBIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(h, 9, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}w GROUP BY 1, 2),
+{name}v AS (SELECT {key}, b, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}s WHERE v <> 0)"""
+
+
+_RETRIEVED = f"""WITH c AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1 AND coalesce(text, '') <> ''),
+q AS (SELECT item_id, question AS text FROM benchmark_questions WHERE item_id % 20 = 0 AND coalesce(question, '') <> ''),
+{_vectors('c', 'c', 'chunk_id')},
+{_vectors('q', 'q', 'item_id')},
+n AS (SELECT chunk_id, CASE WHEN count(v) > 0 THEN 1 ELSE 0 END AS n FROM c LEFT JOIN cv USING (chunk_id) GROUP BY 1),
+d AS (SELECT item_id, chunk_id, sum(qv.v * cv.v) AS dot FROM qv JOIN cv USING (b) GROUP BY 1, 2),
+k AS (SELECT q.item_id, n.chunk_id, round(greatest(1 + n.n - 2 * coalesce(dot, 0), 0), 9) AS distance FROM q CROSS JOIN n LEFT JOIN d ON d.item_id = q.item_id AND d.chunk_id = n.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, chunk_id) AS rank FROM k),
+s AS (SELECT r.item_id, r.rank, c.*, round(len(list_intersect({_WORDS.format(x='q.text')}, {_WORDS.format(x='c.text')}))::DOUBLE / len({_WORDS.format(x='q.text')}), 9) AS score FROM r JOIN c USING (chunk_id) JOIN q USING (item_id) WHERE rank <= 20),
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS new_rank FROM s)
+"""
 ORACLES = {
+    "text_retrieval": _RETRIEVED + """SELECT item_id, string_agg('[Source ' || new_rank || '] ' || CASE WHEN coalesce(metadata.title, '') <> '' THEN metadata.title WHEN document_id <> '' THEN document_id ELSE 'Unknown source' END || '; ' || CASE WHEN coalesce(heading, '') <> '' THEN heading WHEN coalesce(section_type, '') <> '' THEN section_type ELSE 'section' END
+ || CASE WHEN coalesce(metadata.doi, '') <> '' THEN '; DOI: ' || metadata.doi ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY new_rank) AS context FROM t WHERE new_rank <= 8 GROUP BY 1""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "hash_embedding": """WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+'), lambda w: w <> '')) AS w FROM documents),
 h AS (SELECT doc_id, sha256(w) AS h FROM w),

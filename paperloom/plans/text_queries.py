@@ -72,6 +72,12 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.chunk_documents(_once(spark, sf, "extraction_method", "source_type", "source_identifier", "metadata", "sections"))
 
 
+def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """W2 and W3 in columns that SQL can be held against: every chunk with a digest of its text."""
+    c = chunk_documents(spark, sf)
+    return c.select("chunk_id", "document_id", "chunk_index", "section_order", "section_type", "heading", F.md5("text").alias("digest"), "token_count", "sentence_count")
+
+
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """A8 over the given chunks, rows loaded twice counted once."""
     once = table(spark, sf, "chunks").select("document_id", "chunk_id", "token_count").distinct()
@@ -130,7 +136,7 @@ def jats_parse(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("source").alias("document_id"), "title", "doi", "journal", F.size("sections").alias("n_sections"), F.coalesce(F.element_at("sections", -1)["heading"], F.lit("")).alias("last_heading"))
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, whitespace, paragraphs, labelled_paragraphs, sentences, section_filter, chunk_windows, chunk_documents, chunk_manifest, safe_names, clean_text, folded_text, repeated_lines, heading_sections, full_text, truncated_contexts, jats_parse)}
+QUERIES = {f.__name__: f for f in (token_estimate, whitespace, paragraphs, labelled_paragraphs, sentences, section_filter, chunk_windows, chunk_documents, chunk_table, chunk_manifest, safe_names, clean_text, folded_text, repeated_lines, heading_sections, full_text, truncated_contexts, jats_parse)}
 
 # DuckDB's white space for \s in the Unicode sense, and word characters.
 _S = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -203,7 +209,50 @@ _SECTIONS = '(SELECT DISTINCT document_id, s."order" AS section_order, s.section
 _EXCLUDED = " AND ".join(f"NOT contains(lower(coalesce(heading, '')), '{t}')" for t in T.EXCLUDED_HEADINGS)
 _PREFIX_LIST = "[" + ", ".join(f"'{p}'" for p in _PREFIXES) + "]"
 
+_NAMED = rf"(?i)^{_S}*({'|'.join(extract.HEADING_KINDS)}){_S}*(:{_S}*(.*))?$"
+_KIND_OF = "CASE upper(name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in extract.HEADING_KINDS.items()) + " END"
+_IS_HEADING = f"(z <> '' AND length(z) <= 100 AND (regexp_matches(z, '^{_S}*\\d+(\\.\\d+)*\\.?{_S}+[A-Z][^.!?]{{2,90}}$') OR (upper(z) = z AND lower(z) <> z AND len(string_split(trim(regexp_replace(z, '{_S}+', ' ', 'g')), ' ')) <= 12)))"
+_W5 = f"""WITH t AS (SELECT document_id, array_to_string(list_transform(list_filter(coalesce(sections, []), lambda s: s.text IS NOT NULL), lambda s: CASE WHEN coalesce(s.heading, '') <> '' THEN s.heading || chr(10) ELSE '' END || s.text), chr(10)) AS text FROM {_ONCE}),
+l AS (SELECT document_id, unnest(range(0, len(x))) AS i, unnest(x) AS line FROM (SELECT document_id, string_split_regex(text, '\r\n|\n|\r') AS x FROM t)),
+m AS (SELECT *, regexp_matches(line, '{_NAMED}') AS named, regexp_extract(line, '{_NAMED}', 1) AS name, {_strip(f"regexp_extract(line, '{_NAMED}', 3)")} AS rest, {_strip('line')} AS z FROM l),
+k AS (SELECT *, coalesce(last_value(CASE WHEN named THEN {_KIND_OF} END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY i), 'front') AS k0 FROM m),
+g AS (SELECT *, NOT named AND k0 NOT IN ('front', 'references') AND {_IS_HEADING} AS generic FROM k),
+o AS (SELECT *, last_value(CASE WHEN named THEN false WHEN generic THEN true END IGNORE NULLS) OVER w AS opened, sum(CASE WHEN named OR generic THEN 1 ELSE 0 END) OVER w AS s FROM g WINDOW w AS (PARTITION BY document_id ORDER BY i)),
+c AS (SELECT document_id, i, s, CASE WHEN opened AND k0 <> 'references' THEN 'body' ELSE k0 END AS kind, CASE WHEN named THEN rest WHEN generic THEN '' ELSE line END AS content, CASE WHEN named THEN {_strip('name')} WHEN generic THEN z END AS heading FROM o),
+p AS (SELECT document_id, s, 0 AS r, CASE WHEN kind = 'front' THEN 'title' ELSE kind END AS section_type, coalesce(max(heading), '') AS heading, {_clean("string_agg(content, chr(10) ORDER BY i)")} AS text FROM c WHERE kind <> 'references' GROUP BY document_id, s, kind
+  UNION ALL SELECT document_id, s, i, 'reference', '', {_clean('content')} FROM c WHERE kind = 'references')
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id, section_type = 'reference' ORDER BY s, r) - 1 AS INT) AS section_order, section_type, heading, text FROM p WHERE text <> ''"""
+
+def _windows(sentences: str) -> str:
+    """The windows of W1 as table w, over lists l of sentences given as an expression of l0."""
+    return _WINDOWS.replace("@", sentences)
+
+
+# Runs of words of an oversized sentence, folded with a mark between the runs
+_LAST = "list_last(string_split(acc, chr(64978)))"
+_RUNS = f"string_split(list_reduce(list_filter(string_split_regex(y, '{_S}+'), lambda v: v <> ''), lambda acc, v: CASE WHEN {_tokens(_LAST + ' || chr(32) || v')} > 400 THEN acc || chr(64978) || v ELSE acc || ' ' || v END), chr(64978))"
+_SPLIT = f"flatten(list_transform(l0, lambda y: CASE WHEN {_tokens('y')} > 520 THEN {_RUNS} ELSE [y] END))"
+_WINDOWS = f"""WITH RECURSIVE s0 AS (SELECT document_id, si, coalesce(s."order", 0) AS section_order, s.text AS text, coalesce(s.section_type, '') AS section_type, coalesce(s.heading, '') AS heading FROM (SELECT document_id, unnest(range(0, len(sections))) AS si, unnest(sections) AS s FROM {_ONCE})),
+s AS (SELECT * EXCLUDE (text), list_filter({_paragraphs('text')}, lambda q: NOT ({_caption(_norm('q'))} OR {_notice(_norm('q'))})) AS ps FROM s0 WHERE text IS NOT NULL AND section_type IN ('abstract', 'body', 'conclusion') AND {_EXCLUDED}),
+t AS (SELECT * EXCLUDE (ps), flatten(list_transform(ps, lambda q: {_sentences('q')})) AS l0 FROM s),
+v AS (SELECT * EXCLUDE (l0), @ AS l FROM t),
+u AS (SELECT *, list_transform(l, lambda y: {_tokens('y')}) AS t FROM v),
+c AS (SELECT * EXCLUDE (t), len(t) AS n, list_prepend(0, list_transform(range(1, len(t) + 1), lambda i: CAST(list_sum(t[1:i]) AS INT))) AS p FROM u WHERE len(t) > 0),
+w AS (
+  SELECT *, 0 AS window_index, 0 AS start, greatest(1, list_max(list_filter(range(0, n + 1), lambda e: p[e + 1] - p[1] <= 400))) AS stop FROM c
+  UNION ALL
+  SELECT * EXCLUDE (window_index, start, stop, o, nxt), window_index + 1, nxt, greatest(nxt + 1, list_max(list_filter(range(nxt, n + 1), lambda e: p[e + 1] - p[nxt + 1] <= 400))) FROM (
+    SELECT *, CASE WHEN o > start AND o < stop THEN o ELSE stop END AS nxt FROM (SELECT *, coalesce(list_max(list_filter(range(start, stop), lambda b: p[stop + 1] - p[b + 1] >= 80)), start) AS o FROM w WHERE stop < n)))
+"""
+
+_PLAIN = lambda x: f"nfc_normalize(trim(regexp_replace(regexp_replace(coalesce({x}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '{_S}+', ' ', 'g')))"
+_JATS = f"""WITH x AS (SELECT document_id, {_PLAIN('metadata.title')} AS title, {_PLAIN('metadata.doi')} AS doi, {_PLAIN('metadata.journal')} AS journal,
+ list_filter(list_filter(coalesce(sections, []), lambda s: s.section_type IN ('body', 'conclusion')), lambda s: {_PLAIN('s.text')} <> '') AS b FROM {_ONCE})
+SELECT document_id, title, doi, journal, CAST(len(b) + CASE WHEN title <> '' THEN 1 ELSE 0 END AS INT) AS n_sections, CASE WHEN len(b) > 0 THEN {_PLAIN('b[-1].heading')} ELSE '' END AS last_heading FROM x"""
+
 ORACLES = {
+    "jats_parse": _JATS,
+    "heading_sections": _W5,
     "token_estimate": f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents",
     "whitespace": f"SELECT doc_id, {_norm('text')} AS text FROM documents",
     "paragraphs": f"""WITH p AS (SELECT doc_id, {_paragraphs('text')} AS l FROM documents WHERE text IS NOT NULL),
@@ -214,16 +263,15 @@ SELECT doc_id, ({_caption('t')} OR {_notice('t')}) AS paragraph_dropped, {_notic
     "sentences": f"""WITH s AS (SELECT doc_id, {_sentences("coalesce(text, '')")} AS l FROM documents)
 SELECT doc_id, CAST(i AS INT) AS sentence_index, sentence FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS sentence FROM s)""",
     "section_filter": f"SELECT document_id, section_order, section_type, heading FROM {_SECTIONS} WHERE section_type IN ('abstract', 'body', 'conclusion') AND {_EXCLUDED}",
-    "chunk_windows": f"""WITH RECURSIVE s0 AS (SELECT row_number() OVER () AS sid, document_id, coalesce(s."order", 0) AS section_order, s.text AS text, s.section_type, s.heading FROM (SELECT document_id, unnest(sections) AS s FROM {_ONCE})),
-s AS (SELECT sid, document_id, section_order, list_filter({_paragraphs('text')}, lambda q: NOT ({_caption(_norm('q'))} OR {_notice(_norm('q'))})) AS ps FROM s0 WHERE text IS NOT NULL AND section_type IN ('abstract', 'body', 'conclusion') AND {_EXCLUDED}),
-t AS (SELECT sid, document_id, section_order, list_transform(flatten(list_transform(ps, lambda q: {_sentences('q')})), lambda y: {_tokens('y')}) AS t FROM s),
-c AS (SELECT sid, document_id, section_order, len(t) AS n, list_prepend(0, list_transform(range(1, len(t) + 1), lambda i: CAST(list_sum(t[1:i]) AS INT))) AS p FROM t WHERE len(t) > 0),
-w AS (
-  SELECT sid, document_id, section_order, n, p, 0 AS window_index, 0 AS start, greatest(1, list_max(list_filter(range(0, n + 1), lambda e: p[e + 1] - p[1] <= 400))) AS stop FROM c
-  UNION ALL
-  SELECT sid, document_id, section_order, n, p, window_index + 1, nxt, greatest(nxt + 1, list_max(list_filter(range(nxt, n + 1), lambda e: p[e + 1] - p[nxt + 1] <= 400))) FROM (
-    SELECT *, CASE WHEN o > start AND o < stop THEN o ELSE stop END AS nxt FROM (SELECT *, coalesce(list_max(list_filter(range(start, stop), lambda b: p[stop + 1] - p[b + 1] >= 80)), start) AS o FROM w WHERE stop < n)))
-SELECT document_id, section_order, CAST(window_index AS INT) AS window_index, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, CAST(p[stop + 1] - p[start + 1] AS INT) AS tokens FROM w""",
+    "chunk_windows": _windows("l0") + "SELECT document_id, section_order, CAST(window_index AS INT) AS window_index, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, CAST(p[stop + 1] - p[start + 1] AS INT) AS tokens FROM w",
+    "chunk_table": _windows(_SPLIT) + f""", x AS (SELECT document_id, section_order, section_type, heading, array_to_string(l[start + 1:stop], ' ') AS text, stop - start AS n, row_number() OVER (PARTITION BY document_id ORDER BY si, window_index) AS k FROM w),
+y AS (SELECT *, {_tokens('text')} AS tok FROM x),
+r AS (SELECT document_id, k, 0 AS chunk_index, section_order, section_type, heading, text, tok, n FROM y WHERE k = 1
+ UNION ALL SELECT document_id, k, CASE WHEN merge THEN ci ELSE ci + 1 END, section_order, section_type, heading, t, CASE WHEN merge THEN {_tokens('t')} ELSE tok END, CASE WHEN merge THEN n + rn ELSE n END FROM (
+  SELECT y.*, merge, r.chunk_index AS ci, r.n AS rn, CASE WHEN merge THEN r.text || ' ' || y.text ELSE y.text END AS t FROM (SELECT r.*, y.tok < 80 AND r.section_order = y.section_order AND r.tok + y.tok <= 520 AS merge FROM r JOIN y ON y.document_id = r.document_id AND y.k = r.k + 1) r JOIN y ON y.document_id = r.document_id AND y.k = r.k + 1)),
+z AS (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY k DESC) AS last FROM r)
+SELECT CASE WHEN name = '' THEN 'document' ELSE name END || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), 5, '0') AS chunk_id, document_id, CAST(chunk_index AS INT) AS chunk_index, section_order, section_type, heading, md5(text) AS digest, tok AS token_count, CAST(n AS INT) AS sentence_count
+FROM (SELECT *, regexp_replace(regexp_replace(document_id, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS name FROM z WHERE last = 1)""",
     "clean_text": f"""SELECT DISTINCT document_id, section_order, {_clean("coalesce(text, '')")} AS text FROM {_SECTIONS}""",
     "chunk_manifest": "SELECT document_id, count(*) AS num_chunks, CAST(sum(coalesce(token_count, 0)) AS BIGINT) AS total_tokens FROM (SELECT DISTINCT document_id, chunk_id, token_count FROM chunks) GROUP BY 1",
     "safe_names": "SELECT document_id, CASE WHEN n = '' THEN 'document' ELSE n END AS name FROM (SELECT DISTINCT document_id, regexp_replace(regexp_replace(document_id, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS n FROM extracted_documents)",
