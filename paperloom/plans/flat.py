@@ -55,7 +55,15 @@ def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_items, p6_sections, p6_authors, p6_references, p6_documents)}
+_PATH = "CASE WHEN starts_with({k}, '$.') THEN substr({k}, 3) ELSE substr({k}, 2) END"
+_TREE = f"""WITH r AS (SELECT record_id, payload FROM raw_records WHERE payload IS NOT NULL AND json_valid(payload)),
+t AS (SELECT record_id, {_PATH.replace('{k}', 'fullkey')} AS path, type, value FROM r, json_tree(r.payload)),
+a AS (SELECT record_id, path, value ->> '$' AS inside FROM t WHERE (path = 'metadata.authors' OR ends_with(path, '.metadata.authors')) AND type = 'VARCHAR'),
+b AS (SELECT * FROM a WHERE json_valid(inside) AND json_type(inside) = 'ARRAY'),
+u AS (SELECT record_id, b.path || substr(j.fullkey, 2) AS path, j.type FROM b, json_tree(b.inside) j)
+"""
 ORACLES = {
+    "p6_found": _TREE + "SELECT DISTINCT record_id, path FROM (SELECT record_id, path, type FROM t UNION ALL SELECT record_id, path, type FROM u) WHERE ends_with(path, ']') AND type <> 'NULL'",
     "p6_documents": """
 WITH x AS (SELECT document_id, 'metadata.authors' AS kind, 'metadata' AS parent, metadata.authors AS l FROM extracted_documents
  UNION ALL SELECT document_id, 'references', 'document', "references" FROM extracted_documents
