@@ -364,23 +364,21 @@ def word_counts(df: DataFrame) -> DataFrame:
     """(word, n, clean): in how many section texts each word stands, and in how many of those
     without single line breaks, which no scanner left; counts are summed per task first."""
 
-    def batch_of(every: Counter, clean: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(every), type=pa.string()), "n": pa.array(every.values(), type=pa.int64()), "clean": pa.array([clean[w] for w in every], type=pa.int64())})
+    def batch_of(clean: Counter, wrapped: Counter) -> pa.RecordBatch:
+        every = list(clean.keys() | wrapped.keys())
+        return pa.RecordBatch.from_pydict({"word": pa.array(every, type=pa.string()), "n": pa.array([clean[w] + wrapped[w] for w in every], type=pa.int64()), "clean": pa.array([clean[w] for w in every], type=pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter[str] = Counter()
         clean: Counter[str] = Counter()
+        wrapped: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    ws = whole_words(t)
-                    every.update(ws)
-                    if "\n" not in t or not _WRAPPED.search(t):
-                        clean.update(ws)
-            if len(every) > 300_000:
-                yield batch_of(every, clean)
-                every, clean = Counter(), Counter()
-        yield batch_of(every, clean)
+                    (wrapped if "\n" in t and _WRAPPED.search(t) else clean).update(whole_words(t))
+            if len(clean) + len(wrapped) > 300_000:
+                yield batch_of(clean, wrapped)
+                clean, wrapped = Counter(), Counter()
+        yield batch_of(clean, wrapped)
 
     texts = df.select(F.explode("sections").alias("s")).select("s.text").where("text is not null")
     return spread(texts).mapInArrow(run, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
