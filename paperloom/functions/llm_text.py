@@ -71,3 +71,8 @@ def retry_wait(attempt: int, header: str | None = None) -> float:
         return max(wait, float(header)) if header else wait
     except ValueError:
         return wait
+
+
+def judge_budgets(limit: int) -> tuple[int, int]:
+    """Characters of context for the first try and, if that fails for its size, the second."""
+    return limit, max(3000, limit // 2)

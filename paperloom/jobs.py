@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.config import ChunkConfig
-from paperloom.functions import embed
-from paperloom.operators import chunk, corpus, extract
+from paperloom.functions import embed, llm_text
+from paperloom.operators import chunk, corpus, evaluate, extract
+from paperloom.operators.relational import as_number, collect_outer, last_write_wins
+from paperloom.operators.strategies import Strategies
 from paperloom.runtime import durable
-from paperloom.sources import readers, sinks
+from paperloom.sources import connectors, readers, sinks
 
 
 def run_extract(spark: SparkSession, xml: DataFrame, kind: str, manifest_path: str, output: str) -> DataFrame:
@@ -58,6 +61,43 @@ def run_upload(spark: SparkSession, chunks: str, store: sinks.VectorStore, reset
     return n
 
 
+def run_evaluate(spark: SparkSession, questions: DataFrame, store: sinks.VectorStore, output: str, names: tuple[str, ...] = ("classic", "reranked", "hyde", "hyde_reranked", "multi_query")) -> DataFrame:
+    """Every strategy over questions (item_id, question, passage, query_json, verdict_json,
+    expected_sources), answered by the offline provider; results and the summary by strategy are
+    written, the summary is returned. Results that the output has are kept (resume)."""
+    rows = store.read()
+    s = Strategies(rows.select("chunk_id", "text"), rows.select("chunk_id", "embedding"), questions)
+    found = reduce(DataFrame.unionByName, [s.run(n).withColumn("strategy", F.lit(n)) for n in names])
+    hits = found.join(rows.select("chunk_id", "document_id"), "chunk_id")
+    chunk = F.struct("document_id", F.lit("").alias("title"), F.lit("").alias("source_identifier"), F.lit("").alias("doi"))
+    per = hits.groupBy("item_id", "strategy").agg(F.sort_array(F.collect_list(F.struct("rank", chunk.alias("c")))).alias("x"))  # at most context_k each
+    asked = questions.select("item_id", "question", "expected_sources").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in names], "strategy string")))
+    out = asked.join(per, ["item_id", "strategy"], "left").withColumn("chunks", F.transform("x", lambda e: e.c))
+    metrics = evaluate.retrieval_metrics(F.col("chunks"), F.col("expected_sources"))
+    results = out.select("item_id", "strategy", "question", llm_text.mock_generate(F.col("question")).alias("answer"), F.lit(False).alias("second_retrieval_used"), *[c.alias(n) for n, c in metrics.items()])
+    connectors.append_missing(durable(results), output, ["item_id", "strategy"])
+    summary = durable(evaluate.strategy_summary(spark.read.parquet(output)))
+    sinks.write_table(summary, f"{output}_summary", "csv")
+    return summary
+
+
+def run_collect(spark: SparkSession, custom: list[str], judge: list[str], ragas: list[str], output: str) -> DataFrame:
+    """Summaries of several runs (CSV folders with a strategy column, later ones winning
+    column by column) joined by strategy and written."""
+    parts = {}
+    for name, paths in (("custom", custom), ("judge", judge), ("ragas", ragas)):
+        runs = []
+        for i, p in enumerate(paths):
+            df = spark.read.option("header", True).csv(p)
+            runs.append(df.select("strategy", F.lit(i).alias("run"), *[as_number(F.col(c)).alias(c) for c in df.columns if c != "strategy"]))
+        if runs:
+            rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
+            parts[name] = last_write_wins(rows, "strategy", ["run"], [c for c in rows.columns if c not in ("strategy", "run")])
+    out = durable(collect_outer(parts, "strategy"))
+    sinks.write_table(out, output, "csv")
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     """Commands ``chunk DOCUMENTS OUTPUT`` and ``upload CHUNKS STORE``."""
     p = argparse.ArgumentParser(prog="paperloom")

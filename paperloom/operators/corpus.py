@@ -26,9 +26,14 @@ def fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("fingerprint", h).withColumn("source_key", F.concat(F.lit("pdf:sha256:"), h))
 
 
-def incremental_plan(files: DataFrame, manifest: DataFrame) -> DataFrame:
+def incremental_plan(files: DataFrame, manifest: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
     """J1 and J2 over files (path, source_key) and manifest (source, source_key, represented_by):
-    each file as unchanged (skipped), changed (its path had another key) or new."""
+    each file as unchanged (skipped), changed (its path had another key) or new.
+
+    With ``outputs`` (output_path, the paths that exist), records whose output is gone don't count,
+    so their files are extracted again (F10)."""
+    if outputs is not None:
+        manifest = manifest.join(outputs.select("output_path").distinct(), "output_path", "left_semi")
     keys = manifest.select("source_key").distinct().withColumn("known", F.lit(True))
     paths = manifest.select(F.col("source").alias("path")).distinct().withColumn("seen", F.lit(True))
     out = files.join(keys, "source_key", "left").join(paths, "path", "left")

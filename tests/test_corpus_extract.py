@@ -70,6 +70,9 @@ def test_incremental_run(spark):
     files = spark.createDataFrame([("a.pdf", "k1"), ("b.pdf", "k9"), ("c.pdf", "k3")], "path string, source_key string")
     m = spark.createDataFrame([("a.pdf", "k1", None), ("b.pdf", "k2", None), ("x.pdf", "k7", "k2"), ("y.pdf", "k8", "k1")], "source string, source_key string, represented_by string")
     assert {r["path"]: r["status"] for r in corpus.incremental_plan(files, m).collect()} == {"a.pdf": "unchanged_pdf", "b.pdf": "changed_pdf", "c.pdf": "new_pdf"}
+    there = spark.createDataFrame([("o1",)], "output_path string")
+    named = m.withColumn("output_path", F.when(F.col("source") == "b.pdf", "o1").otherwise("gone"))
+    assert {r["path"]: r["status"] for r in corpus.incremental_plan(files, named, there).collect()} == {"a.pdf": "new_pdf", "b.pdf": "changed_pdf", "c.pdf": "new_pdf"}
     assert {r["source_key"] for r in corpus.invalidate(m, files).collect()} == {"k1", "k8"}
 
 

@@ -102,3 +102,25 @@ def test_model_texts(spark):
     assert llm_text.retry_wait(2) == 20 and llm_text.retry_wait(50) == 120 and llm_text.retry_wait(1, "33") == 33 and llm_text.retry_wait(1, "x") == 10
     p = spark.createDataFrame([("q", "c")], "q string, c string").select(llm_text.mock_generate(llm_text.agent_prompt(F.col("q"), F.col("c"))).alias("a"), llm_text.mock_generate(llm_text.answer_prompt(F.col("q"), F.col("c"))).alias("b")).first()
     assert "sufficient" in p["a"] and p["b"] == llm_text.NO_ANSWER
+
+
+def test_evaluation_jobs(spark, tmp_path):
+    from paperloom.functions import embed
+
+    chunks = spark.createDataFrame([("c1", "dogs_2010", "red dogs bark"), ("c2", "cats_2011", "blue cats sleep")], "chunk_id string, document_id string, text string")
+    store = sinks.VectorStore(spark, str(tmp_path / "store"))
+    store.upsert(chunks.join(embed.hash_embedding(chunks, "chunk_id", "text"), "chunk_id"))
+    q = spark.createDataFrame([(1, "red dogs", "red dogs bark", "none", "none", ["dogs_2010.pdf"]), (2, "cats", "blue cats sleep", "none", "none", ["other.pdf"])], "item_id int, question string, passage string, query_json string, verdict_json string, expected_sources array<string>")
+    out = str(tmp_path / "results")
+    got = {r["strategy"]: r for r in jobs.run_evaluate(spark, q, store, out, ("classic", "hyde")).collect()}
+    assert set(got) == {"classic", "hyde"} and got["hyde"]["mean_retrieval_recall"] == 0.5 and got["hyde"]["mean_mrr"] == 0.5
+    assert jobs.run_evaluate(spark, q, store, out, ("classic",)).count() == 2 and spark.read.parquet(out).count() == 4
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.write_table(spark.createDataFrame([("classic", "4.0", "nan")], "strategy string, faithfulness string, completeness string"), a, "csv")
+    sinks.write_table(spark.createDataFrame([("classic", "", "3"), ("other", "1", "")], "strategy string, faithfulness string, completeness string"), b, "csv")
+    c = {r["strategy"]: r.asDict() for r in jobs.run_collect(spark, [f"{out}_summary"], [a, b], [], str(tmp_path / "final")).collect()}
+    assert c["classic"]["judge_faithfulness"] == 4.0 and c["classic"]["judge_completeness"] == 3.0 and c["classic"]["custom_mean_mrr"] is not None and c["other"]["judge_completeness"] is None
+
+
+def test_judge_budgets():
+    assert llm_text.judge_budgets(12000) == (12000, 6000) and llm_text.judge_budgets(4000) == (4000, 3000)
