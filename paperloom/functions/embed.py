@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.runtime import map_rows
 
-def hash_words(c: Column, dim: int = 64) -> Column:
-    """Per white-space token (bucket, sign): the first four bytes of its SHA-256 modulo ``dim``,
-    and + if the fifth byte is even."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+#: Words that a worker remembers the hash of.
+CACHE_ROWS = 500_000
 
-    def one(w: Column) -> Column:
-        h = F.sha2(w, 256)
-        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-        even = F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("int"), F.lit(2)) == 0
-        return F.struct(bucket.alias("bucket"), F.when(even, F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
 
-    return F.transform(words, one)
+class _Buckets(dict):
+    """word -> signed one-based bucket of its SHA-256, remembered up to a bounded number of words."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_ROWS:
+            self.clear()
+        h = hashlib.sha256(word.encode("utf-8", "surrogatepass")).digest()
+        bucket = int.from_bytes(h[:4], "big") % self.dim + 1
+        value = self[word] = bucket if h[4] % 2 == 0 else -bucket
+        return value
+
+
+_KNOWN: dict[int, _Buckets] = {}
+
+
+def embed_text(text: str | None, dim: int = 64) -> list[float]:
+    """Signed counts of white-space tokens in lower case, as a unit vector: the bucket is the
+    first four bytes of a token's SHA-256 modulo ``dim``, the sign + if the fifth byte is even.
+    Zeros for NULL and blank texts."""
+    known = _KNOWN.setdefault(dim, _Buckets(dim))
+    ws = (text or "").lower().split()
+    signed = np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws))
+    v = np.bincount(np.abs(signed) - 1, weights=np.sign(signed), minlength=dim) if len(ws) else np.zeros(dim)
+    norm = float(np.sqrt((v * v).sum()))
+    return (v / norm if norm else v).tolist()
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """(key, embedding): unit vectors of signed token counts, zeros for NULL and blank texts.
-
-    One row per key: counts are summed per task first, so a row of the shuffle is a whole vector.
-    Repeated keys must hold the same text; they are counted once only if the rows are equal.
-    """
-    base = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    tokens = base.select("k", F.explode_outer(hash_words(F.col("t"), dim)).alias("h"))
-    sums = tokens.groupBy("k").agg(*[F.coalesce(F.sum(F.when(F.col("h.bucket") == i, F.col("h.sign"))), F.lit(0)).alias(f"s{i}") for i in range(dim)])
-    v = F.array(*[F.col(f"s{i}").cast("double") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
-    return sums.select(F.col("k").alias(key), unit.alias("embedding"))
+    """(key, embedding) of each row; a narrow map without shuffle. Tokens recur so much that hashing
+    each distinct one once per worker beats a hash expression per token."""
+    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    out = map_rows(src, f"k {dict(src.dtypes)['k']}, embedding array<double>", lambda c: {"k": c["k"], "embedding": [embed_text(t, dim) for t in c["t"]]})
+    return out.select(F.col("k").alias(key), "embedding")
 
 
 def squared_l2(a: Column, b: Column) -> Column:
