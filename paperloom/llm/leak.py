@@ -1,4 +1,4 @@
-"""Evaluation passages inside a corpus: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Evaluation passages inside a corpus: an exact bound on the alignment, then Smith-Waterman."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import hash_words, shingle_hashes, signed, words
+from paperloom.llm.words import hash_words, words
 from paperloom.runtime import durable, map_rows, spread
 
-SEED_WORDS, WINDOW_WORDS = 5, 10
+WINDOW_WORDS = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Up to so many seeds (16 bytes each) are broadcast; more are met by a shuffled join.
+#: So many words of passages (16 bytes each) are broadcast at once; more are met in several passes.
 BROADCAST_SEEDS = 1_000_000
+#: So many cells of a row of alignment matrices are worked on at once.
+CELLS = 100_000
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
@@ -52,81 +54,129 @@ def _passages(items: DataFrame, key: str, sides: list[str]) -> DataFrame:
     return src.where("item is not null and t is not null").distinct()
 
 
-def _seeds(passages: DataFrame) -> DataFrame:
-    """(item, side, pos, size, seed): every n-gram of every passage of enough words."""
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("item", "side", "pos", "size", "seed")}
-        for item, side, t in zip(cols["item"], cols["side"], cols["t"]):
-            h = signed(shingle_hashes(hash_words(words(t)), SEED_WORDS))
-            for pos, seed in enumerate(h.tolist()):
-                for k, v in (("item", item), ("side", side), ("pos", pos), ("size", len(h)), ("seed", seed)):
-                    out[k].append(v)
-        return out
-
-    return map_rows(passages, f"item {dict(passages.dtypes)['item']}, side string, pos int, size int, seed bigint", run)
-
-
-def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc, seed) of the corpus' n-grams that are seeds, once per document."""
-    distinct = seeds.select("seed").distinct()
-    known = None
-    if distinct.count() <= BROADCAST_SEEDS:
-        known = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64))
-        known = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc": [], "seed": []}
-        for d, t in zip(cols["doc"], cols["t"]):
-            h = np.unique(signed(shingle_hashes(hash_words(words(t)), SEED_WORDS)))
-            if known is not None and len(h):
-                place = np.searchsorted(known.value, h)
-                h = h[(place < len(known.value)) & (known.value[np.minimum(place, len(known.value) - 1)] == h)] if len(known.value) else h[:0]
-            out["doc"].extend([d] * len(h))
-            out["seed"].extend(h.tolist())
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Scores of ``align`` for many pairs at once, those of like lengths side by side."""
+    out = np.zeros(len(pairs), dtype=np.int32)
+    order = sorted((k for k in range(len(pairs)) if len(pairs[k][0]) and len(pairs[k][1])), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    at = 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * len(pairs[order[at + n]][1]) <= CELLS:
+            n += 1
+        part = order[at : at + n]
+        at += n
+        a = np.full((n, max(len(pairs[k][0]) for k in part)), -2, dtype=np.int64)
+        b = np.full((n, max(len(pairs[k][1]) for k in part)), -1, dtype=np.int64)
+        for r, k in enumerate(part):
+            a[r, : len(pairs[k][0])] = pairs[k][0]
+            b[r, : len(pairs[k][1])] = pairs[k][1]
+        prev = np.zeros((n, b.shape[1] + 1), dtype=np.int32)
+        slope = np.arange(b.shape[1] + 1, dtype=np.int32) * -GAP
+        best = np.zeros(n, dtype=np.int32)
+        for i in range(a.shape[1]):
+            cell = prev + GAP
+            np.maximum(cell, 0, out=cell)
+            np.maximum(cell[:, 1:], prev[:, :-1] + np.where(b == a[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH)), out=cell[:, 1:])
+            prev = np.maximum.accumulate(cell + slope, axis=1) - slope
+            np.maximum(best, prev.max(axis=1), out=best)
+        out[part] = best
+    return out
+
+
+class Block:
+    """Passages of one pass: their words as numbers, end to end with a wall after each."""
+
+    def __init__(self, rows: list[tuple]):
+        hashed = [(item, side, hash_words(words(t))) for item, side, t in rows]
+        hashed = [x for x in hashed if len(x[2])]
+        self.keys = [(item, side) for item, side, _ in hashed]
+        self.hashes = [h for _, _, h in hashed]
+        self.vocabulary = np.unique(np.concatenate(self.hashes)) if hashed else np.empty(0, dtype=np.uint64)
+        self.words = [np.searchsorted(self.vocabulary, h) for h in self.hashes]
+        none = len(self.vocabulary)  # the wall, and every word that no passage has
+        self.flat = np.concatenate([x for w in self.words for x in (w, [none])]) if hashed else np.empty(0, dtype=np.int64)
+        ends = np.cumsum([len(w) + 1 for w in self.words], dtype=np.int64)
+        self.starts, self.walls = ends - [len(w) + 1 for w in self.words], ends - 1
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.vocabulary, h)
+        return np.where(self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == h, place, len(self.vocabulary))
+
+    def candidates(self, doc: np.ndarray, floor: int, miss: int) -> list[int]:
+        """Passages whose alignment with the document (numbers) can reach ``floor``; none that does is left out.
+
+        A local alignment covers a range of either side. Each word of the range scores MATCH if it
+        is aligned to an equal one, which the other side must hold, and else costs ``miss`` at least.
+        So no alignment exceeds the best range sum with MATCH for words that the other side holds.
+        """
+        present = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        present[doc] = True
+        present[-1] = False
+        value = np.where(present[self.flat], MATCH, miss)
+        value[self.walls] = -MATCH * len(self.flat) - 1
+        total = np.cumsum(value)
+        gain = total - np.minimum.accumulate(np.concatenate([[0], total[:-1]]))
+        out = []
+        for k in np.flatnonzero(np.maximum.reduceat(gain, self.starts) >= floor).tolist():
+            held = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+            held[self.words[k]] = True
+            total = np.cumsum(np.where(held[doc], MATCH, miss))
+            if (total - np.minimum.accumulate(np.concatenate([[0], total[:-1]]))).max() >= floor:
+                out.append(k)
         return out
 
-    met = map_rows(spread(docs), f"doc {dict(docs.dtypes)['doc']}, seed bigint", run)
-    return met if known is not None else met.join(distinct, "seed", "left_semi")
 
-
-def leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, sides: list[str], min_score: int = 2 * WINDOW_WORDS * MATCH // 2) -> DataFrame:
+def leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, sides: list[str], min_score: int = 2 * WINDOW_WORDS * MATCH // 2, edited: bool = True) -> DataFrame:
     """(doc, item, side, score, matched, longest_run): documents that hold a passage of an item.
 
-    Every window of ten words of a passage is represented by its rarest five-word seed in the
-    corpus (fewest documents), so a document that holds a window exactly is met by a join on few,
-    selective seeds; a window with a seed that no document has can't occur and is dropped.
-    Each (document, passage) met is aligned over the whole text; kept are alignments of at least
-    ``min_score`` (ten matched words) or an exact run of ten words, edited copies included.
+    Kept are all alignments of at least ``min_score`` (ten matched words) or with an exact run of
+    ten words, edited copies included; without ``edited`` only those with an exact run. Each
+    document is compared with every passage by a bound that no alignment exceeds (``Block``), those
+    that can reach the score are aligned over the whole text: nothing is sampled or left to chance.
 
-    Passages below five words have no seed and passages of five to nine words are one window.
-    NULL keys or texts and blank texts come out nowhere; repeated rows count once. Seeds are
-    broadcast only up to BROADCAST_SEEDS, beyond that the join is shuffled; counts are
-    pre-aggregated, so an item leaked into very many documents is spread over tasks.
+    NULL keys or texts and blank texts come out nowhere; repeated rows count once. Passages are
+    broadcast up to BROADCAST_SEEDS words at once; more are met in several passes over the
+    documents, whose work grows with the passages' words. Documents are read in narrow maps, only
+    what is found is shuffled.
     """
     docs = documents.select(F.col(doc_key).alias("doc"), F.col(text).alias("t")).where("doc is not null and t is not null")
     passages = durable(_passages(items, item_key, sides))
-    seeds = durable(_seeds(passages))
-    hits = durable(_hits(docs, seeds))
-    df = hits.groupBy("seed").agg(F.count("*").alias("df"))
-    counted = seeds.join(df, "seed", "left").fillna(0, ["df"])
-    span = WINDOW_WORDS - SEED_WORDS + 1
-    # a seed at pos lies in the windows that begin at pos - span + 1 .. pos, within the passage
-    windows = counted.withColumn("w", F.explode(F.expr(f"sequence(greatest(0, pos - {span - 1}), greatest(0, least(pos, size - {span})))")))
-    rare = windows.groupBy("item", "side", "w").agg(F.min(F.struct("df", "seed")).alias("r")).where("r.df > 0").select("item", "side", F.col("r.seed").alias("seed")).distinct()
-    met = hits.join(rare, "seed").select("doc", "item", "side").distinct()
-    texts = docs.join(met.select("doc").distinct(), "doc", "left_semi").distinct()
-    pairs = met.join(texts, "doc").join(passages.withColumnRenamed("t", "passage"), ["item", "side"])
+    count, size = passages.agg(F.count("*"), F.sum(F.length("t") / 2)).first()  # a word and its separator are two characters at least
+    blocks = max(1, min(count, -(-int(size or 0) // max(1, BROADCAST_SEEDS))))
+    floor = min(min_score, MATCH * WINDOW_WORDS) if edited else MATCH * WINDOW_WORDS
+    miss = max(MISMATCH, GAP) if edited else -MATCH * WINDOW_WORDS  # an exact run has no miss: one costs all
+    source, types = spread(docs), {"doc": dict(docs.dtypes)["doc"], "item": dict(passages.dtypes)["item"]}
+    parts = []
+    for n in range(blocks):
+        rows = [tuple(r) for r in passages.where(F.pmod(F.xxhash64("item", "side", "t"), F.lit(blocks)) == n).select("item", "side", "t").collect()]
+        shared = documents.sparkSession.sparkContext.broadcast(Block(rows))
+        parts.append(_aligned(source, types, shared, floor, miss, min_score, edited))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.union(x)
+    return found.groupBy("doc", "item", "side").agg(F.max("score").alias("score"), F.max("matched").alias("matched"), F.max("longest_run").alias("longest_run"))
 
+
+def _aligned(source: DataFrame, types: dict[str, str], shared, floor: int, miss: int, min_score: int, edited: bool) -> DataFrame:
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc", "item", "side", "score", "matched", "longest_run")}
-        for d, i, s, t, p in zip(cols["doc"], cols["item"], cols["side"], cols["t"], cols["passage"]):
-            score, matched, longest, _ = align(hash_words(words(p)), hash_words(words(t)))
-            if score >= min_score or longest >= WINDOW_WORDS:
-                for k, v in (("doc", d), ("item", i), ("side", s), ("score", score), ("matched", matched), ("longest_run", longest)):
-                    out[k].append(v)
+        block = shared.value
+        if not block.keys:
+            return out
+        met = []
+        for d, t in zip(cols["doc"], cols["t"]):
+            h = hash_words(words(t))
+            if len(h):
+                numbers = block.numbers(h)
+                met.extend((d, k, h, numbers) for k in block.candidates(numbers, floor, miss))
+        scores = best_scores([(block.words[k], numbers) for _, k, _, numbers in met])
+        for (d, k, h, _), reached in zip(met, scores.tolist()):
+            if reached < floor:
+                continue
+            score, matched, longest, _ = align(block.hashes[k], h)
+            if longest >= WINDOW_WORDS or (edited and score >= min_score):
+                for name, v in (("doc", d), ("item", block.keys[k][0]), ("side", block.keys[k][1]), ("score", score), ("matched", matched), ("longest_run", longest)):
+                    out[name].append(v)
         return out
 
-    types = dict(pairs.dtypes)
-    found = map_rows(pairs.select("doc", "item", "side", "t", "passage"), f"doc {types['doc']}, item {types['item']}, side string, score int, matched int, longest_run int", run)
-    return found.groupBy("doc", "item", "side").agg(F.max("score").alias("score"), F.max("matched").alias("matched"), F.max("longest_run").alias("longest_run"))
+    return map_rows(source, f"doc {types['doc']}, item {types['item']}, side string, score int, matched int, longest_run int", run, 200)

@@ -96,13 +96,13 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leak.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark_questions"), "item_id", ["question", "answer"])
+def _leaks(spark: SparkSession, sf: str, edited: bool = True) -> DataFrame:
+    return leak.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark_questions"), "item_id", ["question", "answer"], edited=edited)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold ten consecutive words of an item."""
-    hit = _leaks(spark, sf).where(F.col("longest_run") >= leak.WINDOW_WORDS)
+    hit = _leaks(spark, sf, edited=False)
     return hit.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 

@@ -162,3 +162,33 @@ def test_very_long_texts(spark):
     item = spark.createDataFrame([(7, " ".join(long.split()[30_000:30_020]), None)], "item bigint, question string, answer string")
     got = leak.leaks(df, "id", "text", item, "item", ["question", "answer"]).collect()
     assert {(r["doc"], r["longest_run"]) for r in got} == {(1, 20), (2, 20)}
+
+
+@pytest.mark.parametrize("broadcast", [200, 10**6])
+def test_edited_leaks_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(leak, "BROADCAST_SEEDS", broadcast)
+    rng = random.Random(8)
+    voc = vocabulary(rng, 150)
+    text = lambda n: [rng.choice(voc) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(8, 45))), " ".join(text(rng.randint(0, 20)))) for i in range(15)]
+    docs = [(100 + i, " ".join(text(9) + q.split() + text(4))) for i, q, _ in items]  # the exact item stands in one document
+    for d in range(80):
+        body, at = rng.choice(items)[1].split(), rng.randint(1, 4)
+        step = rng.randint(2, 6)
+        for j in range(len(body) - at, -1, -step):  # an edit every few words
+            body[j : j + 1] = rng.choice([[], [rng.choice(voc)], ["new", body[j]]])
+        docs.append((d, " ".join(text(rng.randint(0, 30)) + body + text(rng.randint(0, 30)))))
+    h = lambda t: leak.hash_words(words(t))
+    expected = set()
+    for d, t in docs:
+        for i, *sides in items:
+            for side, p in zip(("question", "answer"), sides):
+                score, matched, longest, _ = leak.align(h(p), h(t)) if p else (0, 0, 0, 0)
+                if score >= 20 or longest >= 10:
+                    expected.add((d, i, side, score, matched, longest))
+    assert sum(e[5] < 5 for e in expected) >= 5  # some share no five words in a row
+    df = spark.createDataFrame(docs, "doc bigint, text string")
+    it = spark.createDataFrame(items, "item bigint, question string, answer string")
+    assert {tuple(r) for r in leak.leaks(df, "doc", "text", it, "item", ["question", "answer"]).collect()} == expected
+    exact = leak.leaks(df, "doc", "text", it, "item", ["question", "answer"], edited=False)
+    assert {tuple(r) for r in exact.collect()} == {e for e in expected if e[5] >= 10}
