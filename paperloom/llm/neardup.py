@@ -14,11 +14,10 @@ from paperloom.runtime import durable, map_rows, spread
 
 #: Fingerprints per text, symbols of a fingerprint, and the edit radius of the ball around one
 #: (symbols exchanged); each side walks half of that way, so it drops RADIUS // 2 symbols.
-FINGERPRINTS, SYMBOLS, RADIUS = 11, 5, 2
-#: Colliding texts are compared by 64 bits of their symbols before their words are: at a similarity
-#: of 0.6 about 3 pairs in 1000 differ in more bits than this, of 0.65 fewer than one, while of pairs
-#: that met by stock phrases only 2 in 100 don't.
-MAX_BITS = 20
+FINGERPRINTS, SYMBOLS, RADIUS = 20, 5, 2
+#: Colliding texts are compared by 64 bits of as many symbols before their words are: at a similarity
+#: of 0.6 a bit differs with probability 0.2, and fewer than one pair in 100000 differs in more than this.
+MAX_BITS = 28
 #: Up to so many ids are broadcast to fetch texts; more are met by a shuffled join.
 BROADCAST_IDS = 100_000
 
@@ -114,8 +113,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     the variants of each class (id-sized rows), a self-join on them gives the colliding class pairs.
     Those too different in their sketch bits are dropped, the rest made distinct and verified on
     the texts. Hot variants are split by the adaptive skew join. With the defaults a pair of
-    similarity 0.6 is met with probability 0.989 (11 fingerprints, each met if 4 of its 5 symbols
-    agree: 0.337), one of 0.65 with 0.998, one of 0.7 with 0.9997, one of 0.8 practically always.
+    similarity 0.6 is met with probability 0.9997 (20 fingerprints, each met if 4 of its 5 symbols
+    agree: 0.337), one of 0.65 with 0.99999, one of 0.7 practically always.
 
     NULL ids and NULL, blank or too short texts come out nowhere; repeated rows count once.
     """
