@@ -42,7 +42,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 1000) -> DataFrame:
-    """Run ``fn`` on slices of Arrow batches as columns of Python lists; it returns columns of ``schema``.
+    """Run ``fn`` on slices of Arrow batches as columns of Python lists; it returns columns of ``schema``
+    (lists, or Arrow arrays of the right type).
 
     Slices of at most ``rows`` rows stream, so a task's memory is bounded by one slice and its
     output. An empty result is allowed.
@@ -55,7 +56,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[st
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 cols = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                arrays = [pa.array(cols[f.name], type=f.type) for f in target]
+                arrays = [c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, struct)
