@@ -21,8 +21,23 @@ def brute_pairs(rows, shingle, threshold):
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if any(len(x & y) >= threshold * len(x | y) for x in s[a] for y in s[b])}
 
 
-@pytest.mark.parametrize("shingle, threshold", [(3, 0.6), (5, 0.8)])
-def test_near_duplicates(spark, shingle, threshold):
+def test_words_are_hashed_in_bulk_as_they_are_one_by_one(monkeypatch):
+    from paperloom.llm import words as w
+
+    texts = ["Hello World, ça va? ß_x 12", "", " ", "x", "İstanbul WORLD hello ca", "a-b-c " * 20, "日本語 text", "\ud800 lone"]
+    for size in (2_000_000, 37):
+        monkeypatch.setattr(w, "CHARACTERS", size)
+        hashes, counts = w.hash_texts(texts)
+        each = [words(t) for t in texts]
+        assert counts.tolist() == list(map(len, each))
+        known = {}
+        for word, h in zip(sum(each, []), hashes.tolist()):
+            assert known.setdefault(word, h) == h
+        assert len(set(known.values())) == len(known)
+
+
+@pytest.mark.parametrize("shingle, threshold, block, hold", [(3, 0.6, 256, 10**6), (5, 0.8, 256, 10**6), (3, 0.6, 2, 10**6), (3, 0.6, 256, 300)])
+def test_near_duplicates(spark, shingle, threshold, block, hold):
     rng = random.Random(9)
     voc = vocabulary(rng)
     rows = []
@@ -37,7 +52,7 @@ def test_near_duplicates(spark, shingle, threshold):
             rows.append((f"k{k}v{v}", "  ".join(t).upper() if v == 2 else " ".join(t)))
     rows += [("e1", ""), ("e2", None), (None, rows[0][1]), ("s1", "two words"), ("s2", "two words"), rows[0], rows[1]]
     df = spark.createDataFrame(rows, "id string, text string").selectExpr("*", "1 as class", "2 as key")
-    members, links = neardup.near_duplicates(df, "id", "text", shingle, threshold)
+    members, links = neardup.near_duplicates(df, "id", "text", shingle, threshold, block, hold)
     got = {tuple(r) for r in neardup.expand_pairs(members, links).collect()}
     assert got == brute_pairs(rows, shingle, threshold)
     g = neardup.groups(members, links).collect()
