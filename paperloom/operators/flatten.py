@@ -14,7 +14,7 @@ OPEN, CLOSE, COMMA, COLON = 1, 2, 3, 4
 _KIND = np.zeros(256, dtype=np.int8)
 for _c, _k in (("{", OPEN), ("[", OPEN), ("}", CLOSE), ("]", CLOSE), (",", COMMA), (":", COLON)):
     _KIND[ord(_c)] = _k
-_NAMES = {ord("{"): "object", ord("["): "array", ord('"'): "string", ord("t"): "boolean", ord("f"): "boolean", ord("n"): "null"}
+_BLANK = np.isin(np.arange(256), list(b" \t\r\n"))
 ITEM = "node_id int, parent_id int, in_array boolean, name string, ordinal int, path string, kind string, value string"
 
 
@@ -40,46 +40,73 @@ def structural_index(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return pos, kinds, depth + (kinds == CLOSE)
 
 
-def _spans(text: str) -> list[tuple]:
-    """All array elements and object members of a valid JSON text as
-    (parent, in_array, name, ordinal, kind, raw value), parents before children; parent -1: the root."""
+def parse_nodes(text: str) -> list[tuple] | None:
+    """All array elements and object members of a JSON text as (parent, in_array, name, ordinal, kind,
+    value), parents before children, parent -1 for the root; None if the text is no valid JSON.
+
+    Validity, spans and parents come from the structural index, at any depth: what may follow what
+    is checked on all neighbouring tokens at once, the scalars and names between them are decoded
+    by one call. Containers are never decoded; their value is None.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, dtype=np.uint8)
     pos, kinds, level = structural_index(data)
     if not len(pos):
-        return []
+        return [] if _scalars([raw]) is not None else None
+    solid = ~_BLANK[data]
+    solid[pos] = False
+    solid = np.cumsum(solid)
     order = np.lexsort((pos, level))
-    p, k, lv = pos[order], kinds[order], level[order]
-    left, right = k[:-1], k[1:]
-    same = (lv[:-1] == lv[1:]) & (left != CLOSE)
+    k = kinds[order]
     opener = np.maximum.accumulate(np.where(k == OPEN, np.arange(len(k)), 0))
-    array = data[p[opener]] == ord("[")
-    value = same & np.where(array[:-1], (left != COLON) & (right != COLON), left == COLON)
-    idx = np.flatnonzero(value)
-    seps = np.cumsum(k == COMMA)
-    ordinal = seps[idx] - seps[opener[idx]]
-    starts, stops = p[idx] + 1, p[idx + 1]
-    first_level = np.searchsorted(lv, np.arange(lv[-1] + 2))
-    out: list[tuple] = []
-    number = {}  # sorted place of the token before a value -> its node
-    for n, (i, a, b, o) in enumerate(zip(idx.tolist(), starts.tolist(), stops.tolist(), ordinal.tolist())):
-        body = raw[a:b].strip(b" \t\r\n")
-        if not body:  # an empty array
-            continue
-        parent, where = -1, int(lv[i])
-        if where > 1:
-            lo, hi = first_level[where - 1], first_level[where]
-            parent = number[int(lo + np.searchsorted(p[lo:hi], p[opener[i]]) - 1)]
-        in_array = bool(array[i])
-        name = None
-        if not in_array:
-            name = json.loads(raw[p[i - 1] + 1 : p[i]])
-        number[i] = len(out)
-        kind = _NAMES.get(body[0], "number")
-        out.append((parent, in_array, name, o, kind, body.decode("utf-8", "replace")))
+    enclosing = np.empty(len(k), dtype=np.int64)  # each token's own opening bracket
+    enclosing[order] = order[opener]
+    bracket = data[pos[enclosing]]
+    closes = kinds == CLOSE
+    if kinds[0] != OPEN or level.min() < 1 or (closes & (level == 1)).sum() != 1 or not (closes[-1] and level[-1] == 1) or solid[pos[0]] or solid[-1] != solid[pos[-1]] or (data[pos[closes]] != bracket[closes] + 2).any():
+        return None
+    here, then, array, filled = kinds[:-1], kinds[1:], bracket[:-1] == ord("["), np.diff(solid[pos]) > 0
+    ends = (then == COMMA) | (then == CLOSE)
+    value = np.where(filled, ends, then == OPEN)  # right if a value has to follow
+    right = np.where(here == CLOSE, ~filled & ends, np.where(here == COLON, ~array & value, np.where(array, value, filled & (then == COLON))))
+    if not (right | (here == OPEN) & ~filled & (then == CLOSE)).all():
+        return None
+    begins = (filled | (then == OPEN)) & ((here == COLON) | array & ((here == OPEN) | (here == COMMA)))
+    token = order[np.append(begins, False)[order]]  # a value follows these, level by level
+    named, leaf = ~array[token], filled[token]
+    pieces = [raw[a + 1 : b] for a, b in zip(pos[token[leaf]].tolist(), pos[token[leaf] + 1].tolist())]
+    names = [raw[a + 1 : b] for a, b in zip(pos[token[named] - 1].tolist(), pos[token[named]].tolist())]
+    decoded = _scalars(pieces + names)
+    if decoded is None or not all(isinstance(x, str) for x in decoded[len(pieces) :]):
+        return None
+    commas = np.empty(len(k), dtype=np.int64)
+    commas[order] = np.cumsum(k == COMMA) - np.cumsum(k == COMMA)[opener]
+    number = np.full(len(k) + 1, -1, dtype=np.int64)  # a token's value -> its node; the last stands for the root
+    number[token] = np.arange(len(token))
+    parents = number[enclosing[token] - 1]
+    scalars, words = iter(zip(decoded, pieces)), iter(decoded[len(pieces) :])
+    out = []
+    opens = data[pos[np.minimum(token + 1, len(pos) - 1)]]
+    for parent, has_name, is_leaf, ordinal, first in zip(parents.tolist(), named.tolist(), leaf.tolist(), commas[token].tolist(), opens.tolist()):
+        if is_leaf:
+            x, piece = next(scalars)
+            kind = "string" if isinstance(x, str) else "null" if x is None else "boolean" if isinstance(x, bool) else "number"
+            body = x if kind == "string" else piece.strip(b" \t\r\n").decode()
+        else:
+            kind, body = "object" if first == ord("{") else "array", None
+        out.append((parent, not has_name, next(words) if has_name else None, ordinal, kind, body))
     return out
 
 
+def _scalars(pieces: list[bytes]) -> list | None:
+    """The values of JSON scalars, decoded together; None if one of them is none. Numbers of any length will do."""
+    try:
+        out = json.loads(b"[" + b",".join(pieces) + b"]", parse_int=float)
+    except ValueError:
+        return None
+    return out if len(out) == len(pieces) else None
+
+
 def flatten_json(payload: str | None) -> list[tuple]:
     """Rows of ITEM for one payload; none if it is NULL, blank or no valid JSON.
 
@@ -88,45 +115,24 @@ def flatten_json(payload: str | None) -> list[tuple]:
     """
     if not payload or not payload.strip():
         return []
-    try:
-        json.loads(payload)
-    except (ValueError, RecursionError):
-        return []
     rows: list[tuple] = []
-
-    def add(text: str, root: int, prefix: str) -> None:
+    todo = [(parse_nodes(payload) or [], -1, "")]
+    for nodes, root, prefix in todo:  # grows by the arrays found in strings
         base = len(rows)
-        for parent, in_array, name, ordinal, kind, value in _spans(text):
+        for parent, in_array, name, ordinal, kind, value in nodes:
             up = root if parent < 0 else base + parent
             path = prefix if parent < 0 else rows[up][5]
             path = f"{path}[{ordinal}]" if in_array else f"{path}.{name}" if path else name
-            if kind == "string":
-                value = json.loads(value)
             inner = None
-            if kind == "string" and not in_array and (path == "metadata.authors" or path.endswith(".metadata.authors")):
-                inner = _array_in(value)
-            rows.append((len(rows), up, in_array, name, ordinal, path, "array" if inner else kind, value if kind != "object" and kind != "array" else None))
-            if inner:
-                nested.append((inner, len(rows) - 1, path))
-
-    nested: list[tuple[str, int, str]] = []
-    add(payload, -1, "")
-    while nested:
-        todo, nested = nested, []
-        for text, root, prefix in todo:
-            add(text, root, prefix)
+            if kind == "string" and not in_array and (path == "metadata.authors" or path.endswith(".metadata.authors")) and value.lstrip().startswith("["):
+                inner = parse_nodes(value)
+            if inner is not None:
+                kind, value = "array", None
+                todo.append((inner, len(rows), path))
+            rows.append((len(rows), up, in_array, name, ordinal, path, kind, value))
     return rows
 
 
-def _array_in(value: str) -> str | None:
-    if not value.lstrip().startswith("["):
-        return None
-    try:
-        return value if isinstance(json.loads(value), list) else None
-    except (ValueError, RecursionError):
-        return None
-
-
 def flatten_records(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, node_id, parent_id, in_array, name, ordinal, path, kind, value): every array element
     and object member of every readable payload, each with its parent's node_id (-1: the root).

@@ -53,6 +53,30 @@ def test_authors_in_a_string():
 def test_deep_nesting():
     text = "[" * 400 + "1" + "]" * 400
     assert len(found(text)) == 400
+    deep = 100_000
+    nodes = flatten.parse_nodes('{"a":' * deep + "[" * deep + "1" + "]" * deep + "}" * deep)
+    assert [n[0] for n in nodes] == list(range(-1, 2 * deep - 1)) and nodes[-1][4:] == ("number", "1")
+    assert flatten.parse_nodes("[" * deep + "1" + "]" * (deep - 1)) is None
+
+
+def test_valid_is_what_a_parser_takes_for_valid():
+    rng = random.Random(8)
+    seen = {True: 0, False: 0}
+    for _ in range(20_000):
+        text = list(json.dumps(random_value(rng, 2), indent=rng.choice([None, 1])))
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(text))
+            text[i : i + rng.randint(0, 1)] = rng.choice(['"', "[", "]", "{", "}", ",", ":", " ", "1", "\\", "null", "", "\x0b", "-", "e"])
+        text = "".join(text)
+        try:
+            json.loads(text)
+            valid = bool(text.strip())
+        except ValueError:
+            valid = False
+        assert (flatten.parse_nodes(text) is not None) == valid, text
+        seen[valid] += 1
+    assert min(seen.values()) > 3000
+    assert flatten.parse_nodes("[" + "9" * 10_000 + "]")[0][4] == "number"
 
 
 def test_spark(spark):
