@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 import xml.etree.ElementTree as ET
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,119 +63,113 @@ def _kind(heading: str) -> str:
     return "conclusion" if "conclusion" in heading.lower() else "body"
 
 
+def _paragraphs(elements: list[ET.Element]) -> str:
+    return "\n\n".join(t for p in elements if (t := _text(p)))
+
+
 def _walk(root: ET.Element | None, part: str, title: str) -> list[tuple[str, str, int]]:
-    """(heading, text, level) of nested parts in document order, direct paragraphs only; without
-    any, all paragraphs below."""
-    out: list[tuple[str, str, int]] = []
-
-    def visit(e: ET.Element, level: int) -> None:
-        heading = _text(next(iter(_kids(e, title)), None))
-        body = "\n\n".join(t for p in _kids(e, "p") if (t := _text(p)))
-        if body:
-            out.append((heading, body, level))
-        for k in _kids(e, part):
-            visit(k, level + 1)
-
-    for e in _kids(root, part):
-        visit(e, 1)
-    if not out and root is not None:
-        body = "\n\n".join(t for p in _all(root, "p") if (t := _text(p)))
-        if body:
-            out.append(("", body, 1))
-    return out
+    """(heading, text, level): the root's own paragraphs, then nested parts in document order
+    with their direct paragraphs; without any of these, all paragraphs below. At any depth."""
+    out = [("", _paragraphs(_kids(root, "p")), 1)]
+    todo = [(e, 1) for e in reversed(_kids(root, part))]
+    while todo:
+        e, level = todo.pop()
+        out.append((_text(next(iter(_kids(e, title)), None)), _paragraphs(_kids(e, "p")), level))
+        todo += [(k, level + 1) for k in reversed(_kids(e, part))]
+    return [x for x in out if x[1]] or [x for x in [("", _paragraphs(_all(root, "p")), 1)] if x[1]]
 
 
 def _sections(title: str, abstract: str, body: list[tuple[str, str, int]]) -> list[dict]:
-    rows = ([("title", "", title, 1)] if title else []) + ([("abstract", "Abstract", abstract, 1)] if abstract else [])
+    rows = ([("title", "", title, 0)] if title else []) + ([("abstract", "Abstract", abstract, 1)] if abstract else [])
     rows += [(_kind(h), h, t, level) for h, t, level in body]
     return [{"section_type": k, "heading": h, "text": t, "order": i, "level": level} for i, (k, h, t, level) in enumerate(rows)]
 
 
-def parse_tei(xml: str) -> dict:
-    """Title, authors, DOI, journal, date, sections and references of a TEI document."""
+def _names(people: list[ET.Element], parts: tuple[tuple[str, bool], ...]) -> list[str]:
+    """Names from the parts of a person, of each all elements or the first one."""
+    return [n for e in people if (n := " ".join(t for name, every in parts for x in (_all(e, name) if every else _all(e, name)[:1]) if (t := _text(x))))]
+
+
+def parse_tei(xml: str, requested: str = "") -> dict:
+    """Title, authors, DOI, journal, date, sections and references of a TEI document.
+
+    Authors are those of the article (``analytic``), not of the volume; a date of publication goes
+    before others; references are those of the back matter. ``requested`` isn't used."""
     root = ET.fromstring(xml)
-    header = _first(root, "teiHeader")
-    head = header if header is not None else root
-    source = _first(head, "sourceDesc")
-    src = source if source is not None else head
-    title = _typed(_all(src, "title"), "level", {"a"}) or _typed(_all(head, "title"), "type", {"main"}) or _text(_first(head, "title"))
-    authors = []
-    for person in _all(src, "persName"):
-        name = inline(" ".join([*(_text(x) for x in _all(person, "forename")), *(_text(x) for x in _all(person, "surname"))]))
-        if name and name not in authors:
-            authors.append(name)
-    body = _first(_first(root, "text"), "body")
-    dates = _all(src, "date")
+    article = _first(root, "analytic")
+    title = _typed(_all(article, "title"), "level", {"a"}) or _typed(_all(root, "title"), "type", {"main"}) or _text(_first(root, "title"))
+    people = [p if (p := _first(a, "persName")) is not None and len(p) else a for a in _all(article, "author")]
+    dates = _all(root, "date")
+    published = [d for d in dates if _attribute(d, "type").lower() in ("published", "publication")]
+    written = [t for d in dates if (t := _attribute(d, "when") or _text(d))]
+    text = _first(root, "text")
     return {
-        "title": title, "authors": authors, "doi": _typed(_all(src, "idno"), "type", {"doi"}), "journal": _typed(_all(src, "title"), "level", {"j"}),
-        "publication_date": next((w for d in dates if (w := _attribute(d, "when"))), ""), "pmid": "", "pmcid": "",
-        "sections": _sections(title, "\n\n".join(t for p in _all(_first(head, "abstract"), "p") if (t := _text(p))) or _text(_first(head, "abstract")), _walk(body, "div", "head")),
-        "references": [t for b in _all(_first(root, "listBibl"), "biblStruct", "bibl") if (t := _text(b))],
+        "title": title, "authors": list(dict.fromkeys(_names(people, (("forename", True), ("surname", False))))), "doi": _typed(_all(root, "idno"), "type", {"doi"}), "journal": _typed(_all(root, "title"), "level", {"j"}),
+        "publication_date": _attribute(published[0], "when") or _text(published[0]) if published else written[0] if written else "", "pmid": "", "pmcid": "",
+        "sections": _sections(title, _paragraphs(_all(_first(root, "abstract"), "p")), _walk(_first(text, "body"), "div", "head")),
+        "references": [t for b in _all(_first(text, "back"), "biblStruct") if (t := _text(b))],
     }
 
 
-def parse_jats(xml: str) -> dict:
-    """The same of a JATS article; ids by type, the preferred publication date."""
+def parse_jats(xml: str, requested: str = "") -> dict:
+    """The same of a JATS article; ids by type (``requested`` where it names no PMCID of its
+    own), contributors marked as authors, the preferred publication date."""
     root = ET.fromstring(xml)
-    meta = _first(root, "article-meta")
-    ids = {_attribute(e, "pub-id-type").lower(): _text(e) for e in _kids(meta, "article-id")}
-    authors = []
-    for c in _all(meta, "contrib"):
-        if _attribute(c, "contrib-type").lower() in ("author", ""):
-            name = inline(f"{_text(_first(c, 'given-names'))} {_text(_first(c, 'surname'))}")
-            if name and name not in authors:
-                authors.append(name)
+    front = _first(root, "front")
+    meta = _first(front, "article-meta")
+    ids = {kind: _text(e) for e in _all(meta, "article-id") if (kind := _attribute(e, "pub-id-type").lower())}
+    people = [n for c in _all(meta, "contrib") if _attribute(c, "contrib-type").lower() == "author" and (n := _first(c, "name")) is not None]
     dates = _all(meta, "pub-date")
     best = next((d for d in dates if _attribute(d, "pub-type").lower() in ("epub", "electronic", "ppub")), dates[0] if dates else None)
-    date = ""
-    if best is not None:
-        year, month, day = (_text(_first(best, k)) for k in ("year", "month", "day"))
-        date = "-".join(x for x in (year, month.zfill(2), day.zfill(2)) if x)
+    year, month, day = (_text(_first(best, k)) for k in ("year", "month", "day"))
     title = _text(_first(meta, "article-title"))
-    abstract = _first(meta, "abstract")
-    pmc = ids.get("pmc") or ids.get("pmcid") or ""
+    pmc = ids.get("pmc", requested).upper()
     return {
-        "title": title, "authors": authors, "doi": ids.get("doi", ""), "journal": _text(_first(_first(root, "journal-meta"), "journal-title")), "publication_date": date, "pmid": ids.get("pmid", ""), "pmcid": pmc and (pmc if pmc.upper().startswith("PMC") else f"PMC{pmc}"),
-        "sections": _sections(title, "\n\n".join(t for p in _all(abstract, "p") if (t := _text(p))) or _text(abstract), _walk(_first(root, "body"), "sec", "title")),
-        "references": [t for r in _all(_first(root, "ref-list"), "ref") if (t := _text(r))],
+        "title": title, "authors": list(dict.fromkeys(_names(people, (("given-names", False), ("surname", False))))), "doi": ids.get("doi", ""), "journal": _text(_first(_first(front, "journal-meta"), "journal-title")),
+        "publication_date": "-".join(x for x in (year, month.zfill(2), day.zfill(2)) if x) if best is not None else "", "pmid": ids.get("pmid", ""), "pmcid": pmc if not pmc or pmc.startswith("PMC") else f"PMC{pmc}",
+        "sections": _sections(title, _paragraphs(_all(_first(meta, "abstract"), "p")), _walk(_first(root, "body"), "sec", "title")),
+        "references": [t for r in _all(_first(_first(root, "back"), "ref-list"), "ref") if (t := _text(r))],
     }
 
 
-def parse_pubmed(xml: str) -> dict:
-    """Title and abstract only."""
+def parse_pubmed(xml: str, requested: str = "") -> dict:
+    """Title and abstract only; the record's own PMID goes before the ``requested`` one."""
     root = ET.fromstring(xml)
-    title = _text(_first(root, "ArticleTitle"))
-    abstract = "\n\n".join(t for a in _all(root, "AbstractText") if (t := _text(a)))
-    ids = {_attribute(e, "IdType").lower(): _text(e) for e in _all(root, "ArticleId")}
-    authors = [n for a in _all(root, "Author") if (n := inline(f"{_text(_first(a, 'ForeName'))} {_text(_first(a, 'LastName'))}"))]
-    return {"title": title, "authors": authors, "doi": ids.get("doi", ""), "journal": _text(_first(_first(root, "Journal"), "Title")), "publication_date": "", "pmid": _text(_first(root, "PMID")), "pmcid": ids.get("pmc", ""), "sections": _sections(title, abstract, []), "references": []}
+    article = _first(root, "Article")
+    title = _text(_first(article, "ArticleTitle"))
+    ids = [t for e in _all(root, "ArticleId") if _attribute(e, "IdType").lower() == "doi" and (t := _text(e))]
+    return {
+        "title": title, "authors": _names(_all(_first(article, "AuthorList"), "Author"), (("ForeName", False), ("LastName", False))), "doi": ids[0] if ids else "", "journal": _text(_first(_first(article, "Journal"), "Title")),
+        "publication_date": "", "pmid": _text(_first(root, "PMID")) or requested, "pmcid": "", "sections": _sections(title, _paragraphs(_all(_first(article, "Abstract"), "AbstractText")), []), "references": [],
+    }
 
 
 PARSERS = {"tei": parse_tei, "jats": parse_jats, "pubmed": parse_pubmed}
 
 
-def parse_xml(df: DataFrame, source: str, xml: str, kind: str) -> DataFrame:
-    """S8 to S10 over (source, xml): one DOCUMENT row each. NULL, blank and broken XML give a row
-    with its error and no sections. Nesting is unbounded, so this is a Python map over Arrow batches."""
+def parse_xml(df: DataFrame, source: str, xml: str, kind: str, requested: str | None = None) -> DataFrame:
+    """S8 to S10 over (source, xml): one DOCUMENT row each, named by its PMCID or PMID, by the
+    file's stem (TEI), or by its source; ``requested`` has the id that was asked for. NULL, blank and broken XML give a row with its error and no sections. Nesting is unbounded, so this is a Python map over Arrow batches."""
     parser = PARSERS[kind]
     names = [f.split()[0] for f in DOCUMENT.replace(", ", ",").split(",") if f.split()[0] in ("title", "doi", "journal", "publication_date", "authors", "pmid", "pmcid", "sections", "references")]
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ["source", "document_id", *names, "error"]}
-        for s, x in zip(cols["s"], cols["x"]):
+        for s, x, r in zip(cols["s"], cols["x"], cols["r"]):
             got, error = {}, None
             try:
-                got = parser(x or "")
+                got = parser(x or "", r or "")
             except ET.ParseError as e:
                 error = f"XML can't be read: {e}"
             out["source"].append(s)
-            out["document_id"].append(got.get("pmcid") or (f"PMID{got['pmid']}" if got.get("pmid") else s))
+            name = PurePosixPath(s).stem if s and kind == "tei" else s
+            out["document_id"].append(got.get("pmcid") or (f"PMID{got['pmid']}" if got.get("pmid") else name))
             out["error"].append(error)
             for n in names:
                 out[n].append(got.get(n, [] if n in ("authors", "sections", "references") else ""))
         return out
 
-    return map_rows(df.select(F.col(source).alias("s"), F.col(xml).alias("x")), DOCUMENT, run)
+    return map_rows(df.select(F.col(source).alias("s"), F.col(xml).alias("x"), (F.col(requested) if requested else F.lit(None)).cast("string").alias("r")), DOCUMENT, run)
 
 
 # --- page texts and plain text ----------------------------------------------------------------------

@@ -4,40 +4,55 @@ from pyspark.sql import functions as F
 from paperloom.operators import corpus, extract
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a" type="main">On dogs</title></titleStmt><sourceDesc><biblStruct><analytic><title level="a">On dogs</title>
-<author><persName><forename>Ann</forename><surname>Lee</surname></persName></author><author><persName><forename>Ann</forename><surname>Lee</surname></persName></author><idno type="DOI">10.1/x</idno></analytic>
-<monogr><title level="j">Dog Studies</title></monogr></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>Short.</p></abstract></profileDesc></teiHeader>
-<text><body><div><head>Methods</head><p>H<hi>2</hi>O.</p><div><head>Animals</head><p>Ten dogs.</p></div></div><div><head>Conclusions</head><p>Fine.</p></div></body><back><listBibl><biblStruct><note>Ref one</note></biblStruct></listBibl></back></text></TEI>"""
-JATS = """<article><front><journal-meta><journal-title>Dog Studies</journal-title></journal-meta><article-meta><article-id pub-id-type="pmid">7</article-id><article-id pub-id-type="pmc">123</article-id><article-id pub-id-type="doi">10.1/y</article-id>
-<title-group><article-title>More dogs</article-title></title-group><contrib-group><contrib contrib-type="author"><name><surname>Roe</surname><given-names>Jo</given-names></name></contrib></contrib-group><pub-date pub-type="collection"><year>2019</year></pub-date><pub-date pub-type="epub"><year>2020</year><month>3</month></pub-date>
-<abstract><p>Abs.</p></abstract></article-meta></front><body><sec><title>Intro</title><p>One.</p><sec><title>Deep</title><p>Two.</p></sec></sec></body><back><ref-list><ref>R1</ref></ref-list></back></article>"""
+<author><persName><forename>Ann</forename><forename>B.</forename><surname>Lee</surname></persName></author><author><persName><forename>Ann</forename><forename>B.</forename><surname>Lee</surname></persName></author><author>No parts</author></analytic>
+<monogr><title level="j">Dog Studies</title><editor><persName><forename>Ed</forename><surname>Itor</surname></persName></editor><imprint><date type="submitted" when="2018-01-01"/><date type="published">May 2019</date></imprint></monogr><idno type="DOI">10.1/x</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>Short.</p></abstract></profileDesc></teiHeader>
+<text><body><p>First, directly.</p><div><head>Methods</head><p>H<hi>2</hi>O.</p><div><head>Animals</head><p>Ten dogs.</p></div></div><div><head>Conclusions</head><p>Fine.</p></div></body><back><listBibl><biblStruct><note>Ref one</note></biblStruct></listBibl></back></text></TEI>"""
+JATS = """<article><front><journal-meta><journal-title>Dog Studies</journal-title></journal-meta><article-meta><article-id pub-id-type="pmid">7</article-id><article-id pub-id-type="pmc">pmc123</article-id><article-id pub-id-type="doi">10.1/y</article-id>
+<title-group><article-title>More dogs</article-title></title-group><contrib-group><contrib contrib-type="author"><name><surname>Roe</surname><given-names>Jo</given-names></name></contrib><contrib contrib-type="editor"><name><surname>Itor</surname></name></contrib><contrib><name><surname>Untyped</surname></name></contrib></contrib-group><pub-date pub-type="collection"><year>2019</year></pub-date><pub-date pub-type="epub"><year>2020</year><month>3</month></pub-date>
+<abstract><p>Abs.</p></abstract></article-meta></front><body><p>Before.</p><sec><title>Intro</title><p>One.</p><sec><title>Deep</title><p>Two.</p></sec></sec></body><back><ref-list><ref>R1</ref></ref-list></back></article>"""
 
 
-def parse(spark, xml, kind):
-    return extract.parse_xml(spark.createDataFrame([("src", xml)], "s string, x string"), "s", "x", kind).first()
+def parse(spark, xml, kind, source="in/src.xml", requested=None):
+    return extract.parse_xml(spark.createDataFrame([(source, xml, requested)], "s string, x string, q string"), "s", "x", kind, "q").first()
 
 
 def test_tei(spark):
     d = parse(spark, TEI, "tei")
-    assert (d["title"], d["authors"], d["doi"], d["journal"], d["error"]) == ("On dogs", ["Ann Lee"], "10.1/x", "Dog Studies", None)
-    assert [(s["section_type"], s["heading"], s["text"], s["order"], s["level"]) for s in d["sections"]] == [("title", "", "On dogs", 0, 1), ("abstract", "Abstract", "Short.", 1, 1), ("body", "Methods", "H 2 O.", 2, 1), ("body", "Animals", "Ten dogs.", 3, 2), ("conclusion", "Conclusions", "Fine.", 4, 1)]
+    assert (d["document_id"], d["title"], d["authors"], d["doi"], d["journal"], d["publication_date"], d["error"]) == ("src", "On dogs", ["Ann B. Lee"], "10.1/x", "Dog Studies", "May 2019", None)
+    assert [(s["section_type"], s["heading"], s["text"], s["order"], s["level"]) for s in d["sections"]] == [
+        ("title", "", "On dogs", 0, 0), ("abstract", "Abstract", "Short.", 1, 1), ("body", "", "First, directly.", 2, 1), ("body", "Methods", "H 2 O.", 3, 1), ("body", "Animals", "Ten dogs.", 4, 2), ("conclusion", "Conclusions", "Fine.", 5, 1)
+    ]
     assert d["references"] == ["Ref one"]
 
 
+def test_tei_paragraphs_outside_parts_are_the_last_resort(spark):
+    x = "<TEI><text><body><list><item><p>Only here.</p></item></list><div><head>H</head></div></body></text></TEI>"
+    assert [(s["heading"], s["text"]) for s in parse(spark, x, "tei")["sections"]] == [("", "Only here.")]
+    deep = "<TEI><text><body>" + "<div><p>x</p>" * 3000 + "</div>" * 3000 + "</body></text></TEI>"
+    assert [s["level"] for s in parse(spark, deep, "tei")["sections"]] == list(range(1, 3001))
+
+
 def test_jats(spark):
     d = parse(spark, JATS, "jats")
     assert (d["document_id"], d["pmid"], d["doi"], d["publication_date"], d["authors"]) == ("PMC123", "7", "10.1/y", "2020-03-00", ["Jo Roe"])
-    assert [(s["heading"], s["level"]) for s in d["sections"]][-2:] == [("Intro", 1), ("Deep", 2)]
+    assert [(s["heading"], s["level"]) for s in d["sections"]] == [("", 0), ("Abstract", 1), ("", 1), ("Intro", 1), ("Deep", 2)]
+    assert parse(spark, "<article/>", "jats", requested="pmc9")["document_id"] == parse(spark, "<article/>", "jats", requested="9")["document_id"] == "PMC9"
+    assert parse(spark, "<article/>", "jats")["document_id"] == "in/src.xml"
 
 
 @pytest.mark.parametrize("xml", [None, "", "<a>", "<a/>"])
-def test_poor_xml(spark, xml):
-    d = parse(spark, xml, "jats")
+@pytest.mark.parametrize("kind", ["tei", "jats", "pubmed"])
+def test_poor_xml(spark, xml, kind):
+    d = parse(spark, xml, kind)
     assert d["sections"] == [] and (d["error"] is None) == (xml == "<a/>")
 
 
 def test_pubmed(spark):
-    d = parse(spark, "<P><PMID>5</PMID><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>A</AbstractText></Abstract></P>", "pubmed")
-    assert d["document_id"] == "PMID5" and [s["section_type"] for s in d["sections"]] == ["title", "abstract"]
+    x = "<P><PMID>5</PMID><Article><ArticleTitle>T</ArticleTitle><Journal><Title>J</Title></Journal><Abstract><AbstractText>A</AbstractText><AbstractText>B</AbstractText></Abstract><AuthorList><Author><LastName>Lee</LastName><ForeName>Ann</ForeName></Author><Author><LastName>Roe</LastName></Author></AuthorList></Article><ArticleId IdType='doi'>10.1/z</ArticleId></P>"
+    d = parse(spark, x, "pubmed")
+    assert (d["document_id"], d["journal"], d["doi"], d["authors"]) == ("PMID5", "J", "10.1/z", ["Ann Lee", "Roe"])
+    assert [(s["section_type"], s["text"]) for s in d["sections"]] == [("title", "T"), ("abstract", "A\n\nB")]
+    assert parse(spark, x.replace("<PMID>5</PMID>", ""), "pubmed", requested="8")["document_id"] == "PMID8"
 
 
 def test_page_lines(spark):
