@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from paperloom.runtime import map_rows
 
@@ -155,20 +156,28 @@ def flatten_records(df: DataFrame, key: str, payload: str) -> DataFrame:
     return map_rows(src, f"k {dict(src.dtypes)['k']}, {ITEM}", run).select(F.col("k").alias(key), *names)
 
 
-def flatten_documents(df: DataFrame) -> DataFrame:
-    """(document_id, path, parent, ordinal, kind, value): the items of the nested columns of
-    extracted documents: authors, sections, references, warnings and removed lines; NULL elements
-    keep their place but are left out. Built-in generators only; distinct rows."""
-    parts = [
-        ("metadata.authors", "metadata", "metadata.authors", F.col("e")),
-        ("sections", "document", "sections", F.to_json("e")),
-        ("references", "document", "`references`", F.col("e")),
-        ("warnings", "document", "warnings", F.col("e")),
-        ("diagnostics.removed_repeated_lines", "diagnostics", "diagnostics.removed_repeated_lines", F.col("e")),
-    ]
-    out = None
-    for path, parent, column, value in parts:
-        x = df.select("document_id", F.posexplode(F.col(column)).alias("o", "e")).where("e is not null")
-        x = x.select("document_id", F.format_string(f"{path}[%d]", "o").alias("path"), F.lit(parent).alias("parent"), F.col("o").alias("ordinal"), F.lit(path).alias("kind"), value.alias("value"))
-        out = x if out is None else out.union(x)
-    return out.distinct()
+def _items(c: Column, kind: DataType, path: Column, parent: Column, ordinal: Column, name: str) -> Column:
+    """The array of rows (path, parent, ordinal, kind, value) of a value and all that is in it; empty for NULL."""
+    nested = isinstance(kind, (StructType, ArrayType, MapType))
+    value = F.lit(None).cast("string") if nested else c.cast("string")
+    own = F.array(F.struct(path.alias("path"), parent.alias("parent"), ordinal.cast("int").alias("ordinal"), F.lit(name).alias("kind"), value.alias("value")))
+    none, empty = F.lit(None), F.slice(own, 1, 0)
+    if isinstance(kind, StructType):
+        own = F.concat(own, *[_items(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")), path, none, f"{name}.{f.name}") for f in kind])
+    elif isinstance(kind, ArrayType):
+        own = F.concat(own, F.flatten(F.transform(c, lambda e, i: _items(e, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), path, i, f"{name}[]"))))
+    elif isinstance(kind, MapType):
+        own = F.concat(own, F.flatten(F.transform(F.map_entries(c), lambda e: _items(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string")), path, none, f"{name}.*"))))
+    return F.when(c.isNull(), empty).otherwise(own)
+
+
+def flatten_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, path, parent, ordinal, kind, value): every non-null value in the given nested columns, at
+    any depth of their schema: structs, arrays and maps (value NULL) and the scalars in them as text,
+    each linked to the path of what it is in ('' for a column itself). Kind is the path without
+    positions and map keys. NULL elements keep their place but are left out; repeated rows count
+    once. Built-in functions only, one generator over one scan.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    every = F.concat(*[_items(F.col(f"`{c}`"), types[c], F.lit(c), F.lit(""), F.lit(None), c) for c in columns])
+    return df.select(F.col(key), F.explode(every).alias("_item")).select(key, "_item.*").distinct()

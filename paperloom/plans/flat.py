@@ -49,9 +49,8 @@ def p6_references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Items of the nested columns of extracted_documents."""
-    rows = flatten.flatten_documents(table(spark, sf, "extracted_documents"))
-    return rows.withColumn("value", F.when(F.col("kind") != "sections", F.col("value")))
+    """Everything in the nested columns of extracted_documents, linked to what it is in."""
+    return flatten.flatten_columns(table(spark, sf, "extracted_documents"), "document_id", ["metadata", "sections", "references", "diagnostics", "warnings", "provenance"])
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_items, p6_sections, p6_authors, p6_references, p6_documents)}
@@ -62,15 +61,27 @@ a AS (SELECT record_id, path, value ->> '$' AS inside FROM t WHERE (path = 'meta
 b AS (SELECT * FROM a WHERE json_valid(inside) AND json_type(inside) = 'ARRAY'),
 u AS (SELECT record_id, b.path || substr(j.fullkey, 2) AS path, j.type FROM b, json_tree(b.inside) j)
 """
+
+
+def _documents_sql() -> str:
+    """One SELECT for each struct, array, map and scalar of the nested columns."""
+    e, d = "extracted_documents", "document_id"
+    none = "CAST(NULL AS INT)"
+    out = [f"SELECT {d}, '{c}' AS path, '' AS parent, {none} AS ordinal, '{c}' AS kind, NULL AS value FROM {e} WHERE \"{c}\" IS NOT NULL" for c in ("metadata", "sections", "references", "diagnostics", "warnings", "provenance")]
+    for up, names in (("metadata", "title doi journal pmid pmcid publication_date"), ("diagnostics", "section_count reference_count character_count page_count")):
+        out += [f"SELECT {d}, '{up}.{n}', '{up}', {none}, '{up}.{n}', CAST({up}.{n} AS VARCHAR) FROM {e} WHERE {up}.{n} IS NOT NULL" for n in names.split()]
+    for up, n in (("metadata", "authors"), ("diagnostics", "removed_repeated_lines")):
+        out.append(f"SELECT {d}, '{up}.{n}', '{up}', {none}, '{up}.{n}', NULL FROM {e} WHERE {up}.{n} IS NOT NULL")
+    for path, c in (("metadata.authors", "metadata.authors"), ("diagnostics.removed_repeated_lines", "diagnostics.removed_repeated_lines"), ("references", '"references"'), ("warnings", "warnings")):
+        out.append(f"SELECT {d}, '{path}[' || o || ']', '{path}', CAST(o AS INT), '{path}[]', v FROM (SELECT {d}, unnest(range(0, len({c}))) AS o, unnest({c}) AS v FROM {e}) WHERE v IS NOT NULL")
+    sections = f"(SELECT {d}, unnest(range(0, len(sections))) AS o, unnest(sections) AS s FROM {e})"
+    out.append(f"SELECT {d}, 'sections[' || o || ']', 'sections', CAST(o AS INT), 'sections[]', NULL FROM {sections} WHERE s IS NOT NULL")
+    out += [f"SELECT {d}, 'sections[' || o || '].{n}', 'sections[' || o || ']', {none}, 'sections[].{n}', CAST(s.\"{n}\" AS VARCHAR) FROM {sections} WHERE s.\"{n}\" IS NOT NULL" for n in ("section_type", "heading", "text", "order", "level")]
+    out.append(f"SELECT {d}, 'provenance.' || m.key, 'provenance', {none}, 'provenance.*', m.value FROM (SELECT {d}, unnest(map_entries(provenance)) AS m FROM {e}) WHERE m.value IS NOT NULL")
+    return "SELECT DISTINCT * FROM (" + "\nUNION ALL ".join(out) + ")"
+
+
 ORACLES = {
     "p6_found": _TREE + "SELECT DISTINCT record_id, path FROM (SELECT record_id, path, type FROM t UNION ALL SELECT record_id, path, type FROM u) WHERE ends_with(path, ']') AND type <> 'NULL'",
-    "p6_documents": """
-WITH x AS (SELECT document_id, 'metadata.authors' AS kind, 'metadata' AS parent, metadata.authors AS l FROM extracted_documents
- UNION ALL SELECT document_id, 'references', 'document', "references" FROM extracted_documents
- UNION ALL SELECT document_id, 'warnings', 'document', warnings FROM extracted_documents
- UNION ALL SELECT document_id, 'diagnostics.removed_repeated_lines', 'diagnostics', diagnostics.removed_repeated_lines FROM extracted_documents),
-y AS (SELECT document_id, kind, parent, unnest(range(0, len(l))) AS o, unnest(l) AS value FROM x),
-s AS (SELECT document_id, 'sections' AS kind, 'document' AS parent, unnest(range(0, len(sections))) AS o, unnest(sections) AS e FROM extracted_documents)
-SELECT DISTINCT document_id, kind || '[' || o || ']' AS path, parent, CAST(o AS INT) AS ordinal, kind, value FROM y WHERE value IS NOT NULL
-UNION SELECT DISTINCT document_id, kind || '[' || o || ']', parent, CAST(o AS INT), kind, NULL FROM s WHERE e IS NOT NULL""",
+    "p6_documents": _documents_sql(),
 }

@@ -85,3 +85,17 @@ def test_spark(spark):
     got = flatten.flatten_records(df, "record_id", "payload").where("in_array and kind <> 'null'").select("record_id", "path").distinct()
     assert {tuple(r) for r in got.collect()} == {(1, "[0]"), (1, "[0].a[0]"), (None, "[0]")}
     assert flatten.flatten_records(df.where("false"), "record_id", "payload").count() == 0
+
+
+def test_columns(spark):
+    row = (1, {"a": "x", "b": ["p", None]}, [(2, [{"k": None, "v": 1.5}])], None, {"m": "n", "z": None})
+    schema = "id int, s struct<a:string,b:array<string>>, t array<struct<n:int,l:array<map<string,double>>>>, u array<int>, path map<string,string>"
+    df = spark.createDataFrame([row, row, (2, None, [], [None], None)], schema)
+    got = {tuple(r) for r in flatten.flatten_columns(df, "id", ["s", "t", "u", "path"]).collect()}
+    assert got == {
+        (1, "s", "", None, "s", None), (1, "s.a", "s", None, "s.a", "x"), (1, "s.b", "s", None, "s.b", None), (1, "s.b[0]", "s.b", 0, "s.b[]", "p"),
+        (1, "t", "", None, "t", None), (1, "t[0]", "t", 0, "t[]", None), (1, "t[0].n", "t[0]", None, "t[].n", "2"), (1, "t[0].l", "t[0]", None, "t[].l", None),
+        (1, "t[0].l[0]", "t[0].l", 0, "t[].l[]", None), (1, "t[0].l[0].v", "t[0].l[0]", None, "t[].l[].*", "1.5"), (1, "path", "", None, "path", None), (1, "path.m", "path", None, "path.*", "n"),
+        (2, "t", "", None, "t", None), (2, "u", "", None, "u", None),
+    }
+    assert flatten.flatten_columns(df.where("false"), "id", ["s", "t"]).count() == 0
