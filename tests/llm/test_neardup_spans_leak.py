@@ -4,7 +4,7 @@ import string
 import pytest
 
 from paperloom.llm import leak, neardup, spans
-from paperloom.llm.words import words
+from paperloom.llm.words import hash_texts, words
 
 
 def vocabulary(rng, n=400):
@@ -139,8 +139,8 @@ def test_alignment_against_plain():
 
 
 @pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_leaks(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(leak, "BROADCAST_SEEDS", broadcast)
+@pytest.mark.parametrize("edited", [True, False])
+def test_leaks(spark, broadcast, edited):
     rng = random.Random(6)
     voc = vocabulary(rng, 200)
     text = lambda n: [rng.choice(voc) for _ in range(n)]
@@ -160,7 +160,7 @@ def test_leaks(spark, monkeypatch, broadcast):
     expected = {(d, i) for d, t in docs for i, q, a in items if grams(t) & (grams(q) | grams(a))}
     df = spark.createDataFrame(docs, "doc bigint, text string").selectExpr("*", "1 as item", "2 as side")
     it = spark.createDataFrame(items, "item bigint, question string, answer string").selectExpr("*", "3 as doc")
-    got = leak.leaks(df, "doc", "text", it, "item", ["question", "answer"])
+    got = leak.leaks(df, "doc", "text", it, "item", ["question", "answer"], edited=edited, block_words=broadcast)
     assert {(r["doc"], r["item"]) for r in got.where("longest_run >= 10").collect()} == expected
 
 
@@ -179,9 +179,18 @@ def test_very_long_texts(spark):
     assert {(r["doc"], r["longest_run"]) for r in got} == {(1, 20), (2, 20)}
 
 
+def test_alignments_at_once_are_those_one_by_one():
+    import numpy as np
+
+    rng = random.Random(12)
+    pairs = [tuple(np.array([rng.randint(0, 6) for _ in range(rng.randint(0, 40))], dtype=np.int64) for _ in range(2)) for _ in range(400)]
+    each = [leak.align(a, b)[:3] if len(a) and len(b) else (0, 0, 0) for a, b in pairs]
+    assert [tuple(x) for x in leak.align_all(pairs).tolist()] == each
+    assert leak.align_all(pairs, track=False)[:, 0].tolist() == [e[0] for e in each]
+
+
 @pytest.mark.parametrize("broadcast", [200, 10**6])
-def test_edited_leaks_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(leak, "BROADCAST_SEEDS", broadcast)
+def test_edited_leaks_against_brute_force(spark, broadcast):
     rng = random.Random(8)
     voc = vocabulary(rng, 150)
     text = lambda n: [rng.choice(voc) for _ in range(n)]
@@ -193,7 +202,7 @@ def test_edited_leaks_against_brute_force(spark, monkeypatch, broadcast):
         for j in range(len(body) - at, -1, -step):  # an edit every few words
             body[j : j + 1] = rng.choice([[], [rng.choice(voc)], ["new", body[j]]])
         docs.append((d, " ".join(text(rng.randint(0, 30)) + body + text(rng.randint(0, 30)))))
-    h = lambda t: leak.hash_words(words(t))
+    h = lambda t: hash_texts([t])[0]
     expected = set()
     for d, t in docs:
         for i, *sides in items:
@@ -204,11 +213,29 @@ def test_edited_leaks_against_brute_force(spark, monkeypatch, broadcast):
     assert sum(e[5] < 5 for e in expected) >= 5  # some share no five words in a row
     df = spark.createDataFrame(docs, "doc bigint, text string")
     it = spark.createDataFrame(items, "item bigint, question string, answer string")
-    assert {tuple(r) for r in leak.leaks(df, "doc", "text", it, "item", ["question", "answer"]).collect()} == expected
-    exact = leak.leaks(df, "doc", "text", it, "item", ["question", "answer"], edited=False)
+    assert {tuple(r) for r in leak.leaks(df, "doc", "text", it, "item", ["question", "answer"], block_words=broadcast).collect()} == expected
+    exact = leak.leaks(df, "doc", "text", it, "item", ["question", "answer"], edited=False, block_words=broadcast)
     assert {tuple(r) for r in exact.collect()} == {e for e in expected if e[5] >= 10}
 
 
+def test_edited_copies_of_a_hot_text_are_found(spark):
+    rng = random.Random(5)
+    voc = vocabulary(rng, 2000)
+    item = [rng.choice(voc) for _ in range(60)]
+    docs, step = [(0, " ".join(item))], {}
+    for d in range(1, 400):  # copies with an edit every 6 to 9 words, and a hot family with the same edits
+        t = list(item)
+        step[d] = 7 if d > 200 else rng.randint(6, 9)
+        for j in range(step[d], 60, step[d]):
+            t[j] = "edited" if d > 200 else rng.choice(voc)
+        docs.append((d, " ".join([rng.choice(voc) for _ in range(20)] + t)))
+    docs += [(1000 + d, " ".join(rng.choice(voc) for _ in range(80))) for d in range(200)]
+    df = spark.createDataFrame(docs, "doc bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(item), None)], "item bigint, question string, answer string")
+    got = {r["doc"]: r["longest_run"] for r in leak.leaks(df, "doc", "text", it, "item", ["question", "answer"]).collect()}
+    assert set(got) == set(range(400)) and max(got[d] for d in range(1, 400)) < 10
+
+
 def test_pairs_just_at_the_threshold_are_met(spark):
     rng = random.Random(3)
     voc = vocabulary(rng, 3000)
