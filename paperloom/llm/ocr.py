@@ -30,12 +30,14 @@ CONFUSIONS = (
     ("h", "b"), ("b", "h"), ("a", "á"), ("e", "é"), ("o", "ó"), ("i", "í"), ("u", "ü"), ("i", "l"), ("l", "i"), ("n", "u"), ("u", "n"), ("y", "v"), ("v", "y"), ("q", "g"),
 )
 HYPHENS = "-­¬‐‑"
-#: Bounds of the training sample: documents read, words of the editor, words sent to all tasks.
-SAMPLE_DOCUMENTS, EDITOR_WORDS, COMMON_WORDS = 400, 6000, 20000
-#: Characters of the widest line that a page may have.
-PAGE_LINE = 250
-#: A correction is believed if its word is at least so many times as frequent as what was read.
-RATIO = 4
+#: Bounds of the training sample: documents read, and words of the editor.
+SAMPLE_DOCUMENTS, EDITOR_WORDS = 400, 6000
+#: The line and line-end models know so many words and compounds, most frequent first; a rarer one
+#: counts as unknown there. Which words are repaired doesn't depend on it.
+VOCABULARY = 500_000
+#: A correction is believed if its word is at least so many times as frequent as what was read; one
+#: of two letters without a digit, which other abbreviations resemble, needs more.
+RATIO, SHORT_RATIO = 4, 100
 
 
 _BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][^\S\n]*\n\s*(?=\w)")
@@ -46,9 +48,35 @@ def plain_words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def whole_words(text: str) -> set[str]:
-    """Distinct words of a text, those broken at a line end put together again."""
-    return set(plain_words(_BROKEN.sub("", text) if "\n" in text else text))
+_SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def whole_words(text: str) -> set[bytes]:
+    """Distinct words of a text in UTF-8, those broken at a line end put together again."""
+    low = (_BROKEN.sub("", text) if "\n" in text else text).lower()
+    found = set(low.encode("utf-8", "surrogatepass").translate(_SEPARATORS).split())
+    if low.isascii():
+        return found
+    odd = [w for w in found if not w.isascii()]  # may hold other signs beyond ASCII
+    found.difference_update(odd)
+    found.update(x.encode("utf-8", "surrogatepass") for w in odd for x in WORD.findall(w.decode("utf-8", "surrogatepass")))
+    return found
+
+
+def compounds(text: str) -> set[bytes]:
+    """Distinct pairs of letter runs around a hyphen, lower-cased."""
+    out = set()
+    k = text.find("-")
+    while k >= 0:
+        if 0 < k < len(text) - 1 and text[k - 1].isalpha() and text[k + 1].isalpha():
+            i, j = k - 1, k + 2
+            while i > 0 and text[i - 1].isalpha():
+                i -= 1
+            while j < len(text) and text[j].isalpha():
+                j += 1
+            out.add(text[i:j].lower().encode("utf-8", "surrogatepass"))
+        k = text.find("-", k + 1)
+    return out
 
 
 # --- the character editor -----------------------------------------------------------------------
@@ -65,11 +93,17 @@ def char_features(word: str, i: int, last: str) -> list[str]:
     ]
 
 
-def edit(model: Perceptron, word: str) -> str:
-    """The word after the editor's operations, from left to right."""
+def edit(model: Perceptron, word: str, memo: dict[str, str] | None = None) -> str:
+    """The word after the editor's operations, from left to right. An operation depends on three
+    characters on either side and the one before; ``memo`` remembers it."""
     out, last = [], "K"
+    memo = {} if memo is None else memo
+    w = f"^^^{word}$$$$"
     for i in range(len(word) + 1):
-        op = model.predict(char_features(word, i, last), "K")
+        seen = f"{w[i : i + 7]}{last}"
+        op = memo.get(seen)
+        if op is None:
+            op = memo[seen] = model.predict(char_features(word, i, last), "K")
         c = word[i] if i < len(word) else ""
         if op[0] == "K":
             out.append(c)
@@ -157,19 +191,54 @@ _OF = re.compile(r"\d\s+of\s+\d")
 _BULLET = re.compile(r"^\s*(?:[-*•‣–]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 
 
-def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | frozenset[str], width: int) -> list[str]:
-    """Page-position, shape and content features of a line among the lines of its section, the
-    longest of which has ``width`` characters."""
-    s = lines[i]
+def _around(lines: list[str]) -> tuple[list[str], list[str]]:
+    """The next line with characters before and after each line ('' for none)."""
+    before, after, last = [], [""] * len(lines), ""
+    for s in lines:
+        before.append(last)
+        last = s if s.strip() else last
+    last = ""
+    for i in range(len(lines) - 1, -1, -1):
+        after[i] = last
+        last = lines[i] if lines[i].strip() else last
+    return before, after
+
+
+def _char(c: str) -> str:
+    return "low" if c.islower() else "up" if c.isupper() else "dig" if c.isdigit() else "sym" if c else "none"
+
+
+def line_shape(s: str, before: str, after: str, width: int) -> tuple[str, ...]:
+    """What is quickly seen of a line: length, in characters and beside the widest, first and last
+    character, gaps, and how the lines around it end and begin."""
+    core = s.strip()
+    n = len(core)
+    last = before.rstrip()[-1:]
+    return (
+        f"n{n if n < 12 else 12 + n // 8 if n < 256 else 99}", f"len{min(9, 10 * n // max(1, width))}", "first" + _char(core[:1]), "second" + _char(core[1:2]), "last" + (core[-1:] if core[-1:] in ".!?;:,-|])" else _char(core[-1:])),
+        f"gap{int('  ' in core)}{int(chr(9) in s)}", f"prev{'hyphen' if last and last in HYPHENS else 'stop' if last and last in '.!?:' else 'open'}", "next" + _char(after.lstrip()[:1]),
+    )
+
+
+def masked(line: str) -> str:
+    """A line in lower case with its digits and outer signs left out, as it recurs from page to page."""
+    return re.sub(r"[\W\d_]+", " ", line.lower()).strip()
+
+
+@dataclass
+class Page:
+    """Where a line stands: of how many lines, how often it recurs in its document but for digits,
+    and how many lines with characters ago the last furniture was (0: none yet)."""
+
+    lines: int
+    again: int = 0
+    since: int = 0
+
+
+def line_features(s: str, i: int, before: str, after: str, blank: tuple[bool, bool], paper: Paper, common: set[bytes] | frozenset[bytes], width: int, page: Page) -> list[str]:
+    """Page-position, shape and content features of line ``i`` of its section, the longest of which
+    has ``width`` characters; ``blank``: whether the neighbouring lines are."""
     core = s.strip()
-    k = i - 1
-    while k >= 0 and not lines[k].strip():
-        k -= 1
-    before = lines[k] if k >= 0 else ""
-    k = i + 1
-    while k < len(lines) and not lines[k].strip():
-        k += 1
-    after = lines[k] if k < len(lines) else ""
     number = len(core) < 40 and _NUMBER.match(core)
     side = ("  " in s or "\t" in s) and _SIDE.search(s)
     ws = plain_words(core)
@@ -177,13 +246,14 @@ def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | fro
     letters = sum(map(str.isalpha, core))
     upper = sum(map(str.isupper, core)) / letters if letters else 0.0
     share = lambda bag: int(4 * sum(map(bag.__contains__, alpha)) / len(alpha)) if alpha else -1
+    known = int(4 * sum(w.encode("utf-8", "surrogatepass") in common for w in alpha) / len(alpha)) if alpha else -1
     first, last = core[:1], before.rstrip()[-1:]
     ends = "hyphen" if last in HYPHENS and last else "stop" if last in ".!?:" and last else "open"
     start = "low" if after.lstrip()[:1].islower() else "up" if after.lstrip()[:1].isupper() else "other"
     f = [
         "b", f"len{min(9, int(10 * len(core) / max(1, width)))}", f"words{min(12, len(alpha))}", f"up{int(upper * 4)}", f"first{'low' if first.islower() else 'up' if first.isupper() else 'dig' if first.isdigit() else 'sym'}",
-        f"prev{ends}", f"next{start}", f"flow{ends}{start}", f"blank{int(i > 0 and not lines[i - 1].strip())}{int(i + 1 < len(lines) and not lines[i + 1].strip())}",
-        f"edge{int(not before)}{int(not after)}", f"title{share(paper.title)}", f"journal{share(paper.journal)}", f"author{share(paper.authors)}", f"common{share(common)}",
+        f"prev{ends}", f"next{start}", f"flow{ends}{start}", f"blank{int(blank[0])}{int(blank[1])}",
+        f"edge{int(not before)}{int(not after)}", f"title{share(paper.title)}", f"journal{share(paper.journal)}", f"author{share(paper.authors)}", f"common{known}",
     ]
     for name, test in (
         ("number", number), ("side", side), ("bullet", _BULLET.match(s)), ("tab", "\t" in s), ("bar", "|" in s), ("slash", " / " in s), ("etal", "al" in core.lower() and _ETAL.search(core)),
@@ -192,6 +262,8 @@ def line_features(lines: list[str], i: int, paper: Paper, common: set[str] | fro
         f.append(f"{name}{int(bool(test))}")
     f += [f"w{w}" for w in (alpha[:1] + alpha[-1:])]
     f += [f"x{f[4]}{f[7]}up{int(upper * 4)}", f"y{f[7]}{f[-3]}", f"z{ends}{start}{int(bool(number))}{int(bool(side))}"]
+    f.append(f"rest{int(bool(number))}{int(('(' in core) != (')' in core))}{int(before.count('(') > before.count(')'))}{int(core[-1:] in '.,;')}")
+    f += [f"at{4 * i // max(1, page.lines)}", f"again{min(3, page.again)}", f"since{0 if not page.since else 1 if page.since < 3 else 2 if page.since < 12 else 3}"]
     return f
 
 
@@ -203,18 +275,22 @@ def is_head(kind: str) -> bool:
     return kind in ("head", "both")
 
 
-def classify_lines(model: Perceptron, lines: list[str], paper: Paper, common: set[str] | frozenset[str]) -> list[str]:
-    """The kind of each line. A line that begins in lower case continues a sentence (unless it is
-    a number like ``p. 7``), one longer than a page is wide is a paragraph: neither is scored;
-    furniture stands between lines of prose."""
+def classify_lines(models: "Models", lines: list[str], paper: Paper, recurring: Counter) -> list[str]:
+    """The kind of each line of a section, given how often masked lines recur in its document. The
+    gate, a model of the lines' shapes alone, tells which lines are no furniture for sure; the rest
+    is scored by the line model. Furniture stands between lines of prose, by its definition."""
     kinds: list[str] = []
     width = max(map(len, lines))
+    before, after = _around(lines)
+    since = 0
     for i, s in enumerate(lines):
-        core = s.lstrip()
-        if not core or len(core) > PAGE_LINE or core[0].islower() and not _NUMBER.match(core):
-            kinds.append("prose")
-        else:
-            kinds.append(model.predict(line_features(lines, i, paper, common, width), "prose"))
+        kind = "prose"
+        if s.strip() and models.gate.passes(line_shape(s, before[i], after[i], width)):
+            blank = i > 0 and not lines[i - 1].strip(), i + 1 < len(lines) and not lines[i + 1].strip()
+            page = Page(len(lines), recurring[masked(s)] - 1 if recurring else 0, since)
+            kind = models.lines.predict(line_features(s, i, before[i], after[i], blank, paper, models.common, width, page), "prose")
+        since = 1 if kind != "prose" else since + 1 if since and s.strip() else since
+        kinds.append(kind)
     prose = [k for k, x in enumerate(kinds) if x == "prose" and lines[k].strip()]
     for i, k in enumerate(kinds):
         if k != "prose" and not (prose and prose[0] < i < prose[-1]):
@@ -222,13 +298,23 @@ def classify_lines(model: Perceptron, lines: list[str], paper: Paper, common: se
     return kinds
 
 
-def break_features(left: str, right: str, common: set[str] | frozenset[str], hyphenated: set[str] | frozenset[str]) -> list[str]:
+def recurring_lines(texts: list[str | None]) -> Counter:
+    """How many of a document's section lines of page width are alike but for digits; only of those that recur."""
+    c: Counter[str] = Counter()
+    for t in texts:
+        if t and "\n" in t:
+            c.update(masked(s) for s in t.split("\n") if 0 < len(s) < 120)
+    return Counter({k: n for k, n in c.items() if n > 1 and k})
+
+
+def break_features(left: str, right: str, common: set[bytes] | frozenset[bytes], hyphenated: set[bytes] | frozenset[bytes]) -> list[str]:
     """Features of the end of line ``left`` before line ``right``."""
     l, r = left.rstrip(), right.lstrip()
     sign = l[-1:] if l[-1:] in HYPHENS else ""
     a = (re.findall(r"[^\W_]+$", l.rstrip(HYPHENS) if sign else l) or [""])[0].lower()
     b = (re.findall(r"^[^\W_]+", r) or [""])[0].lower()
-    known = f"{int(a + b in common)}{int(a in common)}{int(b in common)}{int(f'{a}-{b}' in hyphenated)}"
+    x, y = a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass")
+    known = f"{int(x + y in common)}{int(x in common)}{int(y in common)}{int(x + b'-' + y in hyphenated)}"
     return [
         "b", f"sign{sign}", f"known{known}" if sign else "nosign", f"signknown{'-' if sign == '-' else bool(sign)}{known}" if sign else "nosign2", f"low{int(r[:1].islower())}", f"signlow{bool(sign)}{int(r[:1].islower())}",
         f"stop{int(l[-1:] in '.!?:')}", f"bullet{int(bool(_BULLET.match(right)))}", f"tab{int(chr(9) in left)}{int(chr(9) in right)}", f"empty{int(not l)}{int(not r)}", f"gap{int(l.endswith(' '))}", f"alpha{int(a.isalpha())}{int(b.isalpha())}",
@@ -270,7 +356,7 @@ def _wrapped(paragraph: str, rng: random.Random, hyphens: bool) -> list[tuple[st
         core = word.strip(".,;:()")
         if "-" in core and 2 < word.find("-") < room:
             k = word.find("-") + 1
-            out.append((f"{line} {word[:k]}", "keep"))
+            out.append((f"{line} {word[: k - 1]}{sign}", "join") if hyphens and sign != "-" else (f"{line} {word[:k]}", "keep"))  # another sign is the scanner's
             line = word[k:]
         elif hyphens and core == word and word.isalpha() and len(word) > 5 and room >= 3 and rng.random() < 0.7:
             k = rng.randint(2, max(2, min(room, len(word) - 2)))
@@ -283,60 +369,106 @@ def _wrapped(paragraph: str, rng: random.Random, hyphens: bool) -> list[tuple[st
     return out
 
 
+class Gate:
+    """A perceptron over line shapes that lets through whatever may be furniture: all that scores at
+    least as high as the least likely furniture of its training, less a margin."""
+
+    def __init__(self, examples: list[tuple[tuple[str, ...], str]], margin: float = 1.0):
+        self.model = Perceptron.train([(list(f), "prose" if k == "prose" else "page") for f, k in examples], "prose", 4)
+        scored = [self._score(f) for f in {f for f, k in examples if k != "prose"}]
+        self.least = min(scored, default=0.0) - margin
+        self.memo: dict[tuple[str, ...], bool] = {}
+
+    def _score(self, shape: tuple[str, ...]) -> float:
+        s = self.model.scores(shape)
+        return s.get("page", 0.0) - s.get("prose", 0.0)
+
+    def passes(self, shape: tuple[str, ...]) -> bool:
+        hit = self.memo.get(shape)
+        if hit is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            hit = self.memo[shape] = self._score(shape) >= self.least
+        return hit
+
+
 @dataclass
 class Models:
-    """What the tasks need: the three models and the bounded word lists."""
+    """What the tasks need: the four models and the bounded word lists."""
 
     editor: Perceptron
+    gate: Gate
     lines: Perceptron
     breaks: Perceptron
-    common: frozenset[str] = field(default_factory=frozenset)
-    hyphenated: frozenset[str] = field(default_factory=frozenset)
-
-
-def train_models(papers: list[tuple[dict | None, list[str]]], words: list[tuple[str, int]], hyphenated: set[str], seed: int = 5) -> Models:
+    common: frozenset[bytes] = field(default_factory=frozenset)
+    hyphenated: frozenset[bytes] = field(default_factory=frozenset)
+
+
+def _noisy_section(metadata: dict, paragraphs: list[str], rng: random.Random, heads: list[tuple[str, str]]) -> tuple[list[str], list[str], list[str | None]]:
+    """Lines of a section as a scanner may leave them, with each line's kind and how it goes on."""
+    noisy = rng.random() < 0.7
+    lines, kinds, ends = [], [], []
+    page = rng.randint(1, 600)
+
+    def put(line: str, kind: str, end: str | None) -> None:
+        lines.append(line)
+        kinds.append(kind)
+        ends.append(end)
+
+    for p in paragraphs:
+        for line, end in _wrapped(re.sub(r"\s+", " ", p), rng, noisy):
+            if noisy and lines and rng.random() < 0.15:
+                for _ in range(rng.choice([1, 1, 2])):
+                    extra, kind = rng.choice(heads) if heads and rng.random() < 0.3 else _furniture(metadata, rng, page)
+                    if kind == "head":
+                        heads.append((extra, kind))
+                    pad = rng.random() < 0.3
+                    for x, k in [("", "blank")] * pad + [(extra, kind)] + [("", "blank")] * pad:
+                        put(x, k, None)
+                page += 1
+            put(line, "prose", end)
+        if rng.random() < 0.3:
+            for _ in range(rng.randint(2, 4)):
+                name = rng.choice(metadata.get("authors") or ["Group"]) or "Group"
+                put(rng.choice([f"{name}\t{rng.random() * 9:.2f}\t{rng.randint(1, 500)}", f"- {p[:60]}", f"{rng.randint(1, 9)}. {p[:50]}", f"{rng.randint(10, 999)} {p[:50]}"]), "prose", "break")
+        if rng.random() < 0.3:  # the last line of a paragraph may be the end of a bracket
+            n = rng.choice([f"{rng.randint(2, 999)}", f"{rng.random():.3f}", f"{rng.random() * 90:.2f}"])
+            a, b = rng.choice([("Taken together, groups were much alike (n =", f"{n})."), ("There was no difference between breeds (p =", f"{n})."), ("The effect was small (95% CI 0.51-", f"{n}).")])
+            put(a, "prose", "space")
+            put(b, "prose", "break")
+        if rng.random() < 0.3:  # paragraphs that no page's width has cut
+            put(re.sub(r"\s+", " ", p), "prose", "break")
+        put("", "blank", None)
+    if rng.random() < 0.4:
+        lines = [_blur(x, rng) for x in lines]
+    return lines, kinds, ends
+
+
+def train_models(papers: list[tuple[dict | None, list[str]]], words: list[tuple[str, int]], hyphenated: set[bytes], seed: int = 5) -> Models:
     """Fit on clean sections (metadata, texts) made noisy here, and on words with their counts."""
     rng = random.Random(seed)
-    common = frozenset(w for w, _ in words[:COMMON_WORDS])
-    line_examples, break_examples = [], []
+    common = frozenset(w.encode("utf-8", "surrogatepass") for w, _ in words)
+    shapes, found, break_examples = [], [], []
     for metadata, texts in papers:
         paper = Paper.of(metadata if rng.random() < 0.8 else None)
-        for text in texts[:3]:
-            paragraphs = [p for p in re.split(r"\n\s*\n", text) if len(p) > 200][:2]
-            if not paragraphs:
-                continue
-            noisy = rng.random() < 0.7
-            lines, kinds, ends = [], [], []
-            page = rng.randint(1, 600)
-            for p in paragraphs:
-                for line, end in _wrapped(re.sub(r"\s+", " ", p), rng, noisy):
-                    if noisy and lines and rng.random() < 0.15:
-                        for _ in range(rng.choice([1, 1, 2])):
-                            extra, kind = _furniture(metadata or {}, rng, page)
-                            pad = rng.random() < 0.3
-                            for x, k in [("", "blank")] * pad + [(extra, kind)] + [("", "blank")] * pad:
-                                lines.append(x)
-                                kinds.append(k)
-                                ends.append(None)
-                        page += 1
-                    lines.append(line)
-                    kinds.append("prose")
-                    ends.append(end)
-                if rng.random() < 0.3:
-                    for _ in range(rng.randint(2, 4)):
-                        name = rng.choice((metadata or {}).get("authors") or ["Group"]) or "Group"
-                        lines.append(rng.choice([f"{name}\t{rng.random() * 9:.2f}\t{rng.randint(1, 500)}", f"- {p[:60]}", f"{rng.randint(1, 9)}. {p[:50]}", f"{rng.randint(10, 999)} {p[:50]}"]))
-                        kinds.append("prose")
-                        ends.append("break")
-                lines.append("")
-                kinds.append("blank")
-                ends.append(None)
-            if rng.random() < 0.4:
-                lines = [_blur(x, rng) for x in lines]
-            line_examples += [(line_features(lines, i, paper, common, max(map(len, lines))), k) for i, k in enumerate(kinds) if k != "blank" and not (k == "prose" and lines[i][:1].islower())]
+        heads: list[tuple[str, str]] = []
+        sections = [_noisy_section(metadata or {}, ps, rng, heads) for t in texts[:3] if (ps := [p for p in re.split(r"\n\s*\n", t) if len(p) > 200][:2])]
+        recurring = recurring_lines(["\n".join(lines) for lines, _, _ in sections])
+        for lines, kinds, ends in sections:
+            width, (before, after), since = max(map(len, lines)), _around(lines), 0
+            for i, k in enumerate(kinds):
+                if k == "blank":
+                    continue
+                shape = line_shape(lines[i], before[i], after[i], width)
+                blank = i > 0 and not lines[i - 1].strip(), i + 1 < len(lines) and not lines[i + 1].strip()
+                shapes.append((shape, k))
+                found.append((shape, (lines[i], i, before[i], after[i], blank, paper, common, width, Page(len(lines), recurring[masked(lines[i])] - 1 if recurring else 0, since)), k))
+                since = 1 if k != "prose" else since + 1 if since else 0
             prose = [(lines[i], ends[i]) for i, k in enumerate(kinds) if k == "prose"]
             break_examples += [(break_features(a, b, common, hyphenated), end) for (a, end), (b, _) in zip(prose, prose[1:]) if end]
-    return Models(train_editor(words[:EDITOR_WORDS]), Perceptron.train(line_examples, "prose", 6), Perceptron.train(break_examples, "space", 6), common, frozenset(hyphenated))
+    gate = Gate(shapes)
+    line_examples = [(line_features(*x), k) for shape, x, k in found if gate.passes(shape)]
+    return Models(train_editor(words[:EDITOR_WORDS]), gate, Perceptron.train(line_examples, "prose", 6), Perceptron.train(break_examples, "space", 6), common, frozenset(hyphenated))
 
 
 def _blur(line: str, rng: random.Random) -> str:
@@ -361,20 +493,23 @@ _WRAPPED = re.compile(r"[^\n]\n[^\n]")
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """(word, n, clean): in how many section texts each word stands, and in how many of those
-    without single line breaks, which no scanner left; counts are summed per task first."""
+    """(word, n, clean): in how many section texts each word and each hyphenated compound stands, and
+    in how many of those without single line breaks, which no scanner left; counts are summed per
+    task first."""
 
     def batch_of(clean: Counter, wrapped: Counter) -> pa.RecordBatch:
         every = list(clean.keys() | wrapped.keys())
-        return pa.RecordBatch.from_pydict({"word": pa.array(every, type=pa.string()), "n": pa.array([clean[w] + wrapped[w] for w in every], type=pa.int64()), "clean": pa.array([clean[w] for w in every], type=pa.int64())})
+        return pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "replace") for w in every], type=pa.string()), "n": pa.array([clean[w] + wrapped[w] for w in every], type=pa.int64()), "clean": pa.array([clean[w] for w in every], type=pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean: Counter[str] = Counter()
-        wrapped: Counter[str] = Counter()
+        clean: Counter[bytes] = Counter()
+        wrapped: Counter[bytes] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    (wrapped if "\n" in t and _WRAPPED.search(t) else clean).update(whole_words(t))
+                    counter = wrapped if "\n" in t and _WRAPPED.search(t) else clean
+                    counter.update(whole_words(t))
+                    counter.update(compounds(t))
             if len(clean) + len(wrapped) > 300_000:
                 yield batch_of(clean, wrapped)
                 clean, wrapped = Counter(), Counter()
@@ -384,8 +519,22 @@ def word_counts(df: DataFrame) -> DataFrame:
     return spread(texts).mapInArrow(run, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
+def _most_frequent(counts: DataFrame, by: str) -> DataFrame:
+    """At most VOCABULARY words, those of the higher counts; counts are told apart by quarters of a power of two."""
+    level = F.floor(4 * F.log2(F.col(by))).cast("int")
+    sizes = counts.where(F.col(by) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    least, total = 10**6, 0
+    for r in sizes:
+        total += r["n"]
+        if total > VOCABULARY:
+            break
+        least = r["level"]
+    return counts.where((F.col(by) > 0) & (level >= least))
+
+
 def fit(df: DataFrame, counts: DataFrame) -> Models:
-    """Models from a bounded sample: the clean sections of the SAMPLE_DOCUMENTS documents least by hash, and the COMMON_WORDS most frequent words."""
+    """Models from a bounded sample: the clean sections of the SAMPLE_DOCUMENTS documents least by
+    hash; with the VOCABULARY most frequent words and compounds of all."""
     clean = F.expr("transform(filter(sections, s -> s.text is not null and length(s.text) > 200 and not s.text rlike '[^\\\\n]\\\\n[^\\\\n]'), s -> s.text)")
     # the least hashes first, so that texts are read, and sent to the driver, of the sample only
     least = df.where("size(sections) > 1").select(F.xxhash64("document_id").alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
@@ -396,25 +545,28 @@ def fit(df: DataFrame, counts: DataFrame) -> Models:
     # words of clean sections; where all were scanned, of all, but for the rare ones (misread forms are)
     some = counts.where("clean > 1").limit(1).count() > 0
     by = "clean" if some else "n"
-    words = [(r["word"], r[by]) for r in counts.orderBy(F.desc(by), "word").limit(COMMON_WORDS).collect()]
-    floor = 2 if some else max(2, sum(n for _, n in words) // 200_000)
-    words = [(w, n) for w, n in words if n >= floor]
-    hyphenated = {m.lower() for _, texts in papers for t in texts for m in re.findall(r"\b[^\W\d_]+-[^\W\d_]+\b", t)}
-    return train_models(papers, words, hyphenated)
+    kept = [(r["word"], r[by]) for r in _most_frequent(counts, by).select("word", by).collect()]
+    floor = 2 if some else max(2, sum(n for _, n in kept) // 200_000)
+    kept = sorted(((w, n) for w, n in kept if n >= floor or "-" in w), key=lambda x: (-x[1], x[0]))
+    return train_models(papers, [x for x in kept if "-" not in x[0]], {w.encode("utf-8", "surrogatepass") for w, _ in kept if "-" in w})
 
 
 def corrections(counts: DataFrame, models: Models) -> DataFrame:
     """(word, repaired): words that the editor changes into a much more frequent word, in clean
     sections too, or whose letters it frees from digits. Words with a digit at either end only
-    (``s42``) are no words."""
+    (``s42``) are no words, single characters aren't judged, two letters without a digit only
+    against a far more frequent word."""
     shared = counts.sparkSession.sparkContext.broadcast(models.editor.weights)
-    rare = counts.where("length(word) > 2 and not word rlike '^[0-9]+$'")
+    rare = counts.where("length(word) > 1 and not word rlike '^[0-9]+$|-'")
+    memo: dict[str, str] = {}  # each task has its own
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         editor = Perceptron(shared.value)
+        if len(memo) > 500_000:
+            memo.clear()
         out: dict[str, list] = {"word": [], "n": [], "clean": [], "repaired": []}
         for w, n, c in zip(cols["word"], cols["n"], cols["clean"]):
-            fixed = edit(editor, w)
+            fixed = edit(editor, w, memo)
             if fixed != w and fixed:
                 for k, v in (("word", w), ("n", n), ("clean", c), ("repaired", fixed)):
                     out[k].append(v)
@@ -425,10 +577,18 @@ def corrections(counts: DataFrame, models: Models) -> DataFrame:
     known = counts.select(F.col("word").alias("repaired"), F.col("n").alias("m"), F.col("clean").alias("mc"))
     judged = changed.join(known, "repaired", "left")
     freed = F.col("word").rlike("[a-zà-ÿ][0-9]+[a-zà-ÿ]|^[0-9][a-zà-ÿ]{3,}") & ~F.col("repaired").rlike("[0-9]")
-    more = (F.col("m") >= RATIO * F.col("n")) & (F.col("mc") >= RATIO * F.col("clean"))
+    ratio = F.when((F.length("word") > 2) | F.col("word").rlike("[0-9]"), RATIO).otherwise(SHORT_RATIO)
+    more = (F.col("m") >= ratio * F.col("n")) & (F.col("mc") >= ratio * F.col("clean"))
     return judged.where(more | (F.col("m").isNull() & freed & (F.length("word") > 3))).select("word", "repaired")
 
 
+def _never_repaired(models: Models, fixes: DataFrame) -> frozenset[bytes]:
+    """The models' words but for those that are repaired: they needn't be looked up text by text."""
+    shared = fixes.sparkSession.sparkContext.broadcast(models.common)
+    both = map_rows(fixes.select("word"), "word string", lambda c: {"word": [w for w in c["word"] if w.encode("utf-8", "surrogatepass") in shared.value]})
+    return models.common - {r["word"].encode("utf-8", "surrogatepass") for r in both.collect()}
+
+
 def _signs(lines: list[str], kinds: list[str], models: Models) -> bool:
     prose = [s for s, k in zip(lines, kinds) if k == "prose" and s.strip()]
     for a, b in zip(prose, prose[1:]):
@@ -453,10 +613,10 @@ def scan_noise(df: DataFrame) -> DataFrame:
     counts = durable(word_counts(df))
     models = fit(df, counts)
     fixes = durable(corrections(counts, models))
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast((models, _never_repaired(models, fixes)))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        m = shared.value
+        m, skip = shared.value
         out: dict[str, list] = {"document_id": [], "o": [], "noise": [], "word": []}
 
         def add(d: str, o: int | None, noise: str | None, word: str | None) -> None:
@@ -469,14 +629,15 @@ def scan_noise(df: DataFrame) -> DataFrame:
                 if not s or not s["t"]:
                     continue
                 t, o = s["t"], s["o"]
-                for w in whole_words(t) - m.common:
-                    if len(w) > 2 and not w.isdigit():
-                        add(d, o, None, w)
+                for w in whole_words(t) - skip:
+                    if len(w) > 1 and not w.isdigit():
+                        add(d, o, None, w.decode("utf-8", "replace"))
                 if "\n" not in t:
                     continue
-                paper = paper or Paper.of(metadata)
+                if paper is None:
+                    paper, recurring = Paper.of(metadata), recurring_lines([x["t"] for x in sections if x])
                 lines = t.split("\n")
-                kinds = classify_lines(m.lines, lines, paper, m.common)
+                kinds = classify_lines(m, lines, paper, recurring)
                 if any(map(is_head, kinds)):
                     add(d, o, "running_head", None)
                 if any(map(is_page, kinds)):
@@ -501,35 +662,40 @@ def repair_sections(df: DataFrame) -> DataFrame:
     counts = durable(word_counts(df))
     models = fit(df, counts)
     fixes = durable(corrections(counts, models))
-    shared = df.sparkSession.sparkContext.broadcast(models)
-    base = durable(_rows(df).select("document_id", "metadata", F.posexplode("sections").alias("at", "s")).select("document_id", "metadata", "at", F.col("s.o").alias("o"), F.col("s.t").alias("t"), F.xxhash64("document_id", "s.t").alias("h")))
+    shared = df.sparkSession.sparkContext.broadcast((models, _never_repaired(models, fixes)))
+
+    def recur(cols: dict[str, list]) -> dict[str, list]:
+        return cols | {"recurring": [list(recurring_lines([s["t"] for s in x if s]).items()) for x in cols["sections"]]}
+
+    section = "struct<o:int,t:string>"
+    rows = map_rows(_rows(df), f"document_id string, metadata struct<title:string,journal:string,authors:array<string>>, sections array<{section}>, recurring map<string,bigint>", recur)
+    base = durable(rows.select("document_id", "metadata", "recurring", F.posexplode("sections").alias("at", "s")).select("document_id", "metadata", "recurring", "at", F.col("s.o").alias("o"), F.col("s.t").alias("t"), F.xxhash64("document_id", "s.t").alias("h")))
 
     def rare(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"h": [], "word": []}
         for h, t in zip(cols["h"], cols["t"]):
-            for w in whole_words(t) - shared.value.common:
+            for w in whole_words(t) - shared.value[1]:
                 out["h"].append(h)
-                out["word"].append(w)
+                out["word"].append(w.decode("utf-8", "replace"))
         return out
 
     own = map_rows(base.where("t is not null").select("h", "t").dropDuplicates(["h"]), "h bigint, word string", rare).join(fixes, "word").groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("word", "repaired"))).alias("fixes"))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        m = shared.value
-        fixed = [repair_text(t, dict(f or []), Paper.of(md), m) for t, md, f in zip(cols["t"], cols["metadata"], cols["fixes"])]
+        fixed = [repair_text(t, dict(f or []), Paper.of(md), shared.value[0], Counter(dict(r or []))) for t, md, f, r in zip(cols["t"], cols["metadata"], cols["fixes"], cols["recurring"])]
         return {"document_id": cols["document_id"], "o": cols["o"], "t": cols["t"], "repaired": fixed}
 
-    joined = base.join(own, "h", "left").select("document_id", "o", "t", "metadata", "fixes")
+    joined = base.join(own, "h", "left").select("document_id", "o", "t", "metadata", "fixes", "recurring")
     out = map_rows(joined, "document_id string, o int, t string, repaired string", run)
     return out.select("document_id", F.col("o").alias("section_order"), F.col("t").alias("text"), "repaired")
 
 
-def repair_text(text: str | None, fixes: dict[str, str], paper: Paper, models: Models) -> str | None:
+def repair_text(text: str | None, fixes: dict[str, str], paper: Paper, models: Models, recurring: Counter) -> str | None:
     """One repaired text."""
     if not text:
         return text
     lines = text.split("\n")
-    kinds = classify_lines(models.lines, lines, paper, models.common) if len(lines) > 1 else ["prose"] * len(lines)
+    kinds = classify_lines(models, lines, paper, recurring) if len(lines) > 1 else ["prose"] * len(lines)
     removed = [k != "prose" for k in kinds]
     kept = []
     for i, s in enumerate(lines):  # a blank line beside furniture is the page's, not a paragraph's

@@ -36,30 +36,38 @@ class Perceptron:
     @classmethod
     def train(cls, examples: list[tuple[list[str], str]], default: str, epochs: int = 5, seed: int = 7) -> "Perceptron":
         """Fit on (features, class) examples; weights are averaged over all updates."""
-        w: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        total: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        stamp: dict[tuple[str, str], int] = defaultdict(int)
-        model, rng, step, order = cls(w), random.Random(seed), 0, list(range(len(examples)))
-
-        def update(f: str, c: str, by: float) -> None:
-            total[f][c] += (step - stamp[f, c]) * w[f][c]
-            stamp[f, c] = step
-            w[f][c] += by
-
+        known: dict[str, int] = {}
+        coded = []
+        for features, truth in examples:  # features as numbers: each is hashed once
+            coded.append(([known.setdefault(f, len(known)) for f in features], truth))
+        w: list[dict[str, float]] = [{} for _ in known]
+        total: list[dict[str, float]] = [{} for _ in known]  # each change times the step it was made in
+        rng, step, order = random.Random(seed), 0, list(range(len(coded)))
         for _ in range(epochs):
             rng.shuffle(order)
-            for i in order:
-                features, truth = examples[i]
+            for k in order:
+                features, truth = coded[k]
                 step += 1
-                guess = model.predict(features, default)
+                s: dict[str, float] = {}
+                for f in features:
+                    for c, v in w[f].items():
+                        s[c] = s.get(c, 0.0) + v
+                guess, most = default, s.get(default, 0.0)
+                for c, v in s.items():
+                    if v > most:
+                        guess, most = c, v
                 if guess != truth:
                     for f in features:
-                        update(f, truth, 1.0)
-                        update(f, guess, -1.0)
+                        row, sums = w[f], total[f]
+                        row[truth] = row.get(truth, 0.0) + 1.0
+                        row[guess] = row.get(guess, 0.0) - 1.0
+                        sums[truth] = sums.get(truth, 0.0) + step
+                        sums[guess] = sums.get(guess, 0.0) - step
         out: dict[str, dict[str, float]] = {}
-        for f, row in w.items():
-            kept = {c: (total[f][c] + (step - stamp[f, c]) * v) / max(1, step) for c, v in row.items()}
-            kept = {c: round(v, 4) for c, v in kept.items() if abs(v) > 1e-4}
+        for f, k in known.items():
+            # the mean of a weight over all steps: its last value, less each change times the share of steps before it
+            kept = {c: round(v - total[k].get(c, 0.0) / max(1, step), 4) for c, v in w[k].items()}
+            kept = {c: v for c, v in kept.items() if abs(v) > 1e-4}
             if kept:
                 out[f] = kept
         return cls(out)

@@ -163,3 +163,23 @@ def test_editor_learns_its_confusions():
 def test_no_documents(spark):
     df = spark.createDataFrame([], DOC)
     assert ocr.scan_noise(df).count() == 0 and ocr.repair_sections(df).count() == 0
+
+
+def test_words_and_compounds():
+    texts = ["The owner-re-\nported 0f x_y naïve-Bayes café — “quoted” 日本 end-", "", "-a b-", "plain words only"]
+    for t in texts:
+        whole = ocr._BROKEN.sub("", t)
+        assert {w.decode() for w in ocr.whole_words(t)} == set(ocr.plain_words(whole)), t
+    assert ocr.compounds("State-of-the-art non-\nbreaking naïve-Bayes 3-d - a-b") == {b"state-of", b"of-the", b"the-art", "naïve-bayes".encode(), b"a-b"}
+
+
+def test_short_misread_words_are_repaired(spark):
+    rng = random.Random(3)
+    rows = []
+    for d in range(150):
+        text = " ".join(f"The {rng.choice(WORDS)} of {rng.choice(WORDS)} in the {rng.choice(WORDS)}." for _ in range(20))
+        rows.append((f"d{d}", None, [("body", "H", text if d else text.replace(" of ", " 0f ", 1) + "\nand more", 0, 1)]))
+    df = spark.createDataFrame(rows, DOC)
+    assert {tuple(r) for r in ocr.scan_noise(df).where("noise = 'misread'").collect()} == {("d0", 0, "misread")}
+    fixed = ocr.repair_sections(df).where("document_id = 'd0'").first()["repaired"]
+    assert "0f" not in fixed and fixed.split()[2] == "of"
