@@ -7,22 +7,26 @@ import re
 import unicodedata
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.words import most_frequent
 from paperloom.runtime import durable, map_rows
 
-#: Title words of the keyed side to which misspelt ones are led back, most frequent first; a
-#: normalisation aid of bounded size: other words are compared as they are.
-VOCABULARY = 20_000
+#: Title words of the keyed side to which misspelt ones are led back, most frequent first (an aid to
+#: spelling: to rarer words nothing is led back), and those whose number of titles is known, as hashes.
+SPELLING, KNOWN_WORDS = 20_000, 2_000_000
 #: A word in more than this share of the titles tells nothing and makes no key.
 COMMON_SHARE = 0.08
-KEY_WORDS, KEY_SIZE = 7, 4
-#: Candidates below this log-odds can't reach a marginal of 0.5 nor weigh on others.
-FLOOR = -6.0
-#: Words of two titles are held against each other for typing errors if there are so few pairs of
-#: unmatched ones; titles with more have nothing in common.
-MOST_PAIRS = 10_000
+#: A title's keys are sets of KEY_SIZE of any KEY_SPAN rarer words in a row.
+KEY_SPAN, KEY_SIZE = 7, 4
+#: A candidate below this log-odds is no match (messages only lower it) and weighs less than
+#: 0.0001 on the odds of others: it takes no part.
+FLOOR = -10.0
+#: Messages count as settled when none moves by more; damping grows until they are.
+TOLERANCE, MOST_ROUNDS = 1e-3, 100
 #: The most that titles speak for a match.
 TITLE_MOST = 13.0
 #: English function words, which styles and typing leave out.
@@ -121,29 +125,50 @@ def journal_agrees(a: str | None, b: str | None) -> bool | None:
     return all(v.startswith(w[:3]) or w.startswith(v[:3]) for v, w in zip(x, y))
 
 
+def word_hash(w: str) -> int:
+    """The engine's own 64-bit hash of a word."""
+    h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _cuts(w: str) -> list[str]:
+    """A word and, if it has more than three letters, the word with each letter left out."""
+    return [w, *dict.fromkeys(w[:i] + w[i + 1 :] for i in range(len(w)))] if len(w) > 3 else [w]
+
+
 class Titles:
-    """Leads misspelt title words back to a bounded vocabulary and weighs words by rarity."""
+    """In how many titles each word stands, and where misspelt words are led back to."""
 
-    def __init__(self, vocabulary: dict[str, int], total: int):
-        self.df, self.total = vocabulary, max(1, total)
+    def __init__(self, spelling: dict[str, int], hashes: np.ndarray, counts: np.ndarray, total: int):
+        self.spelling, self.total = spelling, max(1, total)
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
         self.deletes: dict[str, set[str]] = {}
-        for w in vocabulary:
-            for k in self._cuts(w):
+        for w in spelling:
+            for k in _cuts(w):
                 self.deletes.setdefault(k, set()).add(w)
         self.memo: dict[str, str] = {}
-
-    @staticmethod
-    def _cuts(w: str) -> list[str]:
-        return [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))] if len(w) > 3 else [w]
+        self.seen: dict[str, int] = {}
+
+    def df(self, w: str) -> int:
+        """In how many titles the word stands; 0 if it is unknown."""
+        n = self.seen.get(w)
+        if n is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            h = word_hash(w)
+            k = int(np.searchsorted(self.hashes, h))
+            n = self.seen[w] = int(self.counts[k]) if k < len(self.hashes) and self.hashes[k] == h else 0
+        return n
 
     def canonical(self, w: str) -> str:
-        """The vocabulary word within one edit, else the word."""
-        if w in self.df:
+        """The spelling word within one edit of an unknown word, else the word."""
+        if self.df(w):
             return w
         hit = self.memo.get(w)
         if hit is None:
-            found = {x for k in self._cuts(w) for x in self.deletes.get(k, ())}
-            hit = max(found, key=lambda x: (self.df[x], x)) if found else w
+            found = {x for k in _cuts(w) for x in self.deletes.get(k, ())}
+            hit = max(found, key=lambda x: (self.spelling[x], x)) if found else w
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[w] = hit
@@ -156,10 +181,10 @@ class Titles:
         i = 0
         while i < len(ws):
             w = ws[i]
-            if w not in self.df and i + 1 < len(ws) and ws[i + 1] not in self.df:
+            if not self.df(w) and i + 1 < len(ws) and not self.df(ws[i + 1]):
                 nxt = ws[i + 1]
                 for a, b in ((w + nxt[:1], nxt[1:]), (w[:-1], w[-1:] + nxt)):
-                    if a in self.df and b in self.df:
+                    if self.df(a) and self.df(b):
                         out += [a, b]
                         i += 2
                         break
@@ -167,8 +192,8 @@ class Titles:
                     out.append(self.canonical(w))
                     i += 1
                 continue
-            if w not in self.df and self.canonical(w) == w and len(w) > 4:  # two words run together, with or without a stray letter
-                cut = next(((w[:k], w[k + g :]) for g in (0, 1) for k in range(1, len(w) - 1) if w[:k] in self.df and w[k + g :] in self.df), None)
+            if not self.df(w) and self.canonical(w) == w and len(w) > 4:  # two words run together, with or without a stray letter
+                cut = next(((w[:k], w[k + g :]) for g in (0, 1) for k in range(1, len(w) - 1) if self.df(w[:k]) and self.df(w[k + g :])), None)
                 out += list(cut) if cut else [w]
             else:
                 out.append(self.canonical(w))
@@ -177,11 +202,11 @@ class Titles:
 
     def content(self, words: list[str]) -> list[str]:
         """The words that are rare enough to tell titles apart, each once, in order."""
-        return [w for w in dict.fromkeys(words) if self.df.get(w, 1) <= max(2, COMMON_SHARE * self.total)]
+        return [w for w in dict.fromkeys(words) if self.df(w) <= max(2, COMMON_SHARE * self.total)]
 
     def rarity(self, w: str) -> float:
         """Log of the inverse share of titles that have the word."""
-        return math.log(self.total / min(self.total, self.df.get(w, 1)))
+        return math.log(self.total / min(self.total, max(1, self.df(w))))
 
     def compare(self, a: list[str], b: list[str]) -> float:
         """Log-odds of two titles (``a`` the noisier): the rarity of the words they share in order,
@@ -205,14 +230,18 @@ class Titles:
         left = [i for i in range(len(b)) if not taken[i]]
         if "".join(odd) == "".join(b[i] for i in left):  # split or joined words only
             odd, left = [], []
-        for w in list(odd) if len(odd) * len(left) <= MOST_PAIRS else ():
-            i = next((i for i in left if near(w, b[i])), None)
+        alike: dict[str, list[int]] = {}  # words one edit apart have a cut in common
+        for i in left if odd else ():
+            for k in _cuts(b[i]):
+                alike.setdefault(k, []).append(i)
+        for w in list(odd) if alike else ():
+            i = min((i for k in _cuts(w) for i in alike.get(k, ()) if i in left and near(w, b[i])), default=None)
             if i is not None:
                 odd.remove(w)
                 left.remove(i)
                 seen += 0.5 * self.rarity(b[i])
-                moved += 0.4 * (w in self.df and b[i] in self.df)
-        known = sum(1.0 for w in odd if w in self.df and w not in FUNCTION_WORDS)
+                moved += 0.4 * bool(self.df(w) and self.df(b[i]))
+        known = sum(1.0 for w in odd if self.df(w) and w not in FUNCTION_WORDS)
         other = len(odd) - known
         tail = 0
         while left and left[-1] == len(b) - 1 - tail:
@@ -257,29 +286,35 @@ def score(a: Record, b: Record, titles: Titles) -> float:
 
 
 def _keys(record: tuple, titles: Titles, noisy: bool) -> list[str]:
-    """Blocking keys, the first letter telling their sort: d DOI, a author and year, p the whole of
-    a short title, t four of the first words of a longer one."""
-    out = [f"d{k}" for k in doi_keys(clean_doi(record[2]))]
-    ys = years(record[4])[-1:]
+    """Blocking keys, each after a letter for its sort: d DOI, a author, year and a title word, p the
+    whole of a short title, t four of seven title words in a row; u the same of a record that has
+    neither DOI nor author and year, and A author and year alone, where either side has no title words."""
+    doi, ys = clean_doi(record[2]), years(record[4])[-1:]
+    out = [f"dd{k}" for k in doi_keys(doi)]
     names = {t for one in name_tokens(record[1]) for t in (one if noisy else one[-1:]) if len(t) > 2}
-    out += [f"a{n}{y + d}" for n in names for y in ys for d in ((-1, 0, 1) if noisy else (0,))]
     content = titles.content(titles.words(record[0]))
-    first = content[:KEY_WORDS]
-    if len(first) > KEY_SIZE:
-        out += ["t" + " ".join(sorted(c)) for c in combinations(first, KEY_SIZE)]
+    born = [f"a{n}{y + d}" for n in names for y in ys for d in ((-1, 0, 1) if noisy else (0,))]
+    out += [f"a{k} {w}" for k in born for w in content]
+    out += [f"A{side}{k}" for side, own in (("left", noisy), ("right", not noisy)) if own or not content for k in born]  # the other side has no title words
+    sort = "u" if not doi and not born else "t"
+    for at in range(max(1, len(content) - KEY_SPAN + 1)):
+        span = content[at : at + KEY_SPAN]
+        if len(span) > KEY_SIZE:
+            out += [sort + "t" + " ".join(sorted(c)) for c in combinations(span, KEY_SIZE) if at == 0 or span[-1] in c]
     sizes = (len(content),) if noisy and len(content) <= KEY_SIZE else () if noisy else range(2, KEY_SIZE + 1)
-    out += ["p" + " ".join(sorted(content[:k])) for k in sizes if 1 < k <= len(content)]
+    out += ["pp" + " ".join(sorted(content[:k])) for k in sizes if 1 < k <= len(content)]
     return list(dict.fromkeys(out))
 
 
 def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
     """(l, r, theta): pairs that share a key, scored; ``left`` is the noisier side. Both have
     ``id`` and the columns of FIELDS. Pairs share a DOI (one character of its number may be
-    misread), an author and year, a short title's words, or five of their titles' first seven rarer
-    words (more than one set of four). Only key hashes and ids are shuffled; records travel to the
-    distinct pairs afterwards."""
+    misread), an author, year and rarer title word (author and year alone, if one side has no such
+    words), a short title's words, or five of seven rarer title words in a row (more than one set of
+    four; one set, if the record has neither DOI nor author and year). Only key hashes and ids are
+    shuffled; records travel to the distinct pairs afterwards."""
     spark = left.sparkSession
-    shared = spark.sparkContext.broadcast((titles.df, titles.total))
+    shared = spark.sparkContext.broadcast((titles.spelling, titles.hashes, titles.counts, titles.total))
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def keyed(df: DataFrame, noisy: bool, name: str) -> DataFrame:
@@ -290,9 +325,10 @@ def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
 
         kind = dict(df.dtypes)["id"]
         out = map_rows(df.select("id", *names), f"id {kind}, keys array<string>", run)
-        return out.select(F.col("id").alias(name), F.explode("keys").alias("key")).select(name, F.xxhash64("key").alias("key"), F.substring("key", 1, 1).alias("sort"))
+        return out.select(F.col("id").alias(name), F.explode("keys").alias("key")).select(name, F.xxhash64(F.expr("substring(key, 2)")).alias("key"), F.substring("key", 1, 1).alias("sort"))
 
-    met = keyed(left, True, "l").join(keyed(right, False, "r").drop("sort"), "key")
+    # by shuffle: the engine's estimates don't know how many keys a record has
+    met = keyed(left, True, "l").hint("merge").join(keyed(right, False, "r").drop("sort").hint("merge"), "key")
     other = F.count(F.when(F.col("sort") != "t", 1))
     pairs = met.groupBy("l", "r").agg(F.count("*").alias("n"), other.alias("other")).where("other > 0 or n > 1").select("l", "r")
 
@@ -321,28 +357,29 @@ def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
 _BUILT: list = [None, None]
 
 
-def _titles(value: tuple[dict[str, int], int]) -> Titles:
+def _titles(value: tuple[dict[str, int], np.ndarray, np.ndarray, int]) -> Titles:
     """Titles of a broadcast value, built once per process."""
-    if _BUILT[0] != (len(value[0]), value[1]):
-        _BUILT[:] = [(len(value[0]), value[1]), Titles(*value)]
+    if _BUILT[0] is not value:
+        _BUILT[:] = [value, Titles(*value)]
     return _BUILT[1]
 
 
-def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3) -> DataFrame:
+def propagate(pairs: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(l, r, theta, confidence): marginals of the match variables of pairs (l, r, theta, claim).
 
     Factors: a record ``l`` describes at most one ``r``; an ``r`` is at most one of the works that
     the records claim by an identifier of their own (records with the same claim, or none, may all
     describe it, as works recur). Messages -log(1 + sum of the others' odds) are exchanged by
-    aggregations and joins, damped, until none moves by more than ``tolerance``. Sums are partial
-    per task, so a work cited by a third of all records is no single task's group.
+    aggregations and joins, damped more and more, until none moves by more than ``tolerance``; it is
+    an error if some still do after ``rounds``. Sums over a work are partial per task, so one cited
+    by a third of all records is no single task's group; a record has few works.
     """
+    own = Window.partitionBy("l")
     state = durable(pairs.select("l", "r", "theta", "claim", F.lit(0.0).alias("ml"), F.lit(0.0).alias("mr")))
     for step in range(rounds):
         out = state.withColumn("a", F.exp(F.col("theta") + F.col("mr")))
-        sums = out.groupBy("l").agg(F.sum("a").alias("s"))
-        keep = 0.0 if step == 0 else 0.3
-        out = out.join(sums, "l").withColumn("nl", keep * F.col("ml") - (1 - keep) * F.log1p(F.greatest(F.lit(0.0), F.col("s") - F.col("a"))))
+        keep = 0.0 if step == 0 else 1 - 0.7 * 0.97**step
+        out = out.withColumn("s", F.sum("a").over(own)).withColumn("nl", keep * F.col("ml") - (1 - keep) * F.log1p(F.greatest(F.lit(0.0), F.col("s") - F.col("a"))))
         claims = out.where("claim is not null").groupBy("r", "claim").agg(F.exp(F.max(F.col("theta") + F.col("nl"))).alias("e"))
         total = claims.groupBy("r").agg(F.sum("e").alias("t"), F.count("*").alias("k")).where("k > 1")
         rivals = claims.join(total, "r").select("r", "claim", "t", "e")
@@ -353,6 +390,8 @@ def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3) -> Da
         state = out.drop("moved")
         if moved is None or moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"messages still move by {moved} after {rounds} rounds")
     return state.select("l", "r", "theta", (1 / (1 + F.exp(-(F.col("theta") + F.col("ml") + F.col("mr"))))).alias("confidence"))
 
 
@@ -368,7 +407,8 @@ def match_records(left: DataFrame, right: DataFrame) -> DataFrame:
     def spell(cols: dict[str, list]) -> dict[str, list]:
         return {"w": [w for t in cols["title"] for w in set(title_words(t))]}
 
-    counted = map_rows(right.select("title"), "w string", spell).groupBy("w").agg(F.count("*").alias("n"))
-    vocabulary = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()}
-    titles = Titles(vocabulary, right.count())
+    counted = durable(map_rows(right.select("title"), "w string", spell).groupBy("w").agg(F.count("*").alias("n")))
+    spelling = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(SPELLING).collect()}
+    known = most_frequent(counted, "n", KNOWN_WORDS).select(F.xxhash64("w").alias("h"), "n").toArrow()
+    titles = Titles(spelling, known["h"].to_numpy(), known["n"].to_numpy(), right.count())
     return propagate(candidates(left, right, titles))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.perceptron import Perceptron
+from paperloom.llm.words import most_frequent
 from paperloom.runtime import durable, map_rows, spread
 
 WORD = re.compile(r"[^\W_]+")
@@ -519,19 +520,6 @@ def word_counts(df: DataFrame) -> DataFrame:
     return spread(texts).mapInArrow(run, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
-def _most_frequent(counts: DataFrame, by: str) -> DataFrame:
-    """At most VOCABULARY words, those of the higher counts; counts are told apart by quarters of a power of two."""
-    level = F.floor(4 * F.log2(F.col(by))).cast("int")
-    sizes = counts.where(F.col(by) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
-    least, total = 10**6, 0
-    for r in sizes:
-        total += r["n"]
-        if total > VOCABULARY:
-            break
-        least = r["level"]
-    return counts.where((F.col(by) > 0) & (level >= least))
-
-
 def fit(df: DataFrame, counts: DataFrame) -> Models:
     """Models from a bounded sample: the clean sections of the SAMPLE_DOCUMENTS documents least by
     hash; with the VOCABULARY most frequent words and compounds of all."""
@@ -545,7 +533,7 @@ def fit(df: DataFrame, counts: DataFrame) -> Models:
     # words of clean sections; where all were scanned, of all, but for the rare ones (misread forms are)
     some = counts.where("clean > 1").limit(1).count() > 0
     by = "clean" if some else "n"
-    kept = [(r["word"], r[by]) for r in _most_frequent(counts, by).select("word", by).collect()]
+    kept = [(r["word"], r[by]) for r in most_frequent(counts, by, VOCABULARY).select("word", by).collect()]
     floor = 2 if some else max(2, sum(n for _, n in kept) // 200_000)
     kept = sorted(((w, n) for w, n in kept if n >= floor or "-" in w), key=lambda x: (-x[1], x[0]))
     return train_models(papers, [x for x in kept if "-" not in x[0]], {w.encode("utf-8", "surrogatepass") for w, _ in kept if "-" in w})

@@ -183,3 +183,37 @@ def test_short_misread_words_are_repaired(spark):
     assert {tuple(r) for r in ocr.scan_noise(df).where("noise = 'misread'").collect()} == {("d0", 0, "misread")}
     fixed = ocr.repair_sections(df).where("document_id = 'd0'").first()["repaired"]
     assert "0f" not in fixed and fixed.split()[2] == "of"
+
+
+def test_word_hashes_are_the_engines(spark):
+    words = ["dog", "", "über", "a" * 100]
+    got = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+    assert got == {w: entity.word_hash(w) for w in words}
+
+
+def test_words_beyond_the_spelling_list_keep_their_counts():
+    import numpy as np
+
+    counts = {"dog": 900, "gaze": 40, "cortisol": 7}
+    t = entity.Titles({"dog": 900}, np.array([entity.word_hash(w) for w in counts], dtype=np.int64), np.array(list(counts.values())), 1000)
+    assert [t.df(w) for w in ("dog", "gaze", "cortisol", "zzz")] == [900, 40, 7, 0] and t.canonical("dogg") == "dog" and t.canonical("gaz") == "gaz"
+    long = [f"word{i}x" for i in range(300)]
+    assert t.compare(long, [w[:-1] + "yx" for w in long]) == entity.TITLE_MOST  # typing errors are found in titles of any length
+    keys = [set(entity._keys((" ".join(["a", *(f"w{i}" for i in range(n))]), None, None, None, None), t, True)) for n in (6, 12)]
+    assert any("w11" in k for k in keys[1]) and all(k.startswith("ut") for k in keys[1])
+
+
+def test_titles_alone_need_four_words(spark):
+    rng = random.Random(4)
+    base = papers(rng, 12)
+    src = [(1000 + i, " ".join(t.split()[:4]), None, None, None, None) for i, t, *_ in base]
+    got = {(r["l"], r["r"]) for r in entity.match_records(spark.createDataFrame(src, SCHEMA), spark.createDataFrame(base, SCHEMA)).collect()}
+    assert {(1000 + i, i) for i in range(12)} <= got
+
+
+def test_messages_that_never_settle_are_an_error(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(1, 10, 3.0, None), (1, 11, 2.9, None), (2, 10, 2.0, None)], "l bigint, r bigint, theta double, claim string")
+    with pytest.raises(RuntimeError):
+        entity.propagate(rows, rounds=1, tolerance=1e-9)
