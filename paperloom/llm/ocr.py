@@ -50,6 +50,7 @@ def plain_words(text: str) -> list[str]:
 
 
 _SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def whole_words(text: str) -> set[bytes]:
@@ -221,9 +222,9 @@ def line_shape(s: str, before: str, after: str, width: int) -> tuple[str, ...]:
     )
 
 
-def masked(line: str) -> str:
-    """A line in lower case with its digits and outer signs left out, as it recurs from page to page."""
-    return re.sub(r"[\W\d_]+", " ", line.lower()).strip()
+def masked(line: str) -> bytes:
+    """The letters of a line in lower case, as it recurs from page to page."""
+    return b" ".join(line.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
 @dataclass
@@ -301,7 +302,7 @@ def classify_lines(models: "Models", lines: list[str], paper: Paper, recurring:
 
 def recurring_lines(texts: list[str | None]) -> Counter:
     """How many of a document's section lines of page width are alike but for digits; only of those that recur."""
-    c: Counter[str] = Counter()
+    c: Counter[bytes] = Counter()
     for t in texts:
         if t and "\n" in t:
             c.update(masked(s) for s in t.split("\n") if 0 < len(s) < 120)
@@ -656,7 +657,7 @@ def repair_sections(df: DataFrame) -> DataFrame:
         return cols | {"recurring": [list(recurring_lines([s["t"] for s in x if s]).items()) for x in cols["sections"]]}
 
     section = "struct<o:int,t:string>"
-    rows = map_rows(_rows(df), f"document_id string, metadata struct<title:string,journal:string,authors:array<string>>, sections array<{section}>, recurring map<string,bigint>", recur)
+    rows = map_rows(_rows(df), f"document_id string, metadata struct<title:string,journal:string,authors:array<string>>, sections array<{section}>, recurring map<binary,bigint>", recur)
     base = durable(rows.select("document_id", "metadata", "recurring", F.posexplode("sections").alias("at", "s")).select("document_id", "metadata", "recurring", "at", F.col("s.o").alias("o"), F.col("s.t").alias("t"), F.xxhash64("document_id", "s.t").alias("h")))
 
     def rare(cols: dict[str, list]) -> dict[str, list]:

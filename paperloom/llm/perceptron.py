@@ -6,6 +6,8 @@ import random
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
+
 
 class Perceptron:
     """Multi-class linear model; ``weights`` maps feature -> {class: averaged weight}."""
@@ -37,37 +39,27 @@ class Perceptron:
     def train(cls, examples: list[tuple[list[str], str]], default: str, epochs: int = 5, seed: int = 7) -> "Perceptron":
         """Fit on (features, class) examples; weights are averaged over all updates."""
         known: dict[str, int] = {}
-        coded = []
-        for features, truth in examples:  # features as numbers: each is hashed once
-            coded.append(([known.setdefault(f, len(known)) for f in features], truth))
-        w: list[dict[str, float]] = [{} for _ in known]
-        total: list[dict[str, float]] = [{} for _ in known]  # each change times the step it was made in
+        classes = list(dict.fromkeys([default, *(truth for _, truth in examples)]))
+        number = {c: k for k, c in enumerate(classes)}
+        coded = [(np.array([known.setdefault(f, len(known)) for f in features], dtype=np.intp), number[truth]) for features, truth in examples]
+        w = np.zeros((len(known), len(classes)))
+        total = np.zeros_like(w)  # each change times the step it was made in
         rng, step, order = random.Random(seed), 0, list(range(len(coded)))
         for _ in range(epochs):
             rng.shuffle(order)
             for k in order:
                 features, truth = coded[k]
                 step += 1
-                s: dict[str, float] = {}
-                for f in features:
-                    for c, v in w[f].items():
-                        s[c] = s.get(c, 0.0) + v
-                guess, most = default, s.get(default, 0.0)
-                for c, v in s.items():
-                    if v > most:
-                        guess, most = c, v
+                guess = w.take(features, axis=0).sum(axis=0).argmax()  # the default is the first of equals
                 if guess != truth:
-                    for f in features:
-                        row, sums = w[f], total[f]
-                        row[truth] = row.get(truth, 0.0) + 1.0
-                        row[guess] = row.get(guess, 0.0) - 1.0
-                        sums[truth] = sums.get(truth, 0.0) + step
-                        sums[guess] = sums.get(guess, 0.0) - step
-        out: dict[str, dict[str, float]] = {}
-        for f, k in known.items():
-            # the mean of a weight over all steps: its last value, less each change times the share of steps before it
-            kept = {c: round(v - total[k].get(c, 0.0) / max(1, step), 4) for c, v in w[k].items()}
-            kept = {c: v for c, v in kept.items() if abs(v) > 1e-4}
-            if kept:
-                out[f] = kept
-        return cls(out)
+                    np.add.at(w, (features, truth), 1.0)
+                    np.add.at(w, (features, guess), -1.0)
+                    np.add.at(total, (features, truth), step)
+                    np.add.at(total, (features, guess), -step)
+        # the mean of a weight over all steps: its last value, less each change times the share of steps before it
+        mean = np.round(w - total / max(1, step), 4)
+        out: dict[str, dict[str, float]] = {f: {} for f in known}
+        names = list(known)
+        for f, c in zip(*(x.tolist() for x in np.nonzero(np.abs(mean) > 1e-4))):
+            out[names[f]][classes[c]] = float(mean[f, c])
+        return cls({f: row for f, row in out.items() if row})
