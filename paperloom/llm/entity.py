@@ -22,6 +22,8 @@ SPELLING, KNOWN_WORDS = 20_000, 2_000_000
 COMMON_SHARE = 0.08
 #: A title's keys are sets of KEY_SIZE of any KEY_SPAN rarer words in a row.
 KEY_SPAN, KEY_SIZE = 7, 4
+#: What shared keys must count together.
+MEET = 60
 #: A candidate below this log-odds is no match (messages only lower it) and weighs less than
 #: 0.0001 on the odds of others: it takes no part.
 FLOOR = -10.0
@@ -285,34 +287,36 @@ def score(a: Record, b: Record, titles: Titles) -> float:
     return total + max(-14.0, titles.compare(a.words, b.words))
 
 
-def _keys(record: tuple, titles: Titles, noisy: bool) -> list[str]:
-    """Blocking keys, each after a letter for its sort: d DOI, a author, year and a title word, p the
-    whole of a short title, t four of seven title words in a row; u the same of a record that has
-    neither DOI nor author and year, and A author and year alone, where either side has no title words."""
+def _keys(record: tuple, titles: Titles, noisy: bool) -> list[tuple[int, str]]:
+    """Blocking keys with what a match in each counts; records meet if all they share count MEET.
+
+    A DOI, a short title, or author and year where either side has no title words are enough. Of
+    keys of author, year and title word three are needed (one, if the title has fewer than four
+    rarer words); of sets of four out of seven title words in a row two, which is five words, and
+    six in titles of more than seven rarer words; one, if there are at most five of them and the
+    record has neither DOI nor author and year.
+    """
     doi, ys = clean_doi(record[2]), years(record[4])[-1:]
-    out = [f"dd{k}" for k in doi_keys(doi)]
+    out = [(MEET, f"d{k}") for k in doi_keys(doi)]
     names = {t for one in name_tokens(record[1]) for t in (one if noisy else one[-1:]) if len(t) > 2}
     content = titles.content(titles.words(record[0]))
     born = [f"a{n}{y + d}" for n in names for y in ys for d in ((-1, 0, 1) if noisy else (0,))]
-    out += [f"a{k} {w}" for k in born for w in content]
-    out += [f"A{side}{k}" for side, own in (("left", noisy), ("right", not noisy)) if own or not content for k in born]  # the other side has no title words
-    sort = "u" if not doi and not born else "t"
+    out += [(MEET // (1 if len(content) < 4 else 3), f"{k} {w}") for k in born for w in content]
+    out += [(MEET, f"{side}{k}") for side, own in (("left", noisy), ("right", not noisy)) if own or not content for k in born]  # the other side has no title words
+    sets = 6 if len(content) > KEY_SPAN else 1 if len(content) <= KEY_SIZE + 1 and not doi and not born else 2
     for at in range(max(1, len(content) - KEY_SPAN + 1)):
         span = content[at : at + KEY_SPAN]
-        if len(span) > KEY_SIZE:
-            out += [sort + "t" + " ".join(sorted(c)) for c in combinations(span, KEY_SIZE) if at == 0 or span[-1] in c]
+        if len(span) >= KEY_SIZE:
+            out += [(MEET // sets, "t" + " ".join(sorted(c))) for c in combinations(span, KEY_SIZE) if at == 0 or span[-1] in c]
     sizes = (len(content),) if noisy and len(content) <= KEY_SIZE else () if noisy else range(2, KEY_SIZE + 1)
-    out += ["pp" + " ".join(sorted(content[:k])) for k in sizes if 1 < k <= len(content)]
+    out += [(MEET, "p" + " ".join(sorted(content[:k]))) for k in sizes if 1 < k <= len(content)]
     return list(dict.fromkeys(out))
 
 
 def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
     """(l, r, theta): pairs that share a key, scored; ``left`` is the noisier side. Both have
-    ``id`` and the columns of FIELDS. Pairs share a DOI (one character of its number may be
-    misread), an author, year and rarer title word (author and year alone, if one side has no such
-    words), a short title's words, or five of seven rarer title words in a row (more than one set of
-    four; one set, if the record has neither DOI nor author and year). Only key hashes and ids are
-    shuffled; records travel to the distinct pairs afterwards."""
+    ``id`` and the columns of FIELDS. Pairs are those that share enough blocking keys (``_keys``).
+    Only key hashes and ids are shuffled; records travel to the distinct pairs afterwards."""
     spark = left.sparkSession
     shared = spark.sparkContext.broadcast((titles.spelling, titles.hashes, titles.counts, titles.total))
     names = [f.split()[0] for f in FIELDS.split(", ")]
@@ -321,16 +325,15 @@ def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
         def run(cols: dict[str, list]) -> dict[str, list]:
             t = _titles(shared.value)
             keys = [_keys(r, t, noisy) for r in zip(*(cols[n] for n in names))]
-            return {"id": cols["id"], "keys": keys}
+            return {"id": cols["id"], "keys": [[{"points": p, "key": k} for p, k in x] for x in keys]}
 
         kind = dict(df.dtypes)["id"]
-        out = map_rows(df.select("id", *names), f"id {kind}, keys array<string>", run)
-        return out.select(F.col("id").alias(name), F.explode("keys").alias("key")).select(name, F.xxhash64(F.expr("substring(key, 2)")).alias("key"), F.substring("key", 1, 1).alias("sort"))
+        out = map_rows(df.select("id", *names), f"id {kind}, keys array<struct<points:int,key:string>>", run)
+        return out.select(F.col("id").alias(name), F.explode("keys").alias("x")).select(name, F.xxhash64("x.key").alias("key"), F.col("x.points").alias("points"))
 
     # by shuffle: the engine's estimates don't know how many keys a record has
-    met = keyed(left, True, "l").hint("merge").join(keyed(right, False, "r").drop("sort").hint("merge"), "key")
-    other = F.count(F.when(F.col("sort") != "t", 1))
-    pairs = met.groupBy("l", "r").agg(F.count("*").alias("n"), other.alias("other")).where("other > 0 or n > 1").select("l", "r")
+    met = keyed(left, True, "l").hint("merge").join(keyed(right, False, "r").drop("points").hint("merge"), "key")
+    pairs = met.groupBy("l", "r").agg(F.sum("points").alias("points")).where(F.col("points") >= MEET).select("l", "r")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
         t = _titles(shared.value)
