@@ -121,7 +121,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Per document, its shared spans and how much of it they cover."""
     out = spans.coverage(table(spark, sf, "documents"), "doc_id", "text")
-    return out.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), "n_chars", "spans", "shared_chars", "copies")
+    return out.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), "n_chars", "spans", "shared_chars", "copies", "links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

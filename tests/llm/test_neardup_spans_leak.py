@@ -89,7 +89,8 @@ def brute_spans(rows, n):
     return {(a, b) for a in t for b in t if a < b and w[a] & w[b]}, t, w
 
 
-def test_shared_spans(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1, 3, 256])
+def test_shared_spans(spark, monkeypatch, group):
     monkeypatch.setattr(spans, "SHARD_PHRASES", 2)
     monkeypatch.setattr(spans, "SHARD_TEXTS", 3)
     rng = random.Random(4)
@@ -104,12 +105,16 @@ def test_shared_spans(spark, monkeypatch):
             body = body[:at] + p + body[at:]
         rows.append((k, body))
     rows += [(90, rows[0][1]), (91, rows[0][1]), (92, None), (93, ""), (None, passages[4]), rows[3], (94, passages[1]), (95, passages[1])]
+    once = text(350)
+    rows += [(96, once + text(60) + once), (97, "ab" * 400), (98, "xy" + "ab" * 300), (99, "z" * 900)]  # within a text, and periodic ones
     df = spark.createDataFrame(rows, "id bigint, text string").selectExpr("*", "1 as rep", "2 as t")
-    members, _, pairs = spans.shared_spans(df, "id", "text")
+    members, _, pairs = spans.shared_spans(df, "id", "text", group=group)
     expected, t, w = brute_spans(rows, 300)
     assert {tuple(r) for r in spans.expand_pairs(members, pairs).collect()} == expected
-    got = {r["id"]: r for r in spans.coverage(df, "id", "text").collect()}
-    assert set(got) == set(t)
+    got = {r["id"]: r for r in spans.coverage(df, "id", "text", group=group).collect()}
+    assert set(got) == set(t) and got[96]["shared_chars"] == 0
+    reps = {k: min(o for o in t if t[o] == t[k]) for k in t}
+    assert all(got[k]["links"] == len({reps[b if a == k else a] for a, b in expected if k in (a, b)} - {reps[k]}) for k in t)
     for k, v in t.items():
         hit = set()
         for i in range(len(v) - 299):
