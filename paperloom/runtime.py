@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from paperloom.errors import ConfigurationError
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
@@ -20,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    All executors share that folder, so the result outlives a lost executor. Only where the
-    setting is absent (tests, a laptop) a folder of this machine is used.
+    All executors share that folder, so the result outlives a lost executor. Only a session on one
+    machine (tests, a laptop) may leave it unset: a folder of that machine is used then; on a
+    cluster that is an error.
     """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
+            raise ConfigurationError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "paperloom-checkpoints"))
     return df.checkpoint(eager=True)
 

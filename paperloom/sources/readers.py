@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.sources.sinks import read_table
 
 DOCUMENT = "document_id string, schema_version string, source_type string, source_identifier string, extraction_method string, metadata struct<title:string,doi:string,journal:string,pmid:string,pmcid:string,publication_date:string,authors:array<string>>, sections array<struct<section_type:string,heading:string,text:string,order:int,level:int>>, references array<string>, warnings array<string>, provenance map<string,string>"
 CHUNK = "chunk_id string, document_id string, text string, chunk_index int, section_type string, heading string, section_order int, extraction_method string, source_type string, source_identifier string, token_count int, sentence_count int, metadata struct<title:string,doi:string,journal:string,pmid:string,pmcid:string,publication_date:string,authors:array<string>>"
@@ -57,11 +58,11 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def load_manifest(spark: SparkSession, path: str, documents: str | None = None) -> DataFrame:
     """The corpus manifest; if it is absent, one is built from the documents, keyed by DOI."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(path)
-    except AnalysisException:
-        if documents is None:
-            return spark.createDataFrame([], MANIFEST)
+    there = read_table(spark, path, MANIFEST)
+    if there is not None:
+        return there
+    if documents is None:
+        return spark.createDataFrame([], MANIFEST)
     docs, _ = read_documents(spark, documents)
     doi = T.normalize_doi(F.coalesce("metadata.doi", F.lit("")))
     rows = docs.select("*", doi.alias("d")).where("d <> ''")

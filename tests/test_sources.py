@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom import jobs
 from paperloom.config import ChunkConfig, RetrievalProfile, env_bool, env_number
@@ -124,3 +125,54 @@ def test_evaluation_jobs(spark, tmp_path):
 
 def test_judge_budgets():
     assert llm_text.judge_budgets(12000) == (12000, 6000) and llm_text.judge_budgets(4000) == (4000, 3000)
+
+
+def test_a_broken_store_is_no_empty_store(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{i}", "d", "t", [float(i)]) for i in range(50)], sinks.VectorStore.SCHEMA)
+    store = sinks.VectorStore(spark, str(tmp_path / "s"), buckets=4)
+    store.upsert(rows)
+    before = sinks.current_parts(spark, str(tmp_path / "s"))
+    store.upsert(rows.where("chunk_id = 'c7'").withColumn("text", F.lit("new")))
+    after = sinks.current_parts(spark, str(tmp_path / "s"))
+    assert sum(before[k] != after[k] for k in before) == 1  # only the bucket of that key was written
+    got = {r["chunk_id"]: r["text"] for r in sinks.VectorStore(spark, str(tmp_path / "s")).read().collect()}
+    assert len(got) == 50 and got["c7"] == "new" and got["c8"] == "t"
+    for part in after.values():
+        for f in (tmp_path / "s").glob(f"{part}/*.parquet"):
+            f.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        store.upsert(rows)
+    assert sinks.current_parts(spark, str(tmp_path / "s")) == after
+
+
+def test_a_table_is_swapped_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.read_table(spark, path) is None
+    for n in (1, 2, 3):
+        old = sinks.read_table(spark, path)
+        sinks.replace_table(spark.range(n), path)
+        assert sinks.read_table(spark, path).count() == n and (old is None or old.count() == n - 1)  # readers of the old version go on
+    assert len(list((tmp_path / "t").glob("v-*"))) == 2
+    spark.range(4).write.parquet(str(tmp_path / "plain"))
+    assert sinks.read_table(spark, str(tmp_path / "plain")).count() == 4
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.xml").write_text("<article><front><article-meta><article-title>T</article-title></article-meta></front><body><p>Dogs bark.</p></body></article>")
+    args = ["extract", "jats", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "m")]
+    assert jobs.main(args) == 0 and readers.load_manifest(spark, str(tmp_path / "m")).count() == 1
+    (tmp_path / "in/b.xml").write_text("<broken")
+    assert jobs.main(args) == 1 and spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_settings_and_keys():
+    from paperloom.config import Settings, api_key_accepted
+    from paperloom.errors import ConfigurationError
+
+    s = Settings.load({"LLM_PROVIDER": "OpenAI_Compatible", "LLM_MODEL_NAME": "m", "OPENAI_COMPATIBLE_MODEL": " own ", "RETRIEVAL_TOP_K": " ", "OPENAI_API_KEY": "k"})
+    assert s.active_model == "own" and s.retrieval_top_k == 20 and s.key("X_API_KEY", "OPENAI_API_KEY") == "k" and Settings.load({"LLM_MODEL_NAME": "m"}).active_model == "m"
+    for bad in (lambda: Settings.load({"RERANK_TOP_N": "x"}), lambda: s.key("NONE_API_KEY")):
+        with pytest.raises(ConfigurationError):
+            bad()
+    assert api_key_accepted("", None) and api_key_accepted("a", "a") and not api_key_accepted("a", "b") and not api_key_accepted("a", None)
