@@ -57,7 +57,9 @@ class Perceptron:
                     np.add.at(total, (features, truth), step)
                     np.add.at(total, (features, guess), -step)
         # the mean of a weight over all steps: its last value, less each change times the share of steps before it
-        mean = np.round(w - total / max(1, step), 4)
+        total /= max(1, step)
+        w -= total
+        mean = np.round(w, 4, out=w)
         out: dict[str, dict[str, float]] = {f: {} for f in known}
         names = list(known)
         for f, c in zip(*(x.tolist() for x in np.nonzero(np.abs(mean) > 1e-4))):
