@@ -23,7 +23,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def _members(spark: SparkSession, sf: str, pattern: str, fields: dict[str, str]) -> DataFrame:
     """One row per object or string at a path like ``pattern``, with some members of it as columns."""
     rows = durable(flatten.flatten_records(table(spark, sf, "raw_records"), "record_id", "payload"))  # read twice below
-    leaves = rows.where("NOT in_array AND value IS NOT NULL").select("record_id", F.expr("regexp_extract(path, '^(.*)[.][^.]*$', 1)").alias("path"), "name", F.col("value").alias("v"))
+    leaves = rows.where("NOT in_array AND kind <> 'null' AND value IS NOT NULL").select("record_id", F.expr("regexp_extract(path, '^(.*)[.][^.]*$', 1)").alias("path"), "name", F.col("value").alias("v"))
     wide = leaves.groupBy("record_id", "path").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(c) for n, c in fields.items()])
     items = rows.where(F.col("in_array") & (F.col("kind") != "null") & F.col("path").rlike(pattern))
     items = items.select("record_id", "path", "ordinal", F.expr("regexp_extract(path, '^(.*)[.][^.]*$', 1)").alias("parent_path"), "value")
@@ -81,7 +81,19 @@ def _documents_sql() -> str:
     return "SELECT DISTINCT * FROM (" + "\nUNION ALL ".join(out) + ")"
 
 
+def _members_sql(pattern: str, columns: str) -> str:
+    """Array elements at paths like ``pattern`` with members of theirs: m(name) stands for a member's text."""
+    return _TREE + f""", n AS (SELECT record_id, path, type, value FROM t UNION ALL SELECT record_id, b.path || substr(j.fullkey, 2), j.type, j.value FROM b, json_tree(b.inside) j),
+i AS (SELECT record_id, path, CASE WHEN type = 'VARCHAR' THEN value ->> '$' END AS own, regexp_extract(path, '^(.*)[.][^.]*$', 1) AS parent_path, CAST(regexp_extract(path, '\\[(\\d+)\\]$', 1) AS INT) AS ordinal FROM n WHERE type <> 'NULL' AND regexp_matches(path, '{pattern}')),
+k AS (SELECT record_id, regexp_extract(path, '^(.*)[.][^.]*$', 1) AS path, regexp_extract(path, '[^.]*$') AS name, value ->> '$' AS v FROM n WHERE type NOT IN ('NULL', 'OBJECT', 'ARRAY') AND NOT ends_with(path, ']')),
+w AS (SELECT record_id, path, map_from_entries(list((name, v))) AS e FROM k GROUP BY 1, 2)
+SELECT DISTINCT i.record_id, i.path, i.ordinal, i.parent_path, {columns} FROM i LEFT JOIN w USING (record_id, path)"""
+
+
 ORACLES = {
+    "p6_sections": _members_sql(r"(^|\.)(sections|subsections)\[\d+\]$", "e['section_type'] AS section_type, e['heading'] AS heading, e['order'] AS section_order, e['text'] AS text"),
+    "p6_authors": _members_sql(r"(^|\.)metadata\.authors\[\d+\]$", "coalesce(e['name'], own) AS name"),
+    "p6_references": _members_sql(r"(^|\.)references\[\d+\]$", "coalesce(e['title'], own) AS title"),
     "p6_found": _TREE + "SELECT DISTINCT record_id, path FROM (SELECT record_id, path, type FROM t UNION ALL SELECT record_id, path, type FROM u) WHERE ends_with(path, ']') AND type <> 'NULL'",
     "p6_documents": _documents_sql(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -126,17 +126,66 @@ def truncated_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").select("chunk_id", T.truncate_text(F.col("text"), 400).alias("text")).distinct()
 
 
-def jats_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document written as a JATS article, parsed again."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    sec = F.transform(F.filter("sections", lambda s: s.section_type.isin("body", "conclusion")), lambda s: F.concat(F.lit("<sec><title>"), esc(s.heading), F.lit("</title><p>"), esc(s.text), F.lit("</p></sec>")))
-    xml = F.concat(F.lit("<article><front><journal-meta><journal-title>"), esc(F.col("metadata.journal")), F.lit("</journal-title></journal-meta><article-meta><article-id pub-id-type='doi'>"), esc(F.col("metadata.doi")), F.lit("</article-id><article-title>"), esc(F.col("metadata.title")), F.lit("</article-title></article-meta></front><body>"), F.array_join(sec, ""), F.lit("</body></article>"))
-    src = _once(spark, sf, "metadata", "sections").select("document_id", xml.alias("xml"))
-    out = extract.parse_xml(src, "document_id", "xml", "jats")
-    return out.select(F.col("source").alias("document_id"), "title", "doi", "journal", F.size("sections").alias("n_sections"), F.coalesce(F.element_at("sections", -1)["heading"], F.lit("")).alias("last_heading"))
+def _esc(c) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+
+
+def _sections_as(part: str, title: str) -> Column:
+    """All sections as XML parts; one below level 1 is nested in an empty part, one without heading
+    stands directly in the body, before the parts."""
+    own = lambda s: F.concat(F.lit(f"<{part}><{title}>"), _esc(s.heading), F.lit(f"</{title}><p>"), _esc(s.text), F.lit(f"</p></{part}>"))
+    direct = F.transform(F.filter("sections", lambda s: F.coalesce(s.heading, F.lit("")) == ""), lambda s: F.concat(F.lit("<p>"), _esc(s.text), F.lit("</p>")))
+    headed = F.transform(F.filter("sections", lambda s: F.coalesce(s.heading, F.lit("")) != ""), lambda s: F.when(s.level > 1, F.concat(F.lit(f"<{part}>"), own(s), F.lit(f"</{part}>"))).otherwise(own(s)))
+    return F.concat(F.array_join(direct, ""), F.array_join(headed, ""))
+
+
+def _parsed(src: DataFrame, kind: str) -> DataFrame:
+    """One row per parsed section, with its document's metadata."""
+    out = extract.parse_xml(src, "document_id", "xml", kind)
+    return out.select(F.col("source").alias("document_id"), "title", "doi", "journal", "publication_date", F.array_join("authors", "|").alias("authors"), F.array_join("references", "|").alias("refs"), F.explode_outer("sections").alias("s")).select("*", *[F.col(f"s.{c}").alias(n) for c, n in (("section_type", "section_type"), ("heading", "heading"), ("text", "text"), ("order", "section_order"), ("level", "level"))]).drop("s")
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, whitespace, paragraphs, labelled_paragraphs, sentences, section_filter, chunk_windows, chunk_documents, chunk_table, chunk_manifest, safe_names, clean_text, folded_text, repeated_lines, heading_sections, full_text, truncated_contexts, jats_parse)}
+def _xml_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "metadata", "sections", "references")
+
+
+def jats_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as a JATS article, with all its sections, nested and
+    direct ones, typed contributors, dates and references, parsed again."""
+    m = "metadata"
+    authors = F.transform(F.coalesce(f"{m}.authors", F.array().cast("array<string>")), lambda a: F.concat(F.lit("<contrib contrib-type='author'><name><surname>"), _esc(a), F.lit("</surname></name></contrib><contrib contrib-type='editor'><name><surname>Editor</surname></name></contrib>")))
+    refs = F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda r: F.concat(F.lit("<ref>"), _esc(r), F.lit("</ref>")))
+    xml = F.concat(
+        F.lit("<article><front><journal-meta><journal-title>"), _esc(F.col(f"{m}.journal")), F.lit("</journal-title></journal-meta><article-meta><article-id pub-id-type='doi'>"), _esc(F.col(f"{m}.doi")), F.lit("</article-id><article-title>"), _esc(F.col(f"{m}.title")), F.lit("</article-title>"),
+        F.array_join(authors, ""), F.lit("<pub-date pub-type='collection'><year>1900</year></pub-date><pub-date pub-type='epub'><year>"), F.substring(F.coalesce(f"{m}.publication_date", F.lit("")), 1, 4), F.lit("</year><month>7</month></pub-date><abstract><p>All in short.</p></abstract></article-meta></front><body>"),
+        _sections_as("sec", "title"), F.lit("</body><back><ref-list>"), F.array_join(refs, ""), F.lit("</ref-list></back></article>"),
+    )
+    return _parsed(_xml_source(spark, sf).select("document_id", xml.alias("xml")), "jats")
+
+
+def tei_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a TEI document, editors of the volume and other dates among it."""
+    m = "metadata"
+    authors = F.transform(F.coalesce(f"{m}.authors", F.array().cast("array<string>")), lambda a: F.concat(F.lit("<author><persName><forename>A.</forename><surname>"), _esc(a), F.lit("</surname></persName></author>")))
+    refs = F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda r: F.concat(F.lit("<biblStruct>"), _esc(r), F.lit("</biblStruct>")))
+    xml = F.concat(
+        F.lit("<TEI xmlns='http://www.tei-c.org/ns/1.0'><teiHeader><sourceDesc><biblStruct><analytic><title level='a'>"), _esc(F.col(f"{m}.title")), F.lit("</title>"), F.array_join(authors, ""), F.lit("</analytic><monogr><title level='j'>"), _esc(F.col(f"{m}.journal")),
+        F.lit("</title><editor><persName><surname>Editor</surname></persName></editor><imprint><date type='submitted' when='1900'/><date type='published' when='"), _esc(F.col(f"{m}.publication_date")), F.lit("'>when printed</date></imprint></monogr><idno type='DOI'>"), _esc(F.col(f"{m}.doi")),
+        F.lit("</idno></biblStruct></sourceDesc><profileDesc><abstract><p>All in short.</p></abstract></profileDesc></teiHeader><text><body>"), _sections_as("div", "head"), F.lit("</body><back>"), F.array_join(refs, ""), F.lit("</back></text></TEI>"),
+    )
+    return _parsed(_xml_source(spark, sf).select("document_id", xml.alias("xml")), "tei")
+
+
+def pubmed_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Title, authors and abstract of every document written as a PubMed record, parsed again."""
+    m = "metadata"
+    authors = F.transform(F.coalesce(f"{m}.authors", F.array().cast("array<string>")), lambda a: F.concat(F.lit("<Author><LastName>"), _esc(a), F.lit("</LastName></Author>")))
+    texts = F.transform(F.filter("sections", lambda s: s.section_type == "abstract"), lambda s: F.concat(F.lit("<AbstractText>"), _esc(s.text), F.lit("</AbstractText>")))
+    xml = F.concat(F.lit("<P><PMID>7</PMID><Article><ArticleTitle>"), _esc(F.col(f"{m}.title")), F.lit("</ArticleTitle><Journal><Title>"), _esc(F.col(f"{m}.journal")), F.lit("</Title></Journal><Abstract>"), F.array_join(texts, ""), F.lit("</Abstract><AuthorList>"), F.array_join(authors, ""), F.lit("</AuthorList></Article><ArticleId IdType='doi'>"), _esc(F.col(f"{m}.doi")), F.lit("</ArticleId></P>"))
+    return _parsed(_xml_source(spark, sf).select("document_id", xml.alias("xml")), "pubmed")
+
+
+QUERIES = {f.__name__: f for f in (token_estimate, whitespace, paragraphs, labelled_paragraphs, sentences, section_filter, chunk_windows, chunk_documents, chunk_table, chunk_manifest, safe_names, clean_text, folded_text, repeated_lines, heading_sections, full_text, truncated_contexts, jats_parse, tei_parse, pubmed_parse)}
 
 # DuckDB's white space for \s in the Unicode sense, and word characters.
 _S = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -246,12 +295,48 @@ w AS (
 """
 
 _PLAIN = lambda x: f"nfc_normalize(trim(regexp_replace(regexp_replace(coalesce({x}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '{_S}+', ' ', 'g')))"
-_JATS = f"""WITH x AS (SELECT document_id, {_PLAIN('metadata.title')} AS title, {_PLAIN('metadata.doi')} AS doi, {_PLAIN('metadata.journal')} AS journal,
- list_filter(list_filter(coalesce(sections, []), lambda s: s.section_type IN ('body', 'conclusion')), lambda s: {_PLAIN('s.text')} <> '') AS b FROM {_ONCE})
-SELECT document_id, title, doi, journal, CAST(len(b) + CASE WHEN title <> '' THEN 1 ELSE 0 END AS INT) AS n_sections, CASE WHEN len(b) > 0 THEN {_PLAIN('b[-1].heading')} ELSE '' END AS last_heading FROM x"""
+
+
+def _inline_sql(x: str) -> str:
+    """T9 of a text that went through XML."""
+    clean = f"regexp_replace(coalesce({x}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+    return f"trim(regexp_replace(nfc_normalize({clean}), '[\\s\\p{{Z}}\\x85]+', ' ', 'g'))"
+
+
+def _xml_sql(date: str, author: str, body: bool = True) -> str:
+    """What the parsers have to find: metadata, then title, abstract, direct paragraphs and parts in order."""
+    meta = "metadata."
+    keep = "list_filter({l}, lambda x, i: x <> '' AND list_position({l}, x) = i)" if body else "list_filter({l}, lambda x: x <> '')"
+    authors = "list_transform(coalesce(metadata.authors, []), lambda a: " + author.replace("{a}", _inline_sql("a")) + ")"
+    refs = "list_filter(list_transform(coalesce(\"references\", []), lambda r: " + _inline_sql("r") + "), lambda r: r <> '')" if body else "[]"
+    head = f"""WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY extracted_at) AS rn FROM extracted_documents) WHERE rn = 1),
+m AS (SELECT document_id, sections, {_inline_sql(meta + 'title')} AS title, {_inline_sql(meta + 'doi')} AS doi, {_inline_sql(meta + 'journal')} AS journal, {date} AS publication_date, array_to_string({keep.replace('{l}', authors)}, '|') AS authors, array_to_string({refs}, '|') AS refs FROM d),
+s AS (SELECT document_id, unnest(range(0, len(sections))) AS i, unnest(sections) AS x FROM m),
+t AS (SELECT document_id, i, coalesce(x.heading, '') = '' AS direct, {_inline_sql('x.heading')} AS heading, {_inline_sql('x.text')} AS text, x.level AS level, x.section_type AS kind FROM s),
+"""
+    if body:
+        parts = """p AS (SELECT document_id, 0 AS a, 0 AS i, 'title' AS section_type, '' AS heading, title AS text, 0 AS level FROM m WHERE title <> ''
+ UNION ALL SELECT document_id, 1, 0, 'abstract', 'Abstract', 'All in short.', 1 FROM m
+ UNION ALL SELECT document_id, 2, 0, 'body', '', string_agg(text, chr(10) || chr(10) ORDER BY i), 1 FROM t WHERE direct AND text <> '' GROUP BY document_id
+ UNION ALL SELECT document_id, 3, i, CASE WHEN contains(lower(heading), 'conclusion') THEN 'conclusion' ELSE 'body' END, heading, text, CASE WHEN level > 1 THEN 2 ELSE 1 END FROM t WHERE NOT direct AND text <> '')
+"""
+    else:
+        parts = """p AS (SELECT document_id, 0 AS a, 0 AS i, 'title' AS section_type, '' AS heading, title AS text, 0 AS level FROM m WHERE title <> ''
+ UNION ALL SELECT document_id, 1, 0, 'abstract', 'Abstract', string_agg(text, chr(10) || chr(10) ORDER BY i), 1 FROM t WHERE kind = 'abstract' AND text <> '' GROUP BY document_id)
+"""
+    return head + parts + "SELECT m.document_id, title, doi, journal, publication_date, authors, refs, section_type, heading, text, CASE WHEN section_type IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY m.document_id ORDER BY a, i) - 1 AS INT) END AS section_order, CAST(level AS INT) AS level FROM m LEFT JOIN p USING (document_id)"
+
+
+_YEAR = _inline_sql("substr(metadata.publication_date, 1, 4)")
+_JATS = _xml_sql(f"CASE WHEN {_YEAR} = '' THEN '07-00' ELSE {_YEAR} || '-07-00' END", "{a}")
+_TEI = _xml_sql("coalesce(nullif(metadata.publication_date, ''), 'when printed')", "trim('A. ' || {a})")
+_PUBMED = _xml_sql("''", "{a}", body=False)
+
 
 ORACLES = {
     "jats_parse": _JATS,
+    "tei_parse": _TEI,
+    "pubmed_parse": _PUBMED,
     "heading_sections": _W5,
     "token_estimate": f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents",
     "whitespace": f"SELECT doc_id, {_norm('text')} AS text FROM documents",
