@@ -84,11 +84,17 @@ def _anchors(texts: list[str], places: list[int], span: int) -> tuple[list[int],
     return places, text, start - begins[text], h[least[start]].view(np.int64), least[start] - begins[text]
 
 
+def _edges(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the text or its phrase changes."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), dtype=bool), (text[1:] != text[:-1]) | (at[1:] != at[:-1])]))
+
+
 def _phrases(texts: DataFrame, span: int) -> DataFrame:
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"rep": [], "phrase": []}
-        for places, text, _, phrase, _ in anchors(cols["t"], span):
-            for k, p in np.unique(np.stack([text, phrase], axis=1), axis=0).tolist():
+        for places, text, _, phrase, at in anchors(cols["t"], span):
+            first = _edges(text, at)  # neighbouring windows mostly have the same phrase
+            for k, p in set(zip(text[first].tolist(), phrase[first].tolist())):
                 out["rep"].append(cols["rep"][places[k]])
                 out["phrase"].append(p)
         return out
@@ -155,7 +161,7 @@ def _contexts(texts: DataFrame, recurring: DataFrame, span: int, most: int) -> D
             found.append({end - PHRASE + 1: hot for end, hot in automaton.iter(t)} if len(automaton) else {})
         texts = [i for i, f in enumerate(found) if f]
         for places, text, start, phrase, at in anchors([cols["t"][i] for i in texts], span):
-            edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] != at[:-1])])) if len(text) else text
+            edge = _edges(text, at)
             stops = np.append(edge[1:], len(text))
             same: dict[tuple, int] = {}
             last: tuple = (None, None, None)  # the row and the window before, if that was hot
