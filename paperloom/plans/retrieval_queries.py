@@ -196,7 +196,43 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, chunk
 s AS (SELECT r.item_id, r.rank, c.*, round(len(list_intersect({_WORDS.format(x='q.text')}, {_WORDS.format(x='c.text')}))::DOUBLE / len({_WORDS.format(x='q.text')}), 9) AS score FROM r JOIN c USING (chunk_id) JOIN q USING (item_id) WHERE rank <= 20),
 t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS new_rank FROM s)
 """
+
+
+def _strategies_sql() -> str:
+    """Q1 to Q6: all texts that are searched for, their nearest chunks, then one part a strategy."""
+    from paperloom.plans.text_queries import _sentences
+
+    key = "trim(regexp_replace(lower({x}), '[\\s\\p{Z}]+', ' ', 'g'))"
+    k1 = key.replace("{x}", "x")
+    lexical = f"round(CASE WHEN len({_WORDS.format(x='a.text')}) > 0 THEN len(list_intersect({_WORDS.format(x='a.text')}, {_WORDS.format(x='c.text')}))::DOUBLE / len({_WORDS.format(x='a.text')}) ELSE 0 END, 9)"
+    head = f"""WITH c AS (SELECT chunk_id, text FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1 AND coalesce(text, '') <> ''),
+b AS (SELECT item_id, question, answer, {_sentences("coalesce(answer, '')")} AS l0 FROM benchmark_questions WHERE item_id % 20 = 0 AND coalesce(question, '') <> ''),
+l1 AS (SELECT item_id, CASE WHEN list_contains(l0, question) THEN l0 ELSE list_prepend(question, l0) END AS l FROM b),
+l2 AS (SELECT item_id, list_filter(l, lambda x, i: {k1} <> '' AND list_position(list_transform(l, lambda x: {k1}), {k1}) = i)[1:3] AS l FROM l1),
+a AS (SELECT 'q' || item_id AS qid, item_id, 'question' AS kind, 0 AS list, question AS text FROM b
+ UNION ALL SELECT 'p' || item_id, item_id, 'passage', 0, answer FROM b WHERE coalesce(answer, '') <> ''
+ UNION ALL SELECT 's' || item_id, item_id, 'second', 0, 'dogs and owners' FROM b WHERE item_id % 3 = 0
+ UNION ALL SELECT 'l' || item_id || '#' || i, item_id, 'list', i, x FROM (SELECT item_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM l2) WHERE x <> ''),
+{_vectors('c', 'c', 'chunk_id')},
+{_vectors('e', 'a', 'qid')},
+n AS (SELECT chunk_id, CASE WHEN count(v) > 0 THEN 1 ELSE 0 END AS n FROM c LEFT JOIN cv USING (chunk_id) GROUP BY 1),
+d AS (SELECT qid, chunk_id, sum(ev.v * cv.v) AS dot FROM ev JOIN cv USING (b) GROUP BY 1, 2),
+k AS (SELECT a.qid, a.item_id, a.kind, a.list, n.chunk_id, round(greatest(1 + n.n - 2 * coalesce(dot, 0), 0), 9) AS distance FROM a CROSS JOIN n LEFT JOIN d ON d.qid = a.qid AND d.chunk_id = n.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) AS rank FROM k),
+s AS (SELECT r.*, {lexical} AS score FROM r JOIN c USING (chunk_id) JOIN a USING (qid) WHERE rank <= 20 AND r.kind <> 'list'),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS new_rank FROM s),
+f AS (SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min([list, rank]) AS first FROM r WHERE kind = 'list' AND rank <= 10 GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first) AS rank FROM f),
+z AS (
+"""
+    plain = lambda name, kind, more="": f"SELECT '{name}' AS strategy, item_id, chunk_id, rank, -distance AS score FROM r WHERE kind = '{kind}' AND rank <= 6{more}"
+    again = lambda name, kind: f"SELECT '{name}', item_id, chunk_id, new_rank, score FROM t WHERE kind = '{kind}' AND new_rank <= 6"
+    parts = [plain("classic", "question"), again("reranked", "question"), plain("hyde", "passage"), again("hyde_reranked", "passage"), "SELECT 'multi_query', item_id, chunk_id, rank, score FROM g WHERE rank <= 6", plain("agentic", "question", " AND item_id % 3 <> 0"), again("agentic", "second")]
+    return head + "\nUNION ALL ".join(parts) + ") SELECT strategy, item_id, chunk_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM z"
+
+
 ORACLES = {
+    "strategies": _strategies_sql(),
     "text_retrieval": _RETRIEVED + """SELECT item_id, string_agg('[Source ' || new_rank || '] ' || CASE WHEN coalesce(metadata.title, '') <> '' THEN metadata.title WHEN document_id <> '' THEN document_id ELSE 'Unknown source' END || '; ' || CASE WHEN coalesce(heading, '') <> '' THEN heading WHEN coalesce(section_type, '') <> '' THEN section_type ELSE 'section' END
  || CASE WHEN coalesce(metadata.doi, '') <> '' THEN '; DOI: ' || metadata.doi ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY new_rank) AS context FROM t WHERE new_rank <= 8 GROUP BY 1""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
