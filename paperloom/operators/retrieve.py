@@ -18,23 +18,26 @@ NO_CONTEXT = "No relevant context found."
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """Packed blocks of at most about BLOCK vectors: ids and one flat array each."""
+    """(dim, block, rows): packed blocks of at most about BLOCK vectors of one length."""
     n = df.count()
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null and size(v) > 0")
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).alias(f"{name}b")).agg(F.collect_list(F.struct("id", "v")).alias(name))
+    return rows.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(name))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, vector: str, k: int, metric: str = "l2") -> DataFrame:
     """(query, id, distance, rank): exact k nearest rows for each of a stated set of queries.
 
     Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product
-    that keeps k rows a query, so what is shuffled is k rows per query and block. ``l2`` is the
-    squared distance, ``cosine`` one minus the cosine. Ties go to the smaller id; NULL ids and
-    vectors and vectors of another length are left out; queries find themselves.
+    that keeps k rows a query, so what is shuffled is k rows per query and block. The corpus stays
+    where its salt puts it and every salt gets all blocks of queries, by a shuffled merge join: no
+    side is broadcast, none has to fit in memory. ``l2`` is the squared distance, ``cosine`` one
+    minus the cosine. Ties go to the smaller id; NULL ids and vectors are left out; vectors meet
+    those of their own length only; queries find themselves.
     """
-    q, c = _blocks(queries, query_key, vector, "q"), _blocks(corpus, corpus_key, vector, "c")
     width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = q.crossJoin(c.repartition(width, "cb"))  # packed blocks, not rows
+    q = _blocks(queries, query_key, vector, "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    c = _blocks(corpus, corpus_key, vector, "c").withColumn("salt", F.pmod(F.col("block"), F.lit(width)).cast("int"))
+    grid = q.hint("merge").join(c.hint("merge"), ["dim", "salt"])
     kq, kc = dict(queries.dtypes)[query_key], dict(corpus.dtypes)[corpus_key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,10 +45,6 @@ def knn(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str,
             out: dict[str, list] = {"query": [], "id": [], "distance": []}
             for qs, cs in zip(batch.column("q"), batch.column("c")):
                 qs, cs = qs.as_py(), cs.as_py()
-                dim = len(qs[0]["v"])
-                qs, cs = [x for x in qs if len(x["v"]) == dim], [x for x in cs if len(x["v"]) == dim]
-                if not cs:
-                    continue
                 a, b = np.array([x["v"] for x in qs], dtype=np.float64), np.array([x["v"] for x in cs], dtype=np.float64)
                 if metric == "cosine":
                     a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)

@@ -90,3 +90,11 @@ def test_strategies(spark):
     assert s.run("multi_query").where("item_id = 1").count() == 2
     with pytest.raises(ValueError):
         s.run("other")
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(10 + i, [float(i), 1.0, 2.0]) for i in range(6)] + [(20, []), (21, None), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = retrieve.knn(df, df, "id", "id", "v", 2).collect()
+    assert {r["query"] for r in got} == {*range(6), *range(10, 16)} and all(r["query"] // 10 == r["id"] // 10 for r in got)
+    assert all(r["id"] == r["query"] for r in got if r["rank"] == 1)
