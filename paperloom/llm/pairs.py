@@ -20,8 +20,8 @@ from paperloom.llm.words import words
 from paperloom.runtime import map_rows
 
 LABELS = ("empty_answer", "refusal", "truncated_answer", "copied_question", "other_language")
-#: Hash buckets of the model; rows of the bounded training sample; a label's least precision.
-BUCKETS, SAMPLE_ROWS, PRECISION = 1 << 16, 3000, 0.97
+#: Hash buckets of the model; rows of the bounded training sample.
+BUCKETS, SAMPLE_ROWS = 1 << 16, 3000
 
 #: Frequent function words of the languages.
 STOPWORDS = {

@@ -75,9 +75,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Each chunk with its class of equal texts, its group and its class's number of links."""
+    """Each chunk with its class of equal texts and its group, named by their least chunk_id, and its
+    class's number of links (five words, 0.8)."""
     members, links = neardup.near_duplicates(table(spark, sf, "chunks"), "chunk_id", "text")
-    return neardup.groups(members, links).withColumnRenamed("id", "chunk_id").withColumnRenamed("component", "group_id")
+    g = neardup.groups(members, links)
+    least = g.groupBy("class").agg(F.min("id").alias("class_id"), F.first("component").alias("component"))
+    named = least.select("class", "class_id", "component").join(least.groupBy("component").agg(F.min("class_id").alias("group_id")), "component")
+    return g.join(named.select("class", "class_id", "group_id"), "class").select(F.col("id").alias("chunk_id"), "class_id", "group_id", "links")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,6 +163,17 @@ g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(ws) - 1), lam
 n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
 p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.chunk_id < b.chunk_id GROUP BY 1, 2)
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6::DOUBLE * (x.n + y.n - k)""",
+        "p5_groups": f"""
+WITH RECURSIVE w AS (SELECT DISTINCT chunk_id, lower(text) AS t, {_WORDS % "text"} AS ws FROM chunks WHERE text IS NOT NULL AND len({_WORDS % "text"}) >= 5),
+k AS (SELECT t, min(chunk_id) AS class_id, any_value(ws) AS ws FROM w GROUP BY t),
+g AS (SELECT DISTINCT t, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM k),
+n AS (SELECT t, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.t AS a, b.t AS b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.t <> b.t GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.t = a JOIN n y ON y.t = b WHERE k >= 0.8::DOUBLE * (x.n + y.n - k)),
+r(a, b) AS (SELECT t, t FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT r.a AS t, min(k.class_id) AS group_id FROM r JOIN k ON k.t = r.b GROUP BY 1),
+l AS (SELECT a AS t, count(*) AS links FROM e GROUP BY 1)
+SELECT DISTINCT w.chunk_id, k.class_id, c.group_id, coalesce(l.links, 0) AS links FROM w JOIN k USING (t) JOIN c USING (t) LEFT JOIN l USING (t)""",
         "p9_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS % "text"} AS ws FROM documents WHERE text IS NOT NULL),
 q AS (SELECT item_id, {_WORDS % "t"} AS ws FROM (SELECT item_id, unnest([question, answer]) AS t FROM benchmark_questions) WHERE t IS NOT NULL),
