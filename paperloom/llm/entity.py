@@ -18,6 +18,8 @@ from paperloom.runtime import durable, map_rows
 #: Title words of the keyed side to which misspelt ones are led back, most frequent first (an aid to
 #: spelling: to rarer words nothing is led back), and those whose number of titles is known, as hashes.
 SPELLING, KNOWN_WORDS = 20_000, 2_000_000
+#: With more surnames than these, names don't help to tell early that two records can't match.
+SURNAMES = 50_000
 #: A word in more than this share of the titles tells nothing and makes no key.
 COMMON_SHARE = 0.08
 #: A title's keys are sets of KEY_SIZE of any KEY_SPAN rarer words in a row.
@@ -31,6 +33,8 @@ FLOOR = -10.0
 TOLERANCE, MOST_ROUNDS = 1e-3, 100
 #: The most that titles speak for a match.
 TITLE_MOST = 13.0
+#: What a known title word costs that only the noisier title has.
+ODD_WORD = 3.5
 #: English function words, which styles and typing leave out.
 FUNCTION_WORDS = frozenset("a an the of on in at by to for from with and or as is are does do how during after".split())
 FIELDS = "title string, authors array<string>, doi string, journal string, date string"
@@ -115,10 +119,13 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or x[:2] == y[1::-1] and x[2:] == y[2:]
 
 
+def _journal_words(text: str | None) -> list[str]:
+    return [w for w in re.findall(r"[^\W_]+", fold(text)) if w not in ("of", "the", "and", "for")]
+
+
 def journal_agrees(a: str | None, b: str | None) -> bool | None:
     """Whether two journal names agree in full or by the beginnings of their words; None if one is missing."""
-    x = [w for w in re.findall(r"[^\W_]+", fold(a)) if w not in ("of", "the", "and", "for")]
-    y = [w for w in re.findall(r"[^\W_]+", fold(b)) if w not in ("of", "the", "and", "for")]
+    x, y = _journal_words(a), _journal_words(b)
     if not x or not y:
         return None
     if len(x) != len(y):
@@ -143,6 +150,7 @@ class Titles:
 
     def __init__(self, spelling: dict[str, int], hashes: np.ndarray, counts: np.ndarray, total: int):
         self.spelling, self.total = spelling, max(1, total)
+        self.prior = -math.log(self.total + 1) - 1.0
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.deletes: dict[str, set[str]] = {}
@@ -250,7 +258,7 @@ class Titles:
             left.pop()
             tail += 1
         inner = sum(0.4 if b[i] in FUNCTION_WORDS else 2.5 for i in left) * (0.5 if other else 1.0)
-        return min(TITLE_MOST, 0.55 * seen) - 3.5 * known - 1.0 * other - inner - 2.0 * moved - (0.4 + 0.12 * tail if tail else 0.0)
+        return min(TITLE_MOST, 0.55 * seen) - ODD_WORD * known - 1.0 * other - inner - 2.0 * moved - (0.4 + 0.12 * tail if tail else 0.0)
 
 
 class Record:
@@ -268,7 +276,7 @@ class Record:
 def score(a: Record, b: Record, titles: Titles) -> float:
     """Log-odds that two records describe one work; ``a`` is the noisier one. The prior is one in
     all works. Titles, which cost most, aren't compared where even equal ones would change nothing."""
-    total = -math.log(titles.total + 1) - 1.0 + compare_doi(a.doi, b.doi)
+    total = titles.prior + compare_doi(a.doi, b.doi)
     x, y = a.tokens, b.surnames
     if x and y:
         ys = set(y)
@@ -313,30 +321,129 @@ def _keys(record: tuple, titles: Titles, noisy: bool) -> list[tuple[int, str]]:
     return list(dict.fromkeys(out))
 
 
-def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
-    """(l, r, theta): pairs that share a key, scored; ``left`` is the noisier side. Both have
-    ``id`` and the columns of FIELDS. Pairs are those that share enough blocking keys (``_keys``).
-    Only key hashes and ids are shuffled; records travel to the distinct pairs afterwards."""
-    spark = left.sparkSession
-    shared = spark.sparkContext.broadcast((titles.spelling, titles.hashes, titles.counts, titles.total))
+class Signer:
+    """Signatures of records, of which ``hopeful`` tells whether two can match."""
+
+    def __init__(self, titles: Titles, surnames: list[str] | None):
+        """``surnames``: all of the keyed side; None if they are too many to be listed."""
+        self.titles, self.surnames = titles, None if surnames is None else set(surnames)
+        self.deletes: dict[str, list[str]] = {}
+        for n in surnames or ():
+            for k in _cuts(n):
+                self.deletes.setdefault(k, []).append(n)
+        self.memo: dict[tuple[str, str], int | frozenset[int]] = {}
+
+    def _once(self, kind: str, w: str, fn):
+        hit = self.memo.get((kind, w))
+        if hit is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            hit = self.memo[kind, w] = fn(w)
+        return hit
+
+    def _like(self, w: str) -> int:
+        """Bits of a keyed title's word and of all listed words that may stand for it or its halves."""
+        listed = self.titles.spelling
+        out = {w, *(x for k in _cuts(w) for x in self.titles.deletes.get(k, ()) if near(w, x))}
+        out |= {x for k in range(1, len(w)) if w[:k] in listed and w[k:] in listed for x in (w[:k], w[k:])}
+        return sum({_bit(x) for x in out - FUNCTION_WORDS})
+
+    def _surnames(self, token: str) -> frozenset[int]:
+        """Signatures of the surnames that a part of a name equals, nearly equals or contains."""
+        out = {token, *(n for k in _cuts(token) for n in self.deletes.get(k, ()))}
+        out |= {token[i:j] for i in range(len(token)) for j in range(i + 5, len(token) + 1)}
+        return frozenset(map(_number, out & self.surnames))
+
+    def sign(self, record: tuple, noisy: bool) -> tuple[int, list[int], int]:
+        """(words, names, facts): a bit for each title word, numbers of surnames, and packed: year, both
+        halves of the DOI, that there are no names, what they add at most, that there is no title, a bit
+        for each initial of the journal."""
+        words, parts = self.titles.words(record[0]), name_tokens(record[1])
+        bits = 0
+        if noisy:
+            for w in words:
+                bits |= _bit(w) if w in self.titles.spelling and w not in FUNCTION_WORDS else 0
+        else:
+            for w in (*words, *(a + b for a, b in zip(words, words[1:]) if a + b in self.titles.spelling)):
+                bits |= self._once("w", w, self._like)
+        if self.surnames is None:
+            names = [0]
+        else:
+            names = sorted({x for one in parts for t in one for x in self._once("n", t, self._surnames)} if noisy else {_number(one[-1]) for one in parts})
+        doi, ys = clean_doi(record[2]), years(record[4])[-1:]
+        facts = ys[0] - 1799 if ys else 0
+        for i, half in enumerate((doi[: len(doi) // 2], doi[len(doi) // 2 :])):
+            facts |= (1 + xxhash.xxh64_intdigest(half.encode("utf-8", "surrogatepass")) % 255 if doi else 0) << 9 + 8 * i
+        facts |= (not parts) << 25 | min(3, len(parts)) << 26 | (not words) << 28
+        for w in _journal_words(record[3]):
+            facts |= 1 << 29 + ord(w[0]) % 30
+        return bits - (1 << 64) if bits >> 63 else bits, names, facts
+
+
+def _bit(w: str) -> int:
+    return 1 << (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) & 63)
+
+
+def _number(w: str) -> int:
+    return 1 + xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=1) % 32767
+
+
+def hopeful(prior: float) -> str:
+    """SQL: whether records whose DOIs share no key can have a ``score`` over FLOOR, from the signatures
+    (``Signer.sign``) lwords, lnames, lfacts and rwords, rnames, rfacts; names are compared last, if they decide."""
+    both = lambda at, n: [f"(shiftright({side}facts, {at}) & {(1 << n) - 1}L)" for side in "lr"]
+    (y, z), (a, b), (c, d), (j, k) = both(0, 9), both(9, 8), both(17, 8), both(29, 30)
+    rest = f"""{prior - FLOOR + 1e-6!r}D
+        + CASE WHEN {j} = 0L OR {k} = 0L THEN 0D WHEN {j} & {k} = {j} OR {j} & {k} = {k} THEN 1.5D ELSE -2D END
+        + CASE WHEN ((lfacts | rfacts) & {1 << 28}L) != 0L THEN 0D ELSE greatest(-14D, {TITLE_MOST}D - {ODD_WORD}D * bit_count(lwords & ~rwords)) END
+        + CASE WHEN {y} = 0L OR {z} = 0L THEN 0D WHEN {y} = {z} THEN 2.2D WHEN abs({y} - {z}) = 1L THEN -0.7D ELSE -3.5D END
+        + CASE WHEN {a} = 0L OR {b} = 0L THEN 0D WHEN {a} = {b} OR {c} = {d} THEN 5D ELSE -8D END"""
+    agree, lack = f"3D + {both(26, 2)[0]}", f"((lfacts | rfacts) & {1 << 25}L) != 0L"
+    return f"({rest} + CASE WHEN {lack} THEN 0D ELSE {agree} END > 0D) AND ({lack} OR arrays_overlap(lnames, rnames) OR {rest} - 5D > 0D)"
+
+
+def meetings(left: DataFrame, right: DataFrame, titles: Titles, shared) -> DataFrame:
+    """(key, l, points, r, ...): the keys in which records meet that can score more than FLOOR.
+
+    Pairs that share some words of their titles grow with the square of the tables. So signatures
+    travel with the keys and tell where keys meet, before anything is shuffled by pair, that a pair
+    can't match (``hopeful``). Pairs by DOI are few and all kept."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def keyed(df: DataFrame, noisy: bool, name: str) -> DataFrame:
         def run(cols: dict[str, list]) -> dict[str, list]:
-            t = _titles(shared.value)
-            keys = [_keys(r, t, noisy) for r in zip(*(cols[n] for n in names))]
-            return {"id": cols["id"], "keys": [[{"points": p, "key": k} for p, k in x] for x in keys]}
+            t, signer = _titles(shared.value)
+            rows = list(zip(*(cols[n] for n in names)))
+            keys = [_keys(r, t, noisy) for r in rows]
+            signs = zip(*(signer.sign(r, noisy) for r in rows))
+            return {"id": cols["id"], "keys": [[{"points": p, "key": k} for p, k in x] for x in keys]} | dict(zip(("words", "names", "facts"), signs))
 
         kind = dict(df.dtypes)["id"]
-        out = map_rows(df.select("id", *names), f"id {kind}, keys array<struct<points:int,key:string>>", run)
-        return out.select(F.col("id").alias(name), F.explode("keys").alias("x")).select(name, F.xxhash64("x.key").alias("key"), F.col("x.points").alias("points"))
+        out = map_rows(df.select("id", *names), f"id {kind}, keys array<struct<points:int,key:string>>, words bigint, names array<smallint>, facts bigint", run)
+        out = out.select(F.col("id").alias(name), F.explode("keys").alias("x"), "words", "names", "facts")
+        # records that meet by author have a name in common, those that meet by DOI need no test
+        by = F.substring("x.key", 1, 1)
+        named = F.when(by.isin("t", "p"), F.col("names")).otherwise(F.array(F.lit(0).cast("smallint")))
+        sign = [F.coalesce(c, zero).alias(name + n) for n, c, zero in (("words", F.col("words"), F.lit(0)), ("names", named, F.array(F.lit(0).cast("smallint"))), ("facts", F.col("facts"), F.lit(0)))]
+        return out.select(name, F.xxhash64("x.key").alias("key"), F.col("x.points").alias("points"), *sign, *([(by == "d").alias("free")] if noisy else []))
 
     # by shuffle: the engine's estimates don't know how many keys a record has
     met = keyed(left, True, "l").hint("merge").join(keyed(right, False, "r").drop("points").hint("merge"), "key")
-    pairs = met.groupBy("l", "r").agg(F.sum("points").alias("points")).where(F.col("points") >= MEET).select("l", "r")
+    return met.where(F.col("free") | F.expr(hopeful(titles.prior)))
+
+
+def candidates(left: DataFrame, right: DataFrame, titles: Titles, surnames: list[str] | None = None) -> DataFrame:
+    """(l, r, theta): pairs that share a key, scored; ``left`` is the noisier side. Both have
+    ``id`` and the columns of FIELDS. Pairs are those that share enough blocking keys (``_keys``)
+    and score more than FLOOR. Only key hashes, signatures and ids are shuffled; records travel to
+    the distinct pairs afterwards. ``surnames``: all of ``right``, None if they are too many."""
+    spark = left.sparkSession
+    shared = spark.sparkContext.broadcast((titles.spelling, titles.hashes, titles.counts, titles.total, surnames))
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    pairs = meetings(left, right, titles, shared).groupBy("l", "r").agg(F.sum("points").alias("points")).where(F.col("points") >= MEET).select("l", "r")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
-        t = _titles(shared.value)
+        t, _ = _titles(shared.value)
         known: dict = {}
 
         def record(side: str, i: int) -> Record:
@@ -360,10 +467,11 @@ def candidates(left: DataFrame, right: DataFrame, titles: Titles) -> DataFrame:
 _BUILT: list = [None, None]
 
 
-def _titles(value: tuple[dict[str, int], np.ndarray, np.ndarray, int]) -> Titles:
-    """Titles of a broadcast value, built once per process."""
+def _titles(value: tuple[dict[str, int], np.ndarray, np.ndarray, int, list[str] | None]) -> tuple[Titles, Signer]:
+    """Titles and signer of a broadcast value, built once per process."""
     if _BUILT[0] is not value:
-        _BUILT[:] = [value, Titles(*value)]
+        titles = Titles(*value[:4])
+        _BUILT[:] = [value, (titles, Signer(titles, value[4]))]
     return _BUILT[1]
 
 
@@ -414,4 +522,9 @@ def match_records(left: DataFrame, right: DataFrame) -> DataFrame:
     spelling = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(SPELLING).collect()}
     known = most_frequent(counted, "n", KNOWN_WORDS).select(F.xxhash64("w").alias("h"), "n").toArrow()
     titles = Titles(spelling, known["h"].to_numpy(), known["n"].to_numpy(), right.count())
-    return propagate(candidates(left, right, titles))
+
+    def last(cols: dict[str, list]) -> dict[str, list]:
+        return {"n": [n for a in cols["authors"] for n in {one[-1] for one in name_tokens(a)}]}
+
+    surnames = [r["n"] for r in map_rows(right.select("authors"), "n string", last).distinct().limit(SURNAMES + 1).collect()]
+    return propagate(candidates(left, right, titles, surnames if len(surnames) <= SURNAMES else None))

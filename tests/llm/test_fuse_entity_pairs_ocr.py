@@ -211,6 +211,43 @@ def test_titles_alone_need_four_words(spark):
     assert {(1000 + i, i) for i in range(12)} <= got
 
 
+def test_only_pairs_that_can_match_leave_the_join_of_keys(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(8)
+    phrases = [" ".join("".join(rng.choices("abcdefghiklmnoprstuvw", k=8)) for _ in range(4)) for _ in range(60)]
+    base = [(i, " ".join(rng.sample(phrases, 2)), *rest) for i, _, *rest in papers(rng, 300)]
+    src = []
+    for i, t, a, d, j, y in base:
+        ws, who = t.split(), a[0].split()[1]
+        src += [(1000 + i, t.replace(ws[2], ws[2][:-1]), [who[:-1] + "x, A."], d.replace("0", "O", 1) if i % 3 else None, j, y), (2000 + i, ws[0] + t[len(ws[0]) + 1 :], [f"ann{who}"], None, None, y if i % 2 else None)]
+        src += [(3000 + i, " ".join(ws[:6]), None, None, j, None), (4000 + i, None, a[:1], None, None, y)]
+    counts = Counter(w for r in base for w in set(entity.title_words(r[1])))
+    titles = entity.Titles(dict(counts), np.array([entity.word_hash(w) for w in counts], dtype=np.int64), np.array(list(counts.values())), len(base))
+    surnames = sorted({one[-1] for r in base for one in entity.name_tokens(r[2])})
+    keyed: dict = {}
+    for r in base:
+        for _, k in entity._keys(r[1:], titles, False):
+            keyed.setdefault(k, []).append(r)
+    pairs, expected = 0, set()
+    for s in src:
+        points: Counter = Counter()
+        for p, k in entity._keys(s[1:], titles, True):
+            for r in keyed.get(k, ()):
+                points[r[0]] += p
+        pairs += len(points)
+        a = entity.Record(*s[1:], titles)
+        expected |= {(s[0], i) for i, p in points.items() if p >= entity.MEET and entity.score(a, entity.Record(*base[i][1:], titles), titles) > entity.FLOOR}
+    left, right = spark.createDataFrame(src, SCHEMA), spark.createDataFrame(base, SCHEMA)
+    for known in (surnames, None):  # names that are too many to be listed cost time, never pairs
+        assert {(r["l"], r["r"]) for r in entity.candidates(left, right, titles, known).collect()} == expected
+    shared = spark.sparkContext.broadcast((titles.spelling, titles.hashes, titles.counts, titles.total, surnames))
+    met = entity.meetings(left, right, titles, shared).select("l", "r").distinct().count()
+    assert len(expected) > 600 and met < pairs / 2, (len(expected), met, pairs)
+
+
 def test_messages_that_never_settle_are_an_error(spark):
     import pytest
 
